@@ -163,3 +163,42 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
     return (hits.groupBy(*by, "q", "_h", "_k0").agg(low.alias("_low"), high.alias("_high"))
             .select(*by, "q", (F.col("_low") + (F.col("_high") - F.col("_low"))
                                * (F.col("_h") - F.col("_k0"))).alias("value")))
+
+
+def _last_known(df: DataFrame, keys: Sequence[str], at: str, known: str) -> DataFrame:
+    """Give each row the latest non-NULL ``known`` at or before it; at a tie the row
+    that knows comes first. For groups of bounded size."""
+    w = (Window.partitionBy(*keys).orderBy(F.col(at), F.col(known).isNull())
+         .rowsBetween(*UP_TO))
+    return df.withColumn("_known", F.last(known, ignorenulls=True).over(w))
+
+
+def values_at_ranks(df: DataFrame, value: str, ranks: DataFrame, by: Sequence[str],
+                    per_e: int = 4096) -> DataFrame:
+    """The value at each wanted 0-based ascending ``rank`` of its group.
+
+    ``ranks`` (by, rank, any further columns) should be small: it is looked up in the
+    bucket histogram, and only the buckets hit are counted by value.
+    """
+    by = list(by)
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    rows = rows.withColumn("_b", value_slice(F.col("_v"), per_e))
+    hist = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    up = Window.partitionBy(*by).orderBy("_b").rowsBetween(*UP_TO)
+    hist = hist.withColumn("_at", F.sum("_n").over(up) - F.col("_n"))
+    asked = ranks.withColumn("_at", F.col("rank").cast("long"))
+    found = _last_known(
+        asked.unionByName(hist.select(*by, "_at", F.col("_b").alias("_bucket"),
+                                      F.col("_at").alias("_lo")), allowMissingColumns=True)
+        .withColumn("_hit", F.when(F.col("_bucket").isNotNull(), F.struct("_bucket", "_lo"))),
+        by, "_at", "_hit").filter(F.col("rank").isNotNull())
+    found = found.select(*ranks.columns, "_at", F.col("_known._bucket").alias("_b"),
+                         F.col("_known._lo").alias("_lo"))
+    counted = (rows.join(found.select(*by, "_b", "_lo").distinct(), [*by, "_b"])
+               .groupBy(*by, "_b", "_lo", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(*UP_TO)
+    starts = counted.select(*by, "_b", F.col("_v").alias("_value"),
+                            (F.col("_lo") + F.sum("_c").over(inside) - F.col("_c")).alias("_at"))
+    both = found.drop("_lo").unionByName(starts, allowMissingColumns=True)
+    out = _last_known(both, [*by, "_b"], "_at", "_value").filter(F.col("rank").isNotNull())
+    return out.select(*ranks.columns, F.col("_known").alias("value"))
