@@ -49,7 +49,12 @@ def node_label(name: Column, ip: Column, node_id: Column) -> Column:
     return F.coalesce(F.nullif(name, empty), F.nullif(ip, empty), node_id)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed-point text, correctly rounded from the binary value, no grouping."""
+    return F.translate(F.format_number(value, digits), ",", "")
+
+
 def alert_summary(a) -> Column:
     """Readable one-liner; ``a`` maps a column name to a Column."""
-    return F.format_string("%s:%d -> %s:%d score %.3f", a("src_ip"), a("src_port"),
-                           a("dst_ip"), a("dst_port"), a("score"))
+    return F.format_string("%s:%d -> %s:%d score %s", a("src_ip"), a("src_port"),
+                           a("dst_ip"), a("dst_port"), fixed(a("score"), 3))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("catalog_state", "catalog_flows", "catalog_metrics")
+_MODULES = ("catalog_state", "catalog_flows", "catalog_metrics", "catalog_views")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
