@@ -50,8 +50,8 @@ def node_label(name: Column, ip: Column, node_id: Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text, correctly rounded from the binary value, no grouping."""
-    return F.translate(F.format_number(value, digits), ",", "")
+    """Fixed-point text. The nudge sends decimal ties up whatever their binary form."""
+    return F.format_string(f"%.{digits}f", value + F.lit(1e-12))
 
 
 def alert_summary(a) -> Column:

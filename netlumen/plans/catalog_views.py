@@ -203,7 +203,7 @@ def auto_tickets(spark, sf):
     return views.ticket_rule(states(spark, sf), "high").select("node_id", "severity")
 
 
-_F = lambda x, d: f"printf('%.{d}f', {x})"
+_F = lambda x, d: f"printf('%.{d}f', {x} + 1e-12)"
 _SUM = f"concat(e.src_ip, ':', e.src_port, ' -> ', e.dst_ip, ':', e.dst_port, ' score ', {_F('e.score', 3)})"
 
 
