@@ -86,8 +86,40 @@ SELECT concat('g-', n_nationkey), n_name, concat('10.20.', CAST((n_nationkey % 8
  concat('00000c', lpad(CAST(n_nationkey AS STRING), 6, '0')),
  CASE n_regionkey WHEN 0 THEN 'router' WHEN 1 THEN 'switch' WHEN 2 THEN 'firewall' WHEN 3 THEN 'wireless_ap' ELSE 'switch' END,
  concat('10.20.', CAST((n_nationkey % 8) * 10 AS INT), '.0/24'), 3, 'infrastructure' FROM nation"""),
+    # Link sightings: nations uplink to the leader of their region (leaders to
+    # themselves, which is no link), server customers to their nation, some twice.
+    "fx_links": ("customer nation", """
+SELECT CAST(n.n_nationkey AS BIGINT) AS ord, n.n_name AS local, m.n_name AS remote, CAST(NULL AS STRING) AS local_mac, CAST(NULL AS STRING) AS remote_mac,
+ 'gi0/1' AS local_port, 'gi0/2' AS remote_port, 'lldp' AS source, 'uplink' AS kind, CAST(10000 AS INT) AS bandwidth_mbps
+FROM nation n JOIN nation m ON m.n_nationkey = n.n_regionkey
+UNION ALL
+SELECT 1000 + c_custkey, concat(' ', upper(c_name)), 'port 7', NULL, concat('00000C-', lpad(CAST(c_nationkey AS STRING), 6, '0')),
+ 'eth0', 'gi0/3', 'snmp', 'ethernet', CAST(1000 AS INT) FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL
+SELECT 100000000 + c_custkey, concat('00:00:0c:00:00:', lpad(CAST(c_nationkey AS STRING), 2, '0')), c_name, NULL, NULL,
+ 'gi0/3', 'eth0', 'lldp', 'wireless', CAST(300 AS INT) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 5"""),
+    # Sightings of the same devices by several sources: neighbour tables see every
+    # address, name services see servers, management sees infrastructure, probes see
+    # servers (with a name) and workstations (without), printers announce a name only.
+    "fx_observations": ("customer nation", """
+SELECT k * 4 AS ord, ip, CASE WHEN device_type = 'iot' THEN concat('02', substr(mac_raw, 3)) ELSE mac_raw END AS mac, '' AS hostname, 'eth0' AS interface,
+ 'arp' AS source, '' AS device_type_hint, '' AS vendor_hint, '' AS os_hint, '' AS services_csv, '' AS ips_csv FROM fx_keyed
+UNION ALL
+SELECT k * 4 + 1, CAST(NULL AS STRING), upper(mac_raw), name, '', 'dhcp', '', '', '', '', '' FROM fx_keyed WHERE device_type = 'server'
+UNION ALL
+SELECT k * 4 + 1, CAST(NULL AS STRING), mac_raw, name, 'gi0/1', 'snmp', device_type, '', 'ios', 'ssh,snmp', concat('10.99.0.', CAST(k % 250 AS STRING)) FROM fx_keyed WHERE subnet_team = 'infrastructure'
+UNION ALL
+SELECT k * 4 + 2, concat('10.77.', CAST(k % 200 AS STRING), '.', CAST(floor(k / 200) % 250 AS INT)), CAST(NULL AS STRING), name, '', 'probe', '', '', 'linux server', 'http,ssh', '' FROM fx_keyed WHERE device_type = 'server'
+UNION ALL
+SELECT k * 4 + 2, ip, CAST(NULL AS STRING), '', '', 'probe+dns', '', '', 'windows', 'rdp', '' FROM fx_keyed WHERE device_type = 'workstation'
+UNION ALL
+SELECT k * 4 + 3, CAST(NULL AS STRING), CAST(NULL AS STRING), concat('printer ', name), '', 'mdns', '', 'Canon', '', 'ipp', '' FROM fx_keyed WHERE device_type = 'printer'"""),
 }
 
+# Devices with a number that orders their sightings.
+_KEYED = """fx_keyed AS (SELECT *, CAST(substr(id, 3) AS BIGINT) + CASE WHEN id LIKE 'g-%' THEN 100000000 ELSE 0 END AS k,
+ team AS subnet_team FROM fx_nodes)"""
+
 _US = re.compile(r"\{US:(\w+)\}")
 
 
@@ -97,14 +129,20 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _US.sub(
         r"unix_micros(from_utc_timestamp(CAST(\1 AS TIMESTAMP), current_timezone()))", text)
     sources = {}
+    if name == "fx_observations":
+        base = VIEWS["fx_nodes"][1]
+        text = f"WITH fx_nodes AS ({base}), {_KEYED}\n{text}"
     for table in tables.split():
-        text = re.sub(rf"FROM {table}\b", f"FROM {{{table}}}", text)
+        text = re.sub(rf"(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", text)
         sources[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return spark.sql(text, **sources)
 
 
 def duck_view(name: str) -> str:
-    return _US.sub(r"epoch_us(\1)", VIEWS[name][1]).replace("AS STRING", "AS VARCHAR")
+    text = VIEWS[name][1]
+    if name == "fx_observations":
+        text = f"WITH fx_nodes AS ({VIEWS['fx_nodes'][1]}), {_KEYED}\n{text}"
+    return _US.sub(r"epoch_us(\1)", text).replace("AS STRING", "AS VARCHAR")
 
 
 def duck_with(names: str, *ctes: str, recursive: bool = False) -> str:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("catalog_state", "catalog_flows", "catalog_metrics", "catalog_views")
+_MODULES = ("catalog_state", "catalog_flows", "catalog_metrics", "catalog_views",
+            "catalog_topology")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -41,3 +41,14 @@ def state_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def last_detection(spark: SparkSession, sf: str) -> Column:
     return alerts(spark, sf).agg(F.max("detected_at")).scalar()
+
+
+def link_sightings(spark: SparkSession, sf: str) -> DataFrame:
+    return spark_view(spark, sf, "fx_links")
+
+
+def observations(spark: SparkSession, sf: str) -> DataFrame:
+    split = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+    return spark_view(spark, sf, "fx_observations").withColumns({
+        "services": split(F.col("services_csv")), "extra_ips": split(F.col("ips_csv")),
+        "extra": F.create_map(F.lit("seen_on"), F.col("interface"))})
