@@ -117,7 +117,8 @@ def compute_layout(nodes: DataFrame, links: DataFrame, spread: float = 9.0,
                    jitter: float = 0.35) -> DataFrame:
     """Adds layer, x, y, z. Infrastructure sits over the mean of its already placed
     neighbours, tier by tier; without any it takes its district, else a ring."""
-    tiered = layers(nodes, links)
+    # Devices and infrastructure edges are read many times below: write them once.
+    tiered = materialize(layers(nodes, links), "layers")
     names = [*tiered.columns, "x", "y", "z"]
     hosts = tiered.filter(F.col("layer") == 0).withColumn(
         "_subnet", F.col("subnet")).withColumn(
@@ -125,7 +126,9 @@ def compute_layout(nodes: DataFrame, links: DataFrame, spread: float = 9.0,
     centers = district_centers(hosts, spread)
     placed = place_hosts(hosts, centers, spread, jitter).withColumn("subnet", F.col("_subnet"))
     placed = materialize(placed.select(*names), "hosts")
-    edges = both_ways(links).select("id", "peer").distinct()
+    infra = tiered.filter(F.col("layer") > 0).select("id")
+    edges = both_ways(links).select("id", "peer").join(infra, "id", "left_semi").distinct()
+    edges = materialize(edges, "infra-edges")
     for layer in (1, 2, 3):
         tier = tiered.filter(F.col("layer") == layer)
         at = _place_tier(tier, placed, edges, centers, layer, spread)
