@@ -8,6 +8,7 @@ engine reads them as decimals. Every row of the underlying table is used.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -123,7 +124,10 @@ _KEYED = """fx_keyed AS (SELECT *, CAST(substr(id, 3) AS BIGINT) + CASE WHEN id
 _US = re.compile(r"\{US:(\w+)\}")
 
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spark_view(spark: SparkSession, sf_dir: str, name: str,
+               read: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """The view over the given folder; ``read`` may supply its tables as streams."""
+    read = read or (lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     tables, text = VIEWS[name]
     # A zone-free timestamp read as its own wall clock, whatever the session zone is.
     text = _US.sub(
@@ -134,7 +138,7 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         text = f"WITH fx_nodes AS ({base}), {_KEYED}\n{text}"
     for table in tables.split():
         text = re.sub(rf"(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", text)
-        sources[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        sources[table] = read(table)
     return spark.sql(text, **sources)
 
 

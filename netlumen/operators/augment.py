@@ -154,5 +154,5 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "flow_id",
     ranked = running(hashed, [label], ["_h", key], _hash_slice("_h"), sums={"_r": F.lit(1)})
     # One row per label.
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(F.broadcast(sizes), label)
+    joined = ranked.join(sizes, label)
     return joined.select(*df.columns, (F.col("_r") <= F.floor(F.col("_n") * train)).alias("is_train"))

@@ -339,7 +339,8 @@ def evicted(open_flows: DataFrame, max_flows: int, last_seen: str = "t1") -> Dat
     return ranked.filter(F.col("rn") > max_flows).drop("rn")
 
 
-def merge_partials(records: DataFrame, order: list[str]) -> DataFrame:
+def merge_partials(records: DataFrame, order: list[str],
+                   extra_keys: list[Column] | None = None) -> DataFrame:
     """One record per flow_id. Counters add, extremes widen, means are weighted by
     packets; identity comes from the first record, the label from the last known one.
     ``order`` must order the partial records of a flow."""
@@ -362,5 +363,5 @@ def merge_partials(records: DataFrame, order: list[str]) -> DataFrame:
            .otherwise(F.min_by(c, at)) for c in means},
         "label": F.coalesce(F.max_by(known, known_at), F.lit(LABEL_UNKNOWN)),
     }
-    return records.groupBy("flow_id").agg(*[c.alias(n) for n, c in out.items()]).select(
+    return records.groupBy("flow_id", *(extra_keys or [])).agg(*[c.alias(n) for n, c in out.items()]).select(
         *CONNECTION_FIELDS)
