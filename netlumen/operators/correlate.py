@@ -51,7 +51,7 @@ def subnet_gateways(nodes: DataFrame) -> DataFrame:
         F.min_by("id", F.struct((-rank).alias("r"), "ord")).alias("gateway_id"),
         F.min("ord").alias("idx"))
     address = F.substring_index("subnet", "/", 1)
-    bits = F.coalesce(F.expr("try_cast(split(subnet, '/')[1] as int)"),
+    bits = F.coalesce(F.expr("try_cast(get(split(subnet, '/'), 1) as int)"),
                       F.when(F.contains("subnet", F.lit(":")), 128).otherwise(32))
     return (per_subnet.withColumn("prefix_len", bits)
             .withColumn("network", prefix_key(address, F.col("prefix_len")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlumen.functions import devices
 from netlumen.functions.net import is_locally_administered, normalize_mac, subnet_of
 from netlumen.schemas import HOST_OBSERVATION, INFRA_TYPES
+from netlumen.session import materialize
 from netlumen.sources.oui import with_vendor
 
 # Tags that name a role rather than a team.
@@ -53,7 +54,8 @@ def merge_sightings(obs: DataFrame) -> DataFrame:
     Lists are reduced to their distinct members before they are gathered, so a device
     sighted a billion times costs its distinct values only.
     """
-    rows = identify(observations(obs))
+    # Five aggregations read the identified sightings: write them once.
+    rows = materialize(identify(observations(obs)), "sightings")
 
     def first(name: str) -> Column:
         filled = F.col(name) != ""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = ("catalog_state", "catalog_flows", "catalog_metrics", "catalog_views",
-            "catalog_topology", "catalog_sources", "catalog_stream")
+            "catalog_topology", "catalog_sources", "catalog_stream",
+            "catalog_ml")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

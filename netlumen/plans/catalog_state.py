@@ -10,6 +10,7 @@ from netlumen.operators import correlate, state
 from netlumen.plans import inputs
 from netlumen.plans.registry import (ATTRIBUTION_CTES, Registry, decay_ctes, r6, rank_sql,
                                      severity_sql, sql6, state_ctes, decayed_sql)
+from netlumen.session import materialize
 
 reg = Registry()
 VIEWS = "fx_alerts fx_nodes"
@@ -121,8 +122,8 @@ def state_timeline(spark, sf):
     from netlumen.operators.scan import global_rank, time_slice
     from netlumen.functions.severity import severity_of
 
-    line = state.score_timeline(inputs.state_events(spark, sf)).select(
-        "event_id", "node_id", "ts", "score", "alert_count")
+    line = materialize(state.score_timeline(inputs.stored_events(spark, sf)).select(
+        "event_id", "node_id", "ts", "score", "alert_count"), "score-line")
     counted = state.rolling_count(line)
     numbered = global_rank(counted, ["ts", "event_id"], time_slice(F.col("ts"), 600), "seq")
     return numbered.select("event_id", "node_id", r6("score").alias("score"),
@@ -147,7 +148,7 @@ def _sweep_sql() -> str:
 
 @reg.query("severity_changes", _sweep_sql())
 def severity_changes(spark, sf):
-    line = state.score_timeline(inputs.state_events(spark, sf))
+    line = state.score_timeline(inputs.stored_events(spark, sf))
     return state.severity_changes(line, float(_SWEEP))
 
 
@@ -171,8 +172,8 @@ def _acks(spark, sf):
     "live_ev AS (SELECT * FROM numbered WHERE ack = 0)",
     *decay_ctes("live_ev", key="node_id, epoch")))
 def ack_epochs(spark, sf):
-    events = inputs.state_events(spark, sf).select("event_id", "flow_id", "node_id", "ts", "score")
-    numbered = state.with_epoch(events, _acks(spark, sf))
+    numbered = state.with_epoch(inputs.stored_events(spark, sf), _acks(spark, sf))
+    numbered = materialize(numbered, "epochs")
     line = state.score_timeline(numbered, ("node_id", "epoch"))
     return line.select("event_id", "node_id", "epoch", r6("score").alias("score"), "alert_count")
 

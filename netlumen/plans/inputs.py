@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netlumen.fixtures import spark_view
 from netlumen.functions.net import normalize_mac
 from netlumen.operators.correlate import attribute_alerts
+from netlumen.session import materialize
 
 
 def packets(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,6 +40,12 @@ def state_events(spark: SparkSession, sf: str) -> DataFrame:
             .withColumn("ts", F.col("detected_at")))
 
 
+def stored_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, narrow and written once, for operators that read them several times."""
+    events = state_events(spark, sf).select("event_id", "flow_id", "node_id", "ts", "score")
+    return materialize(events, "state-events")
+
+
 def last_detection(spark: SparkSession, sf: str) -> Column:
     return alerts(spark, sf).agg(F.max("detected_at")).scalar()
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netlumen.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,7 +21,7 @@ class Registry:
         def add(fn: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} registered twice")
-            self.queries[name] = fn
+            self.queries[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
             if sql is not None:
                 self.oracle[name] = sql
             return fn

@@ -65,7 +65,7 @@ def read_manuf(spark: SparkSession, path: str) -> DataFrame:
     prefix = F.upper(F.regexp_replace(F.substring_index(parts[0], "/", 1), "[^0-9A-Fa-f]", ""))
     rows = spark.read.text(path).filter((line != "") & ~F.startswith(line, F.lit("#")))
     return (rows.filter(F.size(parts) >= 2)
-            .select(prefix.alias("p"), parts[1].alias("vendor"))
+            .select(prefix.alias("p"), F.get(parts, F.lit(1)).alias("vendor"))
             .filter(F.length("p") >= 6)
             .select(F.substring("p", 1, 6).alias("oui"), "vendor"))
 
