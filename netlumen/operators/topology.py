@@ -38,7 +38,10 @@ def identify(obs: DataFrame) -> DataFrame:
         "_host": host})
     names = (keyed.filter(F.col("_host") != "").groupBy("_host")
              .agg(F.min(F.struct("ord", "_key")).alias("_first")))
-    known = keyed.join(names, "_host", "left")
+    # Most sightings have no name; they skip the join instead of meeting in one task.
+    nameless = keyed.filter(F.col("_host") == "").withColumn(
+        "_first", F.lit(None).cast(names.schema["_first"].dataType))
+    known = keyed.filter(F.col("_host") != "").join(names, "_host", "left").unionByName(nameless)
     opens = (F.col("_host") == "") | (F.col("ord") == F.col("_first.ord"))
     keys = known.filter(opens).groupBy("_key").agg(F.min("ord").alias("_since"))
     placed = known.join(keys, "_key", "left")

@@ -89,7 +89,7 @@ def _record(s: dict, flow_id: str, reason: str) -> dict:
         **{f"{name}_count": c for c, (name, _) in zip(s["flags"], _FLAGS)},
         "iat_mean": iat[0], "iat_std": iat[1], "iat_min": 0.0 if math.isinf(g[3]) else g[3],
         "iat_max": g[4], "pkt_size_mean": size[0], "pkt_size_std": size[1], "pkt_size_min": z[2],
-        "pkt_size_max": z[3], "payload_entropy": max(entropy, 0.0),
+        "pkt_size_max": z[3], "payload_entropy": max(entropy, 0.0) + 0.0,   # no negative zero
         "tls_present": float(s["sni"] > 0), "tls_sni_len": s["sni"],
         "http_present": float(s["http"] > 0), "http_req_count": s["http"], "label": LABEL_UNKNOWN,
         "reason": reason}
@@ -203,9 +203,26 @@ class NodeStateKeeper(StatefulProcessor):
         fall = self.d.half_life * math.log2(s["score"] / bound) if s["score"] > bound else 0.0
         return s["last"] + self.d.dwell + fall
 
-    def _arm(self, s: dict) -> None:
-        s["due"] = int(self._next_drop(s, s["severity"]) * 1000) + 1
+    def _due(self, s: dict) -> int:
+        return int(self._next_drop(s, s["severity"]) * 1000) + 1
+
+    def _keep(self, s: dict | None) -> None:
+        if s is None:
+            self.state.clear()
+            return
+        s["due"] = self._due(s)
         self.handle.registerTimer(s["due"])
+        self.state.update((json.dumps(s),))
+
+    def _cool_until(self, key, s: dict | None, until_ms: float, out: list[dict]) -> dict | None:
+        """Emits every band left by then; a device that has faded out is forgotten."""
+        while s is not None and (due := self._due(s)) <= until_ms:
+            s["now"] = self._cooled(s, due / 1000)
+            clear = s["now"] < CLEAR_BELOW
+            s.update(severity="none", now=0.0) if clear else s.update(severity=_band(s["now"]))
+            out.append(self._row(key[0], s, due / 1000, "cooling"))
+            s = None if clear else s
+        return s
 
     def _row(self, key, s: dict, at: float, cause: str, flow_id: str = "") -> dict:
         return {"node_id": key, "at": at, "cause": cause, "flow_id": flow_id,
@@ -219,6 +236,7 @@ class NodeStateKeeper(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["ts", "is_ack", "event_id"],
                                                   ascending=[True, False, True])
         for a in batch.itertuples(index=False):
+            s = self._cool_until(key, s, a.ts * 1000, out)
             if a.is_ack:
                 if s:
                     s.update(severity="none", now=0.0)
@@ -226,8 +244,7 @@ class NodeStateKeeper(StatefulProcessor):
                     s = None
                 continue
             kept = self._cooled(s, a.ts) if s else 0.0
-            if s is None or (kept < CLEAR_BELOW and a.ts - s["last"] > self.d.dwell):
-                s, kept = {"count": 0, "recent": [], "peers": [], "ports": []}, 0.0
+            s = s or {"count": 0, "recent": [], "peers": [], "ports": []}
             s["score"] = s["now"] = max(kept, a.score)
             s["severity"], s["last"], s["count"] = _band(s["score"]), a.ts, s["count"] + 1
             s["recent"] = [x for x in s["recent"] if x >= a.ts - self.d.window] + [a.ts]
@@ -237,28 +254,16 @@ class NodeStateKeeper(StatefulProcessor):
             if port:
                 s["ports"] = ([port] + [x for x in s["ports"] if x != port])[:5]
             out.append(self._row(key[0], s, a.ts, "alert", a.flow_id))
-        if s is None:
-            self.state.clear()
-        else:
-            self._arm(s)
-            self.state.update((json.dumps(s),))
+        self._keep(s)
         yield from _frame(out, STATE_OUTPUT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         s = self._load()
         due = expiredTimerInfo.getExpiryTimeInMs()
         out: list[dict] = []
-        if s and s.get("due") == due:                  # otherwise a newer timer is armed
-            s["now"] = self._cooled(s, due / 1000)
-            s["severity"] = "none" if s["now"] < CLEAR_BELOW else _band(s["now"])
-            if s["severity"] == "none":
-                s["now"] = 0.0
-            out.append(self._row(key[0], s, due / 1000, "cooling"))
-            if s["severity"] == "none":
-                self.state.clear()
-            else:
-                self._arm(s)
-                self.state.update((json.dumps(s),))
+        if s and s["due"] == due:                      # otherwise a newer timer is armed
+            # The watermark may have passed several bands at once.
+            self._keep(self._cool_until(key, s, max(due, timerValues.getCurrentWatermarkInMs()), out))
         yield from _frame(out, STATE_OUTPUT)
 
     def close(self) -> None:
