@@ -273,11 +273,10 @@ def flow_records(segmented: DataFrame, t: Timeouts = DEFAULT) -> DataFrame:
     def count(condition: Column) -> Column:
         return F.sum(condition.cast("int")).cast("double")
 
-    first = lambda c: F.min_by(c, order)
-    sizes = F.col("length").cast("decimal(38,0)")
+    ends = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
+    opener = F.min(F.struct(order.alias("at"), *ends, "from_low"))
     facts = segmented.groupBy("flow_id").agg(
-        *[first(c).alias(c) for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")],
-        first("from_low").alias("_low_first"),
+        *[opener[c].alias(c) for c in ends], opener["from_low"].alias("_low_first"),
         F.min("ts").alias("start_ts"), F.max("ts").alias("emit_ts"),
         F.sum(F.when(low, size).otherwise(0.0)).alias("_bytes_low"),
         F.sum(F.when(~low, size).otherwise(0.0)).alias("_bytes_high"),
@@ -353,15 +352,16 @@ def merge_partials(records: DataFrame, order: list[str],
     mins = ("start_ts", "iat_min", "pkt_size_min")
     firsts = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
     means = ("iat_mean", "iat_std", "pkt_size_mean", "pkt_size_std")
-    known = F.when(F.col("label") != LABEL_UNKNOWN, F.col("label"))
-    known_at = F.when(F.col("label") != LABEL_UNKNOWN, at)
+    # One struct per end of the order instead of one buffer per column.
+    first = F.min(F.struct(at.alias("at"), *firsts, *means))
+    last_known = F.max(F.when(F.col("label") != LABEL_UNKNOWN, F.struct(at.alias("at"), "label")))
     weight = F.sum(pkts)
     out = {
         **{c: F.sum(c) for c in sums}, **{c: F.max(c) for c in maxes},
-        **{c: F.min(c) for c in mins}, **{c: F.min_by(c, at) for c in firsts},
+        **{c: F.min(c) for c in mins}, **{c: first[c] for c in firsts},
         **{c: F.when(weight > 0, F.sum(F.col(c) * pkts) / F.nullif(weight, F.lit(0.0)))
-           .otherwise(F.min_by(c, at)) for c in means},
-        "label": F.coalesce(F.max_by(known, known_at), F.lit(LABEL_UNKNOWN)),
+           .otherwise(first[c]) for c in means},
+        "label": F.coalesce(last_known["label"], F.lit(LABEL_UNKNOWN)),
     }
     return records.groupBy("flow_id", *(extra_keys or [])).agg(*[c.alias(n) for n, c in out.items()]).select(
         *CONNECTION_FIELDS)
