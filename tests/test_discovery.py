@@ -220,3 +220,18 @@ def test_zeek_log(spark, tmp_path):
     (tmp_path / "ssl.log").write_text('{"uid":"C1","server_name":"example.com"}\n')
     r = datasets.read_zeek(spark, str(tmp_path / "conn.log"), str(tmp_path / "ssl.log")).first()
     assert (r.syn_count, r.ack_count, r.fin_count, r.rst_count, r.tls_sni_len, r.emit_ts, r.resp_bytes) == (2, 3, 2, 1, 11, 12.5, 0)
+
+
+def test_sightings_to_placed_topology(spark, tmp_path):
+    from netlumen.plans.discovery import build_topology
+
+    arp = neighbours.parse_neighbours(dumps(spark, "? (10.0.0.2) at 00:1b:54:00:00:01 on e0\n? (10.0.0.5) at 00:1c:23:00:00:05 on e0\n"))
+    hosts, links = lldp.parse_json(dumps(spark, '{"lldp":{"interface":{"eth0":{"chassis":{"name":"sw","id":{"type":"mac","value":"00:1b:54:00:00:01"},"capability":{"type":"Bridge","enabled":true}}}}}}'))
+    me = spark.createDataFrame([(1, "10.0.0.7", "00:1c:23:00:00:07", "me", "local")], "ord long, ip string, mac string, hostname string, source string")
+    nodes, edges = build_topology(arp.unionByName(hosts).unionByName(topology.observations(me)), links)
+    got = {r.name: r for r in nodes.collect()}
+    assert set(got) == {"sw", "10.0.0.5", "me"} and got["sw"].layer == 1 and got["sw"].ip == "10.0.0.2"
+    kinds = sorted((r.kind, r.discovered_by[0]) for r in edges.collect())
+    assert kinds == [("ethernet", "lldp"), ("inferred", "inference:subnet")]
+    again, _ = build_topology(topology.observations(me), links, previous=nodes)
+    assert {r.id for r in again.collect()} == {r.id for r in got.values()}
