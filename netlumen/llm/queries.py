@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlumen.llm import packing, token_counts, token_shards
+from netlumen.llm import decontaminate, packing, rule_cascade, token_counts, token_shards
 from netlumen.llm.common import scratch, tokenizer_path
 from netlumen.plans.registry import Registry
 
@@ -35,3 +35,37 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return token_counts.over_limit(token_counts.token_counts(docs, tokenizer_path("word_bpe_49k.json")))
+
+
+@reg.query("op4_decontamination")
+def op4(spark, sf_dir):
+    return decontaminate.digest(decontaminate.contamination(
+        table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")))
+
+
+# Words, lines and windows as DuckDB lists; the method's own rules come after the base ones.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id),
+ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
+             coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
+             length(t) - length(regexp_replace(t, '[A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS letters
+      FROM d JOIN ln ON ln.doc_id = d.doc_id LEFT JOIN hit ON hit.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 40 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 100 * letters < 50 * word_chars OR 100 * n_dup_lines > 40 * n_lines) AS kept
+FROM b
+"""
+
+
+@reg.query("op8_quality_rules", OP8_SQL)
+def op8(spark, sf_dir):
+    return rule_cascade.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
