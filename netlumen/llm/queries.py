@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlumen.llm import decontaminate, packing, rule_cascade, token_counts, token_shards
+from netlumen.llm import decontaminate, packing, rule_cascade, token_counts, token_shards, url_filter
 from netlumen.llm.common import scratch, tokenizer_path
 from netlumen.plans.registry import Registry
 
@@ -69,3 +69,27 @@ FROM b
 @reg.query("op8_quality_rules", OP8_SQL)
 def op8(spark, sf_dir):
     return rule_cascade.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+             ("net/es/", "block"), ("net/fr/", "block"))
+_RULES_SQL = ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)
+_SITES_SQL = ", ".join(f"('{s}')" for s in url_filter.SITES)
+OP1_SQL = f"""
+WITH rules(rule, verdict) AS (VALUES {_RULES_SQL}), sites(site) AS (VALUES {_SITES_SQL}),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+fit AS (SELECT p.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+        FROM p JOIN rules r ON ends_with('.' || p.host, '.' || split_part(r.rule, '/', 1))
+                           AND starts_with(p.path, substr(r.rule, strpos(r.rule, '/'))) GROUP BY p.page_id),
+bad AS (SELECT DISTINCT p.page_id FROM p JOIN sites s ON ends_with('.' || p.host, '.' || s.site))
+SELECT p.page_id, p.host, p.path, fit.rule,
+       coalesce(fit.verdict, CASE WHEN bad.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN fit ON fit.page_id = p.page_id LEFT JOIN bad ON bad.page_id = p.page_id
+"""
+
+
+@reg.query("op1_url_filter", OP1_SQL)
+def op1(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
