@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlumen.llm import decontaminate, packing, rule_cascade, token_counts, token_shards, url_filter
+from netlumen.llm import (
+    decontaminate, license_scan, packing, rule_cascade, sharding, token_counts, token_shards,
+    url_filter)
 from netlumen.llm.common import scratch, tokenizer_path
 from netlumen.plans.registry import Registry
 
@@ -93,3 +95,71 @@ FROM p LEFT JOIN fit ON fit.page_id = p.page_id LEFT JOIN bad ON bad.page_id = p
 @reg.query("op1_url_filter", OP1_SQL)
 def op1(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
+SHARD_BYTES = 64 << 20
+
+
+def shard_sql(limit: int) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(
+             coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+every AS (SELECT d.*, t.depth, h >> (60 - t.depth) AS prefix FROM d, range(0, 61) t(depth)),
+size AS (SELECT depth, prefix, sum(n_bytes) AS n FROM every GROUP BY ALL
+         HAVING sum(n_bytes) <= {limit} OR min(h) = max(h)),
+leaf AS (SELECT e.doc_id, e.n_bytes, min(e.depth) AS depth, arg_min(e.prefix, e.depth) AS prefix
+         FROM every e JOIN size s ON s.depth = e.depth AND s.prefix = e.prefix GROUP BY ALL),
+named AS (SELECT doc_id, n_bytes, 'b' || CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), depth::INT) END AS shard
+          FROM leaf)
+SELECT doc_id, n_bytes, shard, (sum(n_bytes) OVER w)::BIGINT AS shard_bytes, count(*) OVER w AS shard_docs
+FROM named WINDOW w AS (PARTITION BY shard)
+"""
+
+
+@reg.query("op2_sharding", shard_sql(SHARD_BYTES))
+def op2(spark, sf_dir):
+    sharded = sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), SHARD_BYTES)
+    return sharding.with_sizes(sharded.select("doc_id", "n_bytes", "shard"))
+
+
+def _sql_rows(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+# Postings, votes and key phrases as joins over the words' places.
+OP7_SQL = f"""
+WITH tw(t, label, j, word, need) AS (VALUES {_sql_rows(
+    (k, t.label, j, w, int(t.key_at <= j < t.key_at + len(t.key)))
+    for k, t in enumerate(license_scan.templates()) for j, w in enumerate(t.words))}),
+bp(p, label, j, word, n) AS (VALUES {_sql_rows(
+    (k, label, j, w, len(p.split())) for k, (p, label) in enumerate(license_scan.BASE) for j, w in enumerate(p.split()))}),""" + r"""
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+v AS (SELECT u.* FROM u WHERE word IN (SELECT word FROM tw UNION SELECT word FROM bp)),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM v GROUP BY word),
+iw AS (SELECT tw.*, coalesce(df.n, 0) AS n, ln(((SELECT count(*) FROM d) + 1) / (coalesce(df.n, 0) + 1)) + 1 AS idf
+       FROM tw LEFT JOIN df ON df.word = tw.word),
+anchor AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n, j) AS k FROM iw) WHERE k <= 3),
+cand AS (SELECT v.doc_id, a.t, v.i - a.j AS s FROM v JOIN anchor a ON a.word = v.word GROUP BY ALL HAVING count(*) >= 2),
+score AS (SELECT c.doc_id, c.t, any_value(w.label) AS label, sum(CASE WHEN v.i IS NULL THEN 0 ELSE w.idf END) / sum(w.idf) AS share
+          FROM cand c JOIN iw w ON w.t = c.t LEFT JOIN v ON v.doc_id = c.doc_id AND v.i = c.s + w.j AND v.word = w.word
+          GROUP BY c.doc_id, c.t, c.s HAVING sum(w.need) = sum(CASE WHEN v.i IS NULL THEN 0 ELSE w.need END)
+          AND sum(CASE WHEN v.i IS NULL THEN 0 ELSE w.idf END) / sum(w.idf) >= 0.75),
+base AS (SELECT v.doc_id, b.label, v.i - b.j AS s FROM v JOIN bp b ON b.word = v.word
+         GROUP BY v.doc_id, b.p, b.label, v.i - b.j HAVING count(*) = any_value(b.n)),
+bd AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word,
+              string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+md AS (SELECT doc_id, max(share) AS share FROM score GROUP BY doc_id),
+ad AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+       FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM score) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(bd.n_base, 0)::BIGINT AS n_base, bd.first_word::BIGINT AS first_word,
+       bd.last_word::BIGINT AS last_word, coalesce(bd.base_labels, '') AS base_labels, coalesce(ad.labels, '') AS labels,
+       CASE WHEN bd.n_base > 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, round(coalesce(md.share, 0), 6)) END AS score
+FROM d LEFT JOIN bd ON bd.doc_id = d.doc_id LEFT JOIN md ON md.doc_id = d.doc_id LEFT JOIN ad ON ad.doc_id = d.doc_id
+"""
+
+
+@reg.query("op7_license_scan", OP7_SQL)
+def op7(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("found")
