@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlumen.llm import (
-    decontaminate, license_scan, packing, rule_cascade, sharding, token_counts, token_shards,
+    decontaminate, license_scan, packing, rule_cascade, sharding, site_quality, token_counts, token_shards,
     url_filter)
 from netlumen.llm.common import scratch, tokenizer_path
 from netlumen.plans.registry import Registry
@@ -163,3 +163,10 @@ FROM d LEFT JOIN bd ON bd.doc_id = d.doc_id LEFT JOIN md ON md.doc_id = d.doc_id
 @reg.query("op7_license_scan", OP7_SQL)
 def op7(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("found")
+
+
+@reg.query("op3_quality_classifier")
+def op3(spark, sf_dir):
+    return site_quality.classify(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"),
+                                 table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"),
+                                 keep=["doc_id", "source", "lang"])
