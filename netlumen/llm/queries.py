@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlumen.llm import (
-    decontaminate, license_scan, packing, rule_cascade, sharding, site_quality, token_counts, token_shards,
+    decontaminate, license_scan, ngram_join, packing, rule_cascade, sharding, site_quality, token_counts, token_shards,
     url_filter)
 from netlumen.llm.common import scratch, tokenizer_path
 from netlumen.plans.registry import Registry
@@ -170,3 +170,8 @@ def op3(spark, sf_dir):
     return site_quality.classify(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"),
                                  table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"),
                                  keep=["doc_id", "source", "lang"])
+
+
+@reg.query("op5_ngram_join")
+def op5(spark, sf_dir):
+    return ngram_join.link(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, num=85, den=100)

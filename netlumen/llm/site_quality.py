@@ -34,7 +34,7 @@ from netlumen.llm.rule_cascade import Texts
 from netlumen.llm.textscan import ALNUM, hashes, mix, runs, slices, utf8
 
 MAX_LABELLED, MAX_WORDS = 20_000, 300
-LEAST_TEXTS, LEAST_SHARE, LEAST_SURPRISE = 5, 0.005, 6.0     # of a word that is a feature
+LEAST_TEXTS, LEAST_SHARE, LEAST_SURPRISE = 5, 0.01, 6.0     # of a word that is a feature
 MOST_SHIFT, EDGE = 2.0, 1e-4
 HEADS = ("low", "toxic")
 RATIOS = 6
