@@ -174,13 +174,13 @@ def scan(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame
 
 def _tied(rows):
     """Pairs of sets that gave an equal hash in different batches."""
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
         names = np.frombuffer(b"".join(table["names"].to_pylist()), np.int64)
         pairs = together(keys, names)[2]
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("bucket").applyInArrow(lambda k, t: run(k, t), "a long, b long")
+    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def bitmaps(gram: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
@@ -318,7 +318,7 @@ def large_links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     rows = materialize(rows.select("cluster", "band", "name", "n", "text"), "ngram-large")
     schema = "a long, b long"
 
-    def solve(key, table: pa.Table) -> pa.Table:
+    def solve(key, table):
         gram, at, name, table = _unpacked(table, n)
         group = np.unique(table["c"].to_numpy(), return_inverse=True)[1] if "c" in table.column_names else np.arange(len(name))
         links = tile_links(gram, at, group, num, den)
