@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netlumen.session import materialize, shared_dir
 
-__all__ = ["attach", "components", "fresh", "materialize", "plain", "scratch", "tokenizer_path"]
+__all__ = ["attach", "components", "fresh", "map_arrow", "materialize", "plain", "scratch", "tokenizer_path"]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -45,6 +47,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` by position, for column names that it does not take (backquotes)."""
+    names = [f"c{i}" for i in range(len(schema.fields))]
+
+    def by_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.rename_columns(names)
+
+    numbered = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema.fields)])
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return rows.mapInArrow(by_position, numbered).toDF(*schema.names)
+
+
 def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): every vertex with its component's least.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlumen.llm.common import attach, fresh, materialize, plain
+from netlumen.llm.common import attach, fresh, map_arrow, materialize, plain
 from netlumen.llm.fm_index import FMIndex
 from netlumen.llm.textscan import ALNUM, gathered, hashes, runs, utf8
 
@@ -155,7 +155,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, keep: S
         return run
 
     for phrases in found or [None]:
-        rows = rows.mapInArrow(scan(phrases), schema)
+        rows = map_arrow(rows, scan(phrases), schema)
     return rows.select(*[plain(rows, c) for c in names], F.col("__n").alias("n_words"),
                        F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
@@ -218,7 +218,7 @@ def remove(df: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
 
     while True:
         for phrases in found:
-            rows = rows.mapInArrow(cut(phrases), schema)
+            rows = map_arrow(rows, cut(phrases), schema)
         if len(found) < 2:
             return rows.drop(flag)
         # A cut for one block may join words into a phrase of another: go round again.

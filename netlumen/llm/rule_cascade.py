@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlumen.llm.common import plain
+from netlumen.llm.common import map_arrow, plain
 from netlumen.llm.textscan import NOT_FEED, SAME, SPACED, hashes, mix, runs, shingles, slices, utf8
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -187,7 +187,7 @@ def keep(df: DataFrame, rules: Sequence[Rule] = (*BASE, *OWN), text: str = "text
                 mask = kept_mask(Texts(part.column(at)), ordered)
                 yield part.filter(pa.array(mask)).rename_columns(names)
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 def judge(df: DataFrame, keep_columns: Sequence[str] = ("doc_id",), text: str = "text",
@@ -213,4 +213,4 @@ def judge(df: DataFrame, keep_columns: Sequence[str] = ("doc_id",), text: str =
                     [*part.columns[:at], *[pa.array(s, pa.int64()) for s in stats], pa.array(failed), pa.array(kept)],
                     names=[*keep_columns, *STATS, "base_failed", "kept"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlumen.llm.common import attach, fresh, materialize, plain
+from netlumen.llm.common import fresh, map_arrow, materialize, plain
 from netlumen.llm.rule_cascade import Texts
 from netlumen.llm.textscan import ALNUM, hashes, mix, runs, slices, utf8
 
@@ -193,7 +193,7 @@ def evidence(df: DataFrame, model: Model, text: str, keep: Sequence[str]) -> Dat
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(z[:, 0]), pa.array(z[:, 1])],
                                                  names=[*keep, "__low", "__toxic"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def _shrunk(n: Column, total: Column, parent: Column, pseudo: Column) -> Column:

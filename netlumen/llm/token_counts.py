@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlumen.llm.common import plain
+from netlumen.llm.common import map_arrow, plain
 from netlumen.llm.encoding import encoder
 from netlumen.llm.textscan import gathered, utf8
 
@@ -60,7 +60,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep: Sequence[st
                  pa.array(offsets[1:] - offsets[:-1], pa.int64()), pa.array(tokens, pa.int64())],
                 names=[*kept, "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def over_limit(counted: DataFrame, limit: int = 2048) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlumen.llm.common import plain
+from netlumen.llm.common import map_arrow, plain
 from netlumen.session import shared_dir
 
 ALLOW, BLOCK = "allow", "block"
@@ -174,7 +174,7 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str]], sites: Sequence[str]
                 [*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())],
                 names=[*names, "host", "path", "rule", "verdict"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def judge_by_join(rows: DataFrame, index: DataFrame) -> DataFrame:
