@@ -64,10 +64,10 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): every vertex with its component's least.
 
-    Each round points every vertex and its root at the least label among its neighbours
-    and then at that label's own label, so paths shrink by half or better. A round is
-    aggregations and equi joins on tables in the shared folder; only the count of changed
-    labels reaches the driver. Fails loudly if ``max_rounds`` do not suffice.
+    Each round gives all vertices of a label the least label among their neighbours and
+    then that vertex's own label, so paths shrink by half or better. A round is
+    aggregations and equi joins on tables in the shared folder; only whether a label
+    changed reaches the driver. Fails loudly if ``max_rounds`` do not suffice.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     both = materialize(both.filter("a <> b").distinct(), f"{label}-edges")
@@ -77,12 +77,12 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
         seen = both.join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
         offer = seen.groupBy(F.col("a").alias("v")).agg(F.min("cb").alias("o"))
         now = labels.join(offer, "v", "left").select("v", "c", F.least("c", F.coalesce("o", "c")).alias("o"))
-        # A root takes the least that any of its members was offered; members follow it.
+        # A label's members all take the least that any of them was offered, and then
+        # the label of that vertex, so that chains halve.
         root = now.groupBy("c").agg(F.min("o").alias("r"))
-        hook = root.filter("r < c").select(F.col("c").alias("h"), F.col("r").alias("rh"))
-        step = (now.join(root, "c").select("v", F.col("c").alias("was"), "r")
-                .join(hook, F.col("r") == F.col("h"), "left")
-                .select("v", "was", F.least("r", F.coalesce("rh", "r")).alias("c")))
+        now = materialize(now.select("v", "c").join(root, "c"), f"{label}-{i}a")
+        ahead = now.select(F.col("v").alias("r"), F.col("r").alias("rr"))
+        step = now.join(ahead, "r").select("v", F.col("c").alias("was"), F.least("r", "rr").alias("c"))
         step = materialize(step, f"{label}-{i}")
         labels = step.select("v", "c")
         if step.filter("c < was").isEmpty():

@@ -13,24 +13,32 @@ from __future__ import annotations
 import gc
 import itertools
 import json
+import operator
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
 # A place no token crosses: before a space, after anything that is not white space.
 SAFE = re.compile(r"(?<=\S)(?= )")
 RISKY = re.compile(r"\s ")
+BARE = "\0"      # marks a piece that does not follow a space
 _ENCODERS: dict[tuple[str, int], "PieceEncoder"] = {}
 
 
 def pieces(text: str) -> list[str]:
-    """``text`` cut at every safe place; joined, the pieces are the text again."""
-    if RISKY.search(text) or text.startswith(" "):
-        return SAFE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    """``text`` cut at every safe place, as keys: a piece less the space before it, or
+    after ``BARE`` if there is none. The text must not hold ``BARE``."""
+    if text.replace("\n", "").isprintable():
+        risky = "  " in text or "\n " in text      # no other white space is printable
+    else:
+        risky = RISKY.search(text) is not None
+    if risky:
+        return [p[1:] if p[:1] == " " else BARE + p for p in SAFE.split(text)]
+    keys = text.split(" ")
+    keys[0] = BARE + keys[0]
+    return keys
 
 
 def blocks(text: str, chars: int) -> Iterator[str]:
@@ -50,8 +58,8 @@ def blocks(text: str, chars: int) -> Iterator[str]:
 # tokens are written with are left to the library.
 _L = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 _S = "[!-&(-/:;=-@\\[-`{}~]"
-PLAIN = re.compile(rf" ?{_L}+{_S}*(?:\n{_L}+{_S}*)*")
-PARTS = re.compile(rf" ?{_L}+|{_S}+|\n")
+PLAIN = re.compile(rf"\0?{_L}+{_S}*(?:\n{_L}+{_S}*)*")
+PARTS = re.compile(rf"\0?{_L}+|{_S}+|\n")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -66,13 +74,14 @@ def _byte_letters() -> dict[int, str]:
 class PieceEncoder:
     """Ids of whole texts by a ``tokenizers`` file, as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_pieces = max_pieces
         self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         kind = json.loads(self.tokenizer.to_str())
         model, suffix = kind["model"], kind["model"].get("end_of_word_suffix") or ""
         # The short way holds for byte-level BPE with these two known front ends only.
@@ -97,11 +106,13 @@ class PieceEncoder:
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Plain words, each one pre-token, through the model alone."""
+        """Keys that are plain words, each one pre-token, through the model alone."""
         out = []
         for i in range(0, len(words), 2048):
-            spelt = [w.strip().lower() if self.lower else w for w in words[i:i + 2048]]
-            spelt = [w.translate(self.spelling) for w in spelt]
+            part = words[i:i + 2048]
+            if not self.lower:
+                part = [w[1:] if w[0] == BARE else " " + w for w in part]
+            spelt = [w.translate(self.spelling) for w in part]
             ids = np.array(self.model.encode_batch_fast(["\n".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)))
             cuts = np.searchsorted(np.cumsum(self.letters[ids]), ends) + 1
@@ -111,34 +122,63 @@ class PieceEncoder:
                 start = cut
         return out
 
-    def learn(self, wanted: Iterable[str]) -> None:
-        wanted = set(wanted)
-        new = wanted.difference(self.known)
+    def _word(self, key: str) -> str:
+        """The key that stands for a plain word: with lower case spaces do not matter."""
+        return key.lstrip(BARE).lower() if self.lower else key
+
+    def learn(self, new: set[str]) -> None:
         if len(self.known) + len(new) > self.max_pieces:
-            self.known, new = {}, wanted
+            self.known = {}
+        known, plain, other = self.known, {}, []
+        for key in new:
+            if key.isalpha() and key.isascii():
+                plain[key] = (key,)
+            elif PLAIN.fullmatch(key):
+                found = PARTS.findall(key)
+                # Only the first word follows a space.
+                plain[key] = [found[0], *[BARE + x if x[0].isalpha() else x for x in found[1:]]]
+            else:
+                other.append(key)
         if not self.short:
-            new = list(new)
-            self.known.update(zip(new, self._library(new)))
-            return
-        plain = {p: PARTS.findall(p) for p in new if PLAIN.fullmatch(p)}
-        other = [p for p in new if p not in plain]
-        rest = {x for parts in plain.values() for x in parts}
-        words = [x for x in rest if x[-1].isalpha()]
-        odd = list(rest.difference(words))
-        part = dict(zip(words, self._words(words)))
-        part.update(zip(odd, self._library(odd)))
-        self.known.update(zip(other, self._library(other)))
-        for p, parts in plain.items():
-            self.known[p] = part[parts[0]] if len(parts) == 1 else b"".join([part[x] for x in parts])
+            other, plain = list(new), {}
+        known.update(zip(other, self._library([k[1:] if k[:1] == BARE else " " + k for k in other])))
+        part: dict[str, bytes | None] = {}
+        for parts in plain.values():
+            for x in parts:
+                if x not in part:
+                    part[x] = known.get(self._word(x)) if x[-1].isalpha() else self.signs.get(x)
+        odd = [x for x, ids in part.items() if ids is None and not x[-1].isalpha()]
+        self.signs.update(zip(odd, self._library(odd)))
+        words = list({self._word(x) for x, ids in part.items() if ids is None and x[-1].isalpha()})
+        known.update(zip(words, self._words(words)))
+        for x, ids in part.items():
+            if ids is None:
+                part[x] = known[self._word(x)] if x[-1].isalpha() else self.signs[x]
+        for key, parts in plain.items():
+            known[key] = part[parts[0]] if len(parts) == 1 else b"".join([part[x] for x in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         collecting = gc.isenabled()
         gc.disable()  # millions of short-lived strings, no cycles
         try:
-            cut = [pieces(t) for t in texts]
-            self.learn(itertools.chain.from_iterable(cut))
-            known = self.known
-            return [b"".join([known[p] for p in c]) for c in cut]
+            whole = {i: t for i, t in enumerate(texts) if BARE in t}
+            cut = [[] if i in whole else pieces(t) for i, t in enumerate(texts)]
+            flat = list(itertools.chain.from_iterable(cut))
+            codes = list(map(self.known.get, flat))
+            new = set(itertools.compress(flat, map(operator.is_, codes, itertools.repeat(None))))
+            if new:
+                # Also what is known now: the memory may be dropped before the new is added.
+                if len(self.known) + len(new) > self.max_pieces:
+                    new = set(flat)
+                self.learn(new)
+                codes = list(map(self.known.__getitem__, flat))
+            out, start = [], 0
+            for c in cut:
+                out.append(b"".join(codes[start:start + len(c)]))
+                start += len(c)
+            for i, ids in zip(whole, self._library(list(whole.values()))):
+                out[i] = ids
+            return out
         finally:
             if collecting:
                 gc.enable()
@@ -147,7 +187,7 @@ class PieceEncoder:
         return b"".join([self.encode([part])[0] for part in blocks(text, chars)])
 
 
-def encoder(path: str, max_pieces: int = 600_000) -> PieceEncoder:
+def encoder(path: str, max_pieces: int = 1_000_000) -> PieceEncoder:
     """One encoder for all tasks that a Python worker runs."""
     key = (path, max_pieces)
     if key not in _ENCODERS:

@@ -34,7 +34,7 @@ from netlumen.llm.rule_cascade import Texts
 from netlumen.llm.textscan import ALNUM, hashes, mix, runs, slices, utf8
 
 MAX_LABELLED, MAX_WORDS = 20_000, 300
-LEAST_TEXTS, LEAST_SHARE, LEAST_SURPRISE = 5, 0.01, 6.0     # of a word that is a feature
+LEAST_TEXTS, LEAST_SHARE = 5, 0.01     # that a word is in to be a feature
 MOST_SHIFT, EDGE = 2.0, 1e-4
 HEADS = ("low", "toxic")
 RATIOS = 6
@@ -72,6 +72,11 @@ class Model:
         return out
 
 
+def least_surprise(n: int) -> float:
+    """Standard deviations from chance that make a word a feature; few labels show less."""
+    return float(np.clip(0.25 * np.sqrt(n), 3.5, 6.0))
+
+
 def train(text: np.ndarray, word: np.ndarray, ratios: np.ndarray, labels: np.ndarray, n_words: int,
           epochs: int = 60, penalty: float = 1e-5) -> np.ndarray:
     """Logistic regression by Adam. A column of ``labels`` may
@@ -91,7 +96,7 @@ def train(text: np.ndarray, word: np.ndarray, ratios: np.ndarray, labels: np.nda
         bad = np.bincount(word, (y * known)[text, k], n_words)
         expected = seen * n_bad / n_all
         odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((seen - bad + 0.5) / (n_all - n_bad + 1))
-        weights[:n_words, k] = odds * (np.abs(bad - expected) >= LEAST_SURPRISE * np.sqrt(expected + 1))
+        weights[:n_words, k] = odds * (np.abs(bad - expected) >= least_surprise(n) * np.sqrt(expected + 1))
     order = np.argsort(text, kind="stable")
     text, word = text[order], word[order]
     at = np.searchsorted(text, np.arange(n + 1))
@@ -149,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, do
         return F.abs(F.col(head) - expected) / F.sqrt(expected + 1)
 
     tally = tally.withColumn("z", F.greatest(*map(surprise, HEADS)))
-    tally = tally.filter((F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * n)) & (F.col("z") >= LEAST_SURPRISE))
+    tally = tally.filter((F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * n)) & (F.col("z") >= least_surprise(n)))
     best = tally.orderBy(F.desc("z"), "word").limit(MAX_WORDS)
     words = np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64))
 
