@@ -25,15 +25,6 @@ LINEAR = ("payload_entropy",)
 SWAPPED = ("protocol", "src_port", "dst_port", "tls_present", "tls_sni_len", "http_present",
            "http_req_count")
 FLAGS = ("syn_count", "ack_count", "fin_count", "rst_count", "psh_count", "urg_count")
-# Share of each traffic class in a default mix.
-DEFAULT_MIX = {
-    "benign_web_https": 0.33, "benign_web_http": 0.10, "benign_dns": 0.17,
-    "benign_ssh_interactive": 0.04, "benign_smtp": 0.03, "benign_smb": 0.05,
-    "benign_backup_upload": 0.015, "benign_monitoring_poll": 0.035, "benign_it_scan": 0.02,
-    "benign_failed_conn": 0.04, "attack_port_scan": 0.035, "attack_syn_flood": 0.025,
-    "attack_ddos_http": 0.025, "attack_brute_force": 0.03, "attack_exfiltration": 0.012,
-    "attack_c2_beacon": 0.023, "attack_web_injection": 0.02,
-}
 
 
 def unit(seed: int, *parts: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlumen.functions.severity import severity_from_rank, severity_rank
-from netlumen.operators.scan import global_rank, running, time_slice, with_lookback
+from netlumen.operators.scan import in_window, global_rank, running, time_slice, with_lookback
 
 
 def counts_by(df: DataFrame, dims: Mapping[str, str], extra: Mapping[str, Column] | None = None,
@@ -85,10 +85,7 @@ def sliding_rate(events: DataFrame, ts: str = "ts", window_s: float = 5.0,
     """At each event: events of the last ``window_s`` seconds over the time since the
     first of them."""
     spread = with_lookback(events, ts, window_s, slice_s)
-    frame = (f"PARTITION BY _slice ORDER BY {ts} "
-             f"RANGE BETWEEN {float(window_s)}D PRECEDING AND CURRENT ROW")
-    out = spread.withColumns({"_n": F.expr(f"count(1) OVER ({frame})"),
-                              "_first": F.expr(f"min({ts}) OVER ({frame})")})
+    out = in_window(spread, ["_slice"], ts, window_s, "_n", "_first")
     span = F.greatest(F.col(ts) - F.col("_first"), F.lit(1e-6))
     return (out.filter(~F.col("_ghost")).withColumn("rate", F.col("_n") / span)
             .drop("_slice", "_ghost", "_n", "_first"))
@@ -102,15 +99,12 @@ def alert_rate_per_minute(events: DataFrame, ts: str = "ts", order: str = "event
     spread = with_lookback(events, ts, window_s, slice_s)
     frame = (f"PARTITION BY _slice ORDER BY {ts}, {order} ROWS BETWEEN UNBOUNDED PRECEDING "
              f"AND CURRENT ROW")
-    near = (f"PARTITION BY _slice ORDER BY {ts} "
-            f"RANGE BETWEEN {float(window_s)}D PRECEDING AND CURRENT ROW")
     # Rows equal in time but later in order belong to the range frame, not to the past.
     out = spread.withColumns({
         "_upto": F.expr(f"count(1) OVER ({frame})"),
-        "_in": F.expr(f"count(1) OVER ({near})"),
         "_end": F.expr(f"count(1) OVER (PARTITION BY _slice ORDER BY {ts} RANGE BETWEEN "
-                       f"UNBOUNDED PRECEDING AND CURRENT ROW)"),
-        "_first": F.expr(f"min({ts}) OVER ({near})")}).filter(~F.col("_ghost"))
+                       f"UNBOUNDED PRECEDING AND CURRENT ROW)")})
+    out = in_window(out, ["_slice"], ts, window_s, "_in", "_first").filter(~F.col("_ghost"))
     back = F.col("_in") - (F.col("_end") - F.col("_upto"))
     out = out.withColumn("_back", back).drop("_slice", "_ghost", "_upto", "_in", "_end")
     prev = running(out, [], [ts, order], time_slice(F.col(ts), slice_s), lags={"_prev": F.col(ts)})
@@ -171,13 +165,13 @@ def latest_per(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def time_range(df: DataFrame, start: float | None = None, end: float | None = None,
-               keep: int = 10_000, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Events between two instants; of more than ``keep``, the newest ones."""
+               keep: int | None = None, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Events between two instants; of more than ``keep``, if given, the newest ones."""
     if start is not None:
         df = df.filter(F.col(ts) >= start)
     if end is not None:
         df = df.filter(F.col(ts) <= end)
-    return newest(df, keep, ts, tie)
+    return df if keep is None else newest(df, keep, ts, tie)
 
 
 def numbered(df: DataFrame, ts: str = "detected_at", tie: str = "event_id",

@@ -127,6 +127,33 @@ def with_lookback(df: DataFrame, ts: str, lookback_s: float, width_s: float) ->
             .drop("_home"))
 
 
+def in_window(spread: DataFrame, parts: Sequence[str], ts: str, window_s: float, name: str,
+              first: str | None = None) -> DataFrame:
+    """Adds how many rows of ``parts`` lie in the ``window_s`` seconds up to and at each
+    row's time, and optionally the time of the first of them.
+
+    Every row also sends a mark to the instant it leaves the window; two running counts
+    over rows and marks in time order give the number, in one sort whatever the window
+    holds. A range frame would re-read the window for every row."""
+    parts = list(parts)
+    mark = spread.select(*parts, (F.col(ts) + F.lit(float(window_s))).alias(ts), F.lit(True).alias("_mark"))
+    both = spread.withColumn("_mark", F.lit(False)).unionByName(mark, allowMissingColumns=True)
+    # A mark at a row's very instant comes after it: the row it stands for still counts.
+    order = Window.partitionBy(*parts).orderBy(ts, "_mark")
+    peers = order.rangeBetween(*UP_TO)
+    row = (~F.col("_mark")).cast("long")
+    both = both.withColumns({"_seen": F.sum(row).over(peers),
+                             "_left": F.sum(1 - row).over(order.rowsBetween(*UP_TO))})
+    if first:
+        both = both.withColumn("_nth", F.sum(row).over(order.rowsBetween(*UP_TO)))
+    out = both.filter(~F.col("_mark")).withColumn(name, F.col("_seen") - F.col("_left"))
+    if first:
+        nth = out.select(*parts, (F.col("_nth") - 1).alias("_left"), F.col(ts).alias(first))
+        out = out.join(nth, [*parts, "_left"])
+    kept = [*spread.columns, name, *([first] if first else [])]
+    return out.select(*kept)
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
                     by: Sequence[str] = (), per_e: int = 4096) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group and q.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlumen.functions.severity import CLEAR_BELOW, severity_of, severity_rank
-from netlumen.operators.scan import BEFORE, UP_TO, running, time_slice, with_lookback
+from netlumen.operators.scan import in_window, BEFORE, UP_TO, running, time_slice, with_lookback
 
 
 @dataclass(frozen=True)
@@ -150,10 +150,7 @@ def rolling_count(events: DataFrame, keys: Sequence[str] = ("node_id",),
                   d: Decay = DEFAULT) -> DataFrame:
     """Alerts of the device in the ``d.window`` seconds up to and including each alert."""
     spread = with_lookback(events, "ts", d.window, max(d.slice_s, d.window))
-    # Fractional range frames are only reachable through SQL text.
-    frame = (f"PARTITION BY {', '.join(keys)}, _slice ORDER BY ts "
-             f"RANGE BETWEEN {float(d.window)}D PRECEDING AND CURRENT ROW")
-    counted = spread.withColumn("alert_count_window", F.expr(f"count(1) OVER ({frame})"))
+    counted = in_window(spread, [*keys, "_slice"], "ts", d.window, "alert_count_window")
     return counted.filter(~F.col("_ghost")).drop("_slice", "_ghost")
 
 

@@ -147,16 +147,21 @@ def resolve_endpoints(links: DataFrame, nodes: DataFrame) -> DataFrame:
                     text, F.lit(""))).alias("k")),
                 F.struct(F.lit(3).alias("p"), F.concat(F.lit("m:"), normalize_mac(
                     text)).alias("k")))).alias("keys")))
-    tried = (links.select("ord", F.explode(F.array(*ends)).alias("e"))
-             .select("ord", "e.side", F.explode("e.keys").alias("c"))
-             .select("ord", "side", "c.p", F.col("c.k").alias("_k"))
-             .filter(F.col("_k").isNotNull()))
-    found = (tried.join(_names(nodes), "_k").groupBy("ord", "side")
-             .agg(F.min(F.struct("p", "_hit"))["_hit"]["id"].alias("id")))
-    sides = found.groupBy("ord").agg(
-        F.max(F.when(F.col("side") == "local", F.col("id"))).alias("local_id"),
-        F.max(F.when(F.col("side") == "remote", F.col("id"))).alias("remote_id"))
-    return links.join(sides, "ord", "left")
+    # What an endpoint says decides what it is: equal texts are looked up once, and the
+    # answer is joined to every sighting by those texts, so no sighting's place is a key.
+    said = {side: F.struct(F.coalesce(F.col(f"{side}_mac"), F.lit("")), F.coalesce(F.col(side), F.lit("")))
+            for side in ("local", "remote")}
+    asked = links.select(F.explode(F.array(*[
+        F.struct(said[e].alias("said"), end["keys"].alias("keys")) for e, end in zip(said, ends)])).alias("e"))
+    tried = (asked.select("e.said", "e.keys").distinct().select("said", F.explode("keys").alias("c"))
+             .select("said", "c.p", F.col("c.k").alias("_k")).filter(F.col("_k").isNotNull()))
+    found = materialize(tried.join(_names(nodes), "_k").groupBy("said").agg(
+        F.min(F.struct("p", "_hit"))["_hit"]["id"].alias("id")), "endpoints")
+    out = links
+    for side in ("local", "remote"):
+        answer = found.select(F.col("said").alias("_said"), F.col("id").alias(f"{side}_id"))
+        out = out.join(answer, said[side] == F.col("_said"), "left").drop("_said")
+    return out
 
 
 def _pair(a: Column, b: Column) -> dict[str, Column]:
@@ -177,7 +182,8 @@ def measured_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
         "ord", "kind", "bandwidth_mbps", "source_name" if "source_name" in links.columns
         else F.col("source").alias("source_name"))
     first = pairs.groupBy("source", "target").agg(
-        F.min_by(F.struct("kind", "bandwidth_mbps", "source_name"), "ord").alias("f"))
+        F.min_by(F.struct("kind", "bandwidth_mbps", "source_name"),
+                 F.struct("ord", "source_name", "kind", "bandwidth_mbps")).alias("f"))
     return first.select(
         _link_id().alias("id"), "source", "target", F.col("f.kind").alias("kind"),
         F.col("f.bandwidth_mbps").alias("bandwidth_mbps"),

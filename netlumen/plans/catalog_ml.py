@@ -19,8 +19,7 @@ reg = Registry()
 @reg.query("train_detector")
 def train_detector(spark, sf):
     """Both candidates on the labelled connections; one row of held-out quality each."""
-    meta = training.train(inputs.connections(spark, sf), scratch_path(spark, "model"),
-                          trees=20, iterations=30)
+    meta = training.train(inputs.connections(spark, sf), scratch_path(spark, "model"))
     rows = [(name, m["recall"], m["precision"], m["f1"], m["fpr"], m["roc_auc"], m["threshold"],
              m["threshold_rule"], name == meta["model"]) for name, m in meta["candidates"].items()]
     return spark.createDataFrame(
@@ -32,7 +31,7 @@ def train_detector(spark, sf):
 def detect_connections(spark, sf):
     """Train, store, load again, score every connection and keep the alerts."""
     conns, path = inputs.connections(spark, sf), scratch_path(spark, "model")
-    training.train(conns, path, trees=10, models=("rf",))
+    training.train(conns, path)
     model, meta = training.load(spark, path)
     out = training.detect(conns, model, training.threshold_of(meta))
     return out.select("flow_id", "src_ip", "dst_ip", "score", "threshold", "label")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netlumen.fixtures import duck_with
-from netlumen.operators import augment
-from netlumen.plans import inputs
+from netlumen.operators import augment, topology
+from netlumen.plans import discovery, inputs
 from netlumen.plans.catalog_views import MAC_SQL
 from netlumen.plans.registry import Registry, r6, sql6
 from netlumen.schemas import CONNECTION_FIELDS, as_connections
@@ -29,7 +29,10 @@ def _dumps(rows, line, subject="subnet"):
 def neighbour_dumps(spark, sf):
     """Devices written in the four neighbour-table spellings and read back; entries
     that never resolved (printers) must not become devices."""
-    n = inputs.nodes(spark, sf)
+    return _neighbour_hosts(inputs.nodes(spark, sf)).select("ip", "mac", "hostname", "interface", "source")
+
+
+def _neighbour_hosts(n):
     dead = F.col("device_type") == "printer"
     line = (F.when(F.col("criticality") == 0, F.format_string(
         "%s (%s) at %s [ether] on eth0", "name", "ip", F.when(dead, "<incomplete>").otherwise(F.col("mac"))))
@@ -39,8 +42,7 @@ def neighbour_dumps(spark, sf):
             "%s 0x1 %s %s * eth0", "ip", F.when(dead, "0x0").otherwise("0x2"), "mac"))
         .otherwise(F.format_string("? (%s) at %s on eth0 ifscope [ethernet]", "ip",
                                    F.when(dead, "(incomplete)").otherwise(F.regexp_replace("mac", "(^|:)0", "$1")))))
-    return neighbours.parse_neighbours(_dumps(n, line)).select(
-        "ip", "mac", "hostname", "interface", "source")
+    return neighbours.parse_neighbours(_dumps(n, line))
 
 
 _LLDP_SQL = duck_with("fx_nodes", _ND) + """SELECT mac, name AS hostname, ip, 'eth7' AS interface,
@@ -50,6 +52,11 @@ _LLDP_SQL = duck_with("fx_nodes", _ND) + """SELECT mac, name AS hostname, ip, 'e
 @reg.query("lldp_json", _LLDP_SQL)
 def lldp_json(spark, sf):
     """One JSON report per device in one of the three shapes."""
+    hosts, _ = _lldp_reports(inputs.nodes(spark, sf))
+    return hosts.select("mac", "hostname", "ip", "interface", "device_type_hint")
+
+
+def _lldp_reports(n):
     cap = F.when(F.col("device_type").isin("router", "firewall"), "Router").when(
         F.col("device_type") == "wireless_ap", "Wlan").when(
         F.col("device_type") == "switch", "Bridge").otherwise("Station")
@@ -60,10 +67,8 @@ def lldp_json(spark, sf):
     args = ["name", "mac", "ip", cap]
     text = F.when(F.col("criticality") == 0, F.format_string(named, *args)).when(
         F.col("criticality") == 1, F.format_string(keyed, *args)).otherwise(F.format_string(by_name, *args))
-    dumps = inputs.nodes(spark, sf).select(F.col("id").alias("dump"), text.alias("text"),
-                                           F.lit("probe-1").alias("local_name"))
-    hosts, _ = lldp.parse_json(dumps)
-    return hosts.select("mac", "hostname", "ip", "interface", "device_type_hint")
+    dumps = n.select(F.col("id").alias("dump"), text.alias("text"), F.lit("probe-1").alias("local_name"))
+    return lldp.parse_json(dumps)
 
 
 _TEXT_SQL = duck_with("fx_nodes", _ND) + """SELECT 'probe-1' AS local, name AS remote, 'eth7' AS local_port, concat('gi0/', criticality) AS remote_port, mac AS remote_mac FROM nd"""
@@ -83,7 +88,7 @@ def lldp_text(spark, sf):
 def _walks(spark, sf):
     """One walk per device: it lists itself and one neighbour."""
     text = F.format_string(
-        "SNMPv2-MIB::sysDescr.0 = STRING: \"Cisco IOS Catalyst L3 Switch\"\n.1.3.6.1.2.1.1.2.0 = OID: .1.3.6.1.4.1.9.1.1208\n"
+        "SNMPv2-MIB::sysDescr.0 = STRING: \"Cisco IOS Catalyst L3 Switch\"\n.1.3.6.1.2.1.1.2.0 = OID: .1.3.6.1.4.1.9.1.516\n"
         "SNMPv2-MIB::sysName.0 = STRING: %s\nIF-MIB::ifName.3 = STRING: Gi0/3\nIF-MIB::ifPhysAddress.3 = STRING: %s\n"
         "IP-MIB::ipNetToMediaPhysAddress.3.%s = STRING: %s\nLLDP-MIB::lldpRemSysName.0.3.1 = STRING: peer-%s\n"
         "1.0.8802.1.1.2.1.4.1.1.7.0.3.1 = STRING: \"eth1\"\nSNMPv2-MIB::sysContact.0 = No Such Object available on this agent at this OID\n",
@@ -118,6 +123,22 @@ def snmp_links(spark, sf):
     return snmp.lldp_links(*_walks(spark, sf)).select("local", "remote", "local_port", "remote_port")
 
 
+@reg.query("discovery_topology", duck_with("fx_nodes", _ND) + """SELECT CASE WHEN substr(mac, 2, 1) IN ('2', '3', '6', '7', 'a', 'b', 'e', 'f') THEN concat('n-ip-', replace(ip, '.', '-'))
+ ELSE concat('n-', replace(mac, ':', '')) END AS id, name, ip, mac, CASE WHEN device_type = 'printer' THEN 'lldp,snmp,snmp:arp' ELSE 'arp,lldp,snmp,snmp:arp' END AS discovered_by,
+ CASE WHEN device_type = 'printer' THEN 'eth7' ELSE 'eth0' END AS interface FROM nd""")
+def discovery_topology(spark, sf):
+    """Dumps of all collectors to devices: neighbour tables, then link-layer reports, then
+    SNMP, the first that has an attribute deciding it."""
+    n = inputs.nodes(spark, sf)
+    lldp_hosts, _ = _lldp_reports(n)
+    walks, hosts = _walks(spark, sf)
+    seen = discovery.union_sightings(_neighbour_hosts(n), lldp_hosts, snmp.devices(walks, hosts),
+                                     snmp.arp_hosts(walks, hosts))
+    first = topology.merge_sightings(seen).select("ord", "interface")
+    built = topology.build_nodes(seen).join(first, "ord")
+    return built.select("id", "name", "ip", "mac", F.array_join("discovered_by", ",").alias("discovered_by"), "interface")
+
+
 @reg.query("alert_decode", duck_with("fx_alerts") + """SELECT flow_id, src_ip, src_port, CAST(6 AS INTEGER) AS protocol, CASE WHEN event_type = 'error' THEN 0e0 ELSE score END AS score,
  CASE WHEN event_type = 'view' THEN -1e0 ELSE label END AS label FROM fx_alerts""")
 def alert_decode(spark, sf):

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from netlumen.operators.layout import compute_layout
+from netlumen.operators.scan import global_rank
 from netlumen.operators.topology import build_links, build_nodes
 from netlumen.session import materialize
 from netlumen.sources.topology_io import previous_as_observations
 
 
 def union_sightings(*tables: DataFrame) -> DataFrame:
-    """Batches of one layout; columns a batch lacks are empty."""
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t, allowMissingColumns=True)
-    return out
+    """Batches of one layout in order of precedence (neighbour tables, link-layer reports,
+    SNMP, earlier topology); columns a batch lacks are empty. ``ord`` is numbered anew over
+    all batches, so that no two sightings share a place, whatever numbers the parsers gave
+    and however often two of them agree."""
+    out = None
+    for rank, t in enumerate(tables):
+        t = t.withColumn("_rank", F.lit(rank))
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    tie = F.xxhash64(*[c for c, kind in out.dtypes if not kind.startswith("map")])
+    slices = F.col("_rank") * 2 ** 21 + F.shiftright("ord", 43)
+    ranked = global_rank(out, ["_rank", "ord", tie], slices, "_place")
+    return materialize(ranked.withColumn("ord", F.col("_place")).drop("_rank", "_place"), "numbered")
 
 
 def build_topology(hosts: DataFrame, link_sightings: DataFrame, prefix: int = 24,

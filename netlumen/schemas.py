@@ -86,9 +86,6 @@ LINK_OBSERVATION = T.StructType([
 DEVICE_TYPES = ("router", "switch", "firewall", "server", "workstation", "printer",
                 "iot", "wireless_ap", "unknown")
 INFRA_TYPES = ("switch", "router", "firewall", "wireless_ap")
-LINK_KINDS = ("ethernet", "uplink", "wireless", "virtual", "inferred")
-
-
 class SchemaMismatch(ValueError):
     pass
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlumen.schemas import (CONNECTION_FIELDS, CONNECTION_NUMERIC, CONNECTION_STRINGS,
@@ -14,6 +14,8 @@ from netlumen.schemas import (CONNECTION_FIELDS, CONNECTION_NUMERIC, CONNECTION_
 # Protocol numbers; states that stand in for flag counts.
 PROTOCOLS = {"tcp": 6, "udp": 17, "icmp": 1, "igmp": 2, "sctp": 132}
 SYN_STATES, RST_STATES = ("INT", "REQ", "CON", "FIN"), ("RST", "CLO")
+# Class names without categories, in id order; the class of a row without a label.
+TWO_CLASSES, NO_LABEL = ("normal", "attack"), "0.0"
 # Export columns of the CIC files, with the divisor to base units.
 CIC_COLUMNS = {
     "dst_port": ("destination_port", 1), "duration": ("flow_duration", 1e6),
@@ -52,39 +54,49 @@ def _clean(name: str) -> str:
 
 
 def read_csvs(spark: SparkSession, files: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
-    """Union by cleaned column name; every cell stays text until it is mapped."""
-    parts = []
-    for f in files:
-        df = spark.read.option("header", True).option("encoding", encoding).csv(f)
-        parts.append(df.toDF(*[_clean(c) for c in df.columns]))
-    out = parts[0]
-    for df in parts[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
+    """Union by cleaned column name; every cell stays text until it is mapped. Files with
+    the same heading line are one read, and all headings come from one pass."""
+    first = spark.read.option("encoding", encoding).text(list(files)).select(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    headings = first.groupBy("file").agg(F.min_by("value", "at").alias("heading"))
+    groups = headings.groupBy("heading").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("files")
+    out = None
+    for row in groups.collect():            # one row per distinct heading
+        df = spark.read.option("header", True).option("encoding", encoding).csv(row["files"])
+        df = df.toDF(*[_clean(c) for c in df.columns])
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no heading line in any file")
     return out
 
 
 def _number(df: DataFrame, name: str, missing: float = 0.0) -> Column:
-    """Numeric cell; empty, NaN and infinite read as 0, an absent column as ``missing``."""
+    """Numeric cell; empty, NaN and infinite read as 0, an absent column and a cell that
+    is no number as ``missing``."""
     if name not in df.columns:
         return F.lit(float(missing))
-    value = F.expr(f"try_cast(trim(`{name}`) AS double)")
+    cell = F.trim(F.col(f"`{name}`").cast("string"))
+    value = cell.try_cast("double")
     finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
-    return F.coalesce(F.when(finite, value), F.lit(0.0))
+    text = value.isNull() & (F.coalesce(cell, F.lit("")) != "")
+    return F.coalesce(F.when(finite, value), F.when(text, F.lit(float(missing))), F.lit(0.0))
 
 
-def _with_class(df: DataFrame, cls: Column) -> DataFrame:
-    """Adds class and class_id, the place of the class among the sorted class names."""
-    named = df.withColumn("class", cls)
-    # One row per class name: dozens.
-    ids = named.select("class").distinct().select(
-        "class", (F.row_number().over(Window.orderBy("class")) - 1).alias("class_id"))
-    return named.join(ids, "class")
+def _with_class(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Adds class_id: the place of the class among ``names`` or, without, among the sorted
+    class names of the table (dozens, read once as one array)."""
+    if names is None:
+        known = df.agg(F.array_sort(F.collect_set("class"))).scalar()
+    else:
+        known = F.array(*map(F.lit, names))
+    return df.withColumn("class_id", (F.array_position(known, F.col("class")) - 1).cast("int"))
 
 
-def _connections(df: DataFrame, columns: dict[str, Column], label: Column, cls: Column) -> DataFrame:
+def _connections(df: DataFrame, columns: dict[str, Column], label: Column, cls: Column,
+                 names: Sequence[str] | None = None) -> DataFrame:
     raw = df.select(*[c.cast("double").alias(n) for n, c in columns.items()],
                     label.cast("double").alias("label"), cls.alias("class"))
-    full = _with_class(raw, F.col("class"))
+    full = _with_class(raw, names)
     given = [n for n in full.columns if n in CONNECTION_NUMERIC]
     rest = [n for n in CONNECTION_NUMERIC if n not in given]
     # Fields a dataset does not carry stay zero or empty rather than being invented.
@@ -127,7 +139,7 @@ def unsw_connections(df: DataFrame) -> DataFrame:
     label = n("label") if "label" in df.columns else F.col("attack_cat").isNotNull()
     cls = (F.trim(F.coalesce("attack_cat", F.lit("Normal"))) if "attack_cat" in df.columns
            else F.when(label.cast("double") == 1, "attack").otherwise("normal"))
-    return _connections(df, columns, label, cls)
+    return _connections(df, columns, label, cls, None if "attack_cat" in df.columns else TWO_CLASSES)
 
 
 def cic_connections(df: DataFrame) -> DataFrame:
@@ -138,7 +150,7 @@ def cic_connections(df: DataFrame) -> DataFrame:
                "src_port": _number(df, "source_port", 50_000.0)}
     columns |= {name: _number(df, source) / F.lit(float(unit))
                 for name, (source, unit) in CIC_COLUMNS.items()}
-    cls = F.trim("label")
+    cls = F.coalesce(F.trim("label"), F.lit(NO_LABEL))
     return _connections(df, columns, F.upper(cls) != "BENIGN", cls)
 
 
@@ -185,11 +197,29 @@ def zeek_connections(df: DataFrame, tls: DataFrame | None = None) -> DataFrame:
     return fill_partial(rows)
 
 
+_ZEEK = ("uid", "id.orig_h", "id.resp_h", "id.orig_p", "id.resp_p", "proto", "ts", "duration", "orig_bytes",
+         "resp_bytes", "orig_pkts", "resp_pkts", "history")
+
+
+def _zeek_log(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """A log as JSON lines or as tab-separated lines under a ``#fields`` line. A file's
+    columns come from its own ``#fields``; unset and empty fields are NULL."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    json_row = F.from_json("value", ", ".join(f"`{c}` string" for c in columns))
+    as_json = lines.filter(F.startswith(F.ltrim("value"), F.lit("{"))).select(json_row.alias("r")).select("r.*")
+    heads = lines.filter(F.startswith("value", F.lit("#fields\t"))).groupBy("file").agg(
+        F.max(F.split("value", "\t")).alias("names"))
+    cells = lines.filter(~F.startswith("value", F.lit("#")) & F.contains("value", F.lit("\t"))
+                         & ~F.startswith(F.ltrim("value"), F.lit("{"))).join(heads, "file")
+    # The heading has "#fields" before the first name, so positions are one further.
+    cell = lambda c: F.get(F.split("value", "\t"), F.array_position("names", c).cast("int") - 2)
+    tabbed = cells.select(*[F.when(~cell(c).isin("-", "(empty)"), cell(c)).alias(c) for c in columns])
+    return as_json.unionByName(tabbed)
+
+
 def read_zeek(spark: SparkSession, path: str, tls_path: str | None = None) -> DataFrame:
-    """JSON-lines connection log, with the TLS log beside it when there is one."""
-    text = ("uid string, `id.orig_h` string, `id.resp_h` string, `id.orig_p` string, "
-            "`id.resp_p` string, proto string, ts string, duration string, orig_bytes string, "
-            "resp_bytes string, orig_pkts string, resp_pkts string, history string")
-    conn = spark.read.schema(text).json(path)
-    tls = spark.read.schema("uid string, server_name string").json(tls_path) if tls_path else None
+    """Connection log, JSON lines or tab-separated, with the TLS log beside it when there
+    is one."""
+    conn = _zeek_log(spark, path, _ZEEK)
+    tls = _zeek_log(spark, tls_path, ("uid", "server_name")) if tls_path else None
     return zeek_connections(conn, tls)

@@ -103,7 +103,11 @@ def test_oui_registry(spark, tmp_path):
     (tmp_path / "manuf").write_text("# comment\n00:1B:54\tCsc\tCisco Systems\nAA:BB:CC:00/28 Tiny\n\n")
     table = oui.registry(oui.builtin(spark), oui.read_csv(spark, str(tmp_path / "oui.csv")), oui.read_manuf(spark, str(tmp_path / "manuf")))
     got = {r.oui: r.vendor for r in table.collect()}
-    assert got["00000C"] == "New Cisco" and got["001B54"] == "Csc" and got["AABBCC"] == "Tiny" and got["B827EB"] == "RaspberryPi"
+    assert got["00000C"] == "New Cisco" and got["001B54"] == "Csc" and got["AABBCC0"] == "Tiny" and "AABBCC" not in got and got["B827EB"] == "RaspberryPi"
+    macs = spark.createDataFrame([("aa:bb:cc:01:02:03",), ("aa:bb:cc:f1:02:03",), ("00:1b:54:00:00:00",), (None,)], "mac string")
+    wide = table.union(spark.createDataFrame([("AABBCC", "Wide")], "oui string, vendor string"))
+    assert {r.mac: r.vendor for r in oui.with_vendor(macs, wide).collect()} == {
+        "aa:bb:cc:01:02:03": "Tiny", "aa:bb:cc:f1:02:03": "Wide", "00:1b:54:00:00:00": "Csc", None: "unknown"}
 
 
 def brute_identity(rows):

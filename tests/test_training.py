@@ -78,7 +78,7 @@ def test_augmentation_keeps_rows_and_invariants(spark, conns):
 
 
 def test_mix_errors_and_defaults():
-    assert sum(augment.normalised_mix(augment.DEFAULT_MIX, list(augment.DEFAULT_MIX)).values()) == pytest.approx(1)
+    assert sum(augment.normalised_mix({"a": 3, "b": 1}, ("a", "b")).values()) == pytest.approx(1)
     assert augment.normalised_mix({"a": 2}, ("a", "b")) == {"a": 1.0, "b": 0.0}
     with pytest.raises(ValueError):
         augment.normalised_mix({"a": 0}, ("a", "b"))
