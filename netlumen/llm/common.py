@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from netlumen.session import materialize, shared_dir
 
-__all__ = ["attach", "components", "fresh", "map_arrow", "materialize", "plain", "scratch", "tokenizer_path"]
+__all__ = ["attach", "components", "fresh", "map_arrow", "materialize", "plain", "release", "scratch", "tokenizer_path"]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -61,6 +62,13 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return rows.mapInArrow(by_position, numbered).toDF(*schema.names)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans whose results have been
+    written: it acts on what the driver's garbage collection finds unreachable."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): every vertex with its component's least.
 

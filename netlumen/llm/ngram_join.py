@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlumen.llm.common import components, materialize, plain, scratch
+from netlumen.llm.common import components, materialize, plain, release
 from netlumen.llm.textscan import LOWER, SPACED, gathered, hashes, mix, runs, shingles, utf8
 
 TILE, SPARE = 512, 4
 SCAN_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20      # of part hashes that one task puts together
+PIVOTS = 16
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -55,13 +57,15 @@ def band_edges(most: int = 1 << 40) -> np.ndarray:
 EDGES = band_edges()
 
 
-def parts_of(band: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Parts in a band: more than a pair can differ in whose smaller set is in the band."""
+def parts_of(band: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts in a band, and how many of them are to spare: a pair whose smaller set is in
+    the band differs in fewer than the rest."""
     x = EDGES[band + 1] - 1
     y = x * den // num                                   # the largest partner
     # |x & y| >= num (|x| + |y|) / (num + den), so they differ in at most this many.
     differ = (den - num) * (x + y) // (num + den)
-    return differ + 1 + SPARE
+    spare = SPARE + (differ + 1) // 4
+    return differ + 1 + spare, spare
 
 
 def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +93,13 @@ def digests(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def part_keys(gram: np.ndarray, at: np.ndarray, band: np.ndarray, num: int, den: int
               ) -> tuple[np.ndarray, np.ndarray]:
-    """For sets in the given bands, (set, key) of each part that must be given."""
-    parts = parts_of(band, num, den)
+    """For sets in the given bands, (set, key) of each part that must be given.
+
+    Two linking sets agree on one part more than there are to spare. So under one order of
+    all (part, content) pairs each may leave out its last ones, as many as are to spare,
+    and they still agree on one that is given. The order puts last what says least: parts
+    with no n-gram, and before them parts with one, which may be a common one."""
+    parts, spare = parts_of(band, num, den)
     first = np.zeros(len(parts) + 1, np.int64)
     np.cumsum(parts, out=first[1:])
     owner = np.repeat(np.arange(len(parts)), np.diff(at))
@@ -98,13 +107,13 @@ def part_keys(gram: np.ndarray, at: np.ndarray, band: np.ndarray, num: int, den:
     with np.errstate(over="ignore"):
         total = np.zeros(first[-1], np.uint64)
         np.add.at(total, spot, mix(gram + _U(_GOLD)))
-        has = np.bincount(spot, minlength=first[-1]) > 0
+        held = np.bincount(spot, minlength=first[-1])
         which = np.repeat(np.arange(len(parts)), parts)
-        empty = parts - np.bincount(which[has], minlength=len(parts))
-        give = has | (empty > SPARE)[which]
         number = np.arange(first[-1]) - first[which]
         key = mix(mix(total + number.astype(np.uint64) * _U(_GOLD)) + band[which].astype(np.uint64))
-    return which[give], key[give]
+    order = np.lexsort((key, -np.minimum(held, 2), which))
+    order = order[number < (parts - spare)[which]]
+    return which[order], key[order]
 
 
 def bands_of(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,27 +137,31 @@ def together(key: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[new], name[new], pairs
 
 
-def _rows(kind: int, columns: dict, n: int) -> pa.RecordBatch:
-    """A batch of the scan's rows; fields that are not given are null."""
-    types = {"doc_id": pa.int64(), "n": pa.int64(), "a": pa.int64(), "b": pa.int64(), "bucket": pa.int32(),
-             "keys": pa.binary(), "names": pa.binary()}
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), *[pa.array(columns[c], t) if c in columns else pa.nulls(n, t)
-                                                for c, t in types.items()]], names=["kind", *types])
+NAMES = "doc_id long, n long, name long"
+BLOCKS = "bucket int, keys binary, places binary, names binary"
 
 
-DOC, PAIR, BLOCK = 0, 1, 2
-SCAN = "kind int, doc_id long, n long, a long, b long, bucket int, keys binary, names binary"
+def name_sets(docs: DataFrame, n: int) -> DataFrame:
+    """Per document its set's size and name."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, 1, SCAN_BYTES):
+            gram, at = sets_of(batch.column(1), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(digests(gram, at))],
+                                             names=["doc_id", "n", "name"])
 
+    return docs.mapInArrow(run, NAMES)
 
-def scan(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Per document its set's size and name (``a``); pairs found within a batch; and blocks
-    of (key, name) by bucket of the key."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def candidates(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
+    """Pairs (a, b) that tie together all sets that give an equal hash.
+
+    A batch puts its own equal hashes together first; each is then sent once, and the ties
+    found go along as hashes of their own. A row is a block of hashes of one bucket, the
+    places of their sets in a short list of names, and that list."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, 1, SCAN_BYTES):
             gram, at = sets_of(batch.column(1), n)
             name, size = digests(gram, at), np.diff(at)
-            yield _rows(DOC, {"doc_id": batch.column(0), "n": size, "a": name}, len(size))
             once = np.unique(name, return_index=True)[1]
             once = np.sort(once[size[once] > 0])
             which, band = bands_of(size[once], num, den)
@@ -158,29 +171,31 @@ def scan(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame
             spot = np.arange(at_of[-1]) - np.repeat(at_of[:-1] - at[which], size[which])
             owner, key = part_keys(gram[spot], at_of, band, num, den)
             key, first, pairs = together(key, name[which[owner]])
-            if len(pairs):
-                yield _rows(PAIR, {"a": pairs[:, 0], "b": pairs[:, 1]}, len(pairs))
+            with np.errstate(over="ignore"):
+                tie = mix(mix(pairs[:, 0].view(np.uint64)) + pairs[:, 1].view(np.uint64))
+            key = np.concatenate([key, tie, tie])
+            first = np.concatenate([first, pairs[:, 0], pairs[:, 1]])
             bucket = (key >> _U(33)) % _U(buckets)
             order = np.argsort(bucket, kind="stable")
             key, first, bucket = key[order], first[order], bucket[order]
-            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(key)) if len(key) else [0]
-            spans = list(zip(cut[:-1], cut[1:]))
-            yield _rows(BLOCK, {"bucket": bucket[cut[:-1]].astype(np.int32) if spans else [],
-                                "keys": [key[i:j].tobytes() for i, j in spans],
-                                "names": [first[i:j].tobytes() for i, j in spans]}, len(spans))
-
-    return docs.mapInArrow(run, SCAN)
-
-
-def _tied(rows):
-    """Pairs of sets that gave an equal hash in different batches."""
-    def run(key, table):
-        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
-        names = np.frombuffer(b"".join(table["names"].to_pylist()), np.int64)
-        pairs = together(keys, names)[2]
+            cut = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(key)] if len(key) else [0]
+            out = []
+            for i, j in zip(cut[:-1], cut[1:]):
+                names, place = np.unique(first[i:j], return_inverse=True)
+                out.append((int(bucket[i]), key[i:j].tobytes(), place.astype("<u4" if len(names) > 65536 else "<u2").tobytes(),
+                            names.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(
+                (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "places", "names"])
+
+    def tie(_, table):
+        keys, names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, p, m in zip(*(table[c].to_pylist() for c in ("keys", "places", "names"))):
+            keys.append(np.frombuffer(k, np.uint64))
+            names.append(np.frombuffer(m, np.int64)[np.frombuffer(p, "<u4" if len(m) > 8 * 65536 else "<u2")])
+        pairs = together(np.concatenate(keys), np.concatenate(names))[2]
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
+    return docs.mapInArrow(pack, BLOCKS).groupBy("bucket").applyInArrow(tie, "a long, b long")
 
 
 def bitmaps(gram: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
@@ -221,23 +236,23 @@ def tile_links(gram: np.ndarray, at: np.ndarray, groups: np.ndarray, num: int, d
 def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text"
          ) -> DataFrame:
     """Per row doc_id, n_shingles and component_id (the smallest id reachable by links)."""
-    spark = docs.sparkSession
     rows = docs.select(plain(docs, doc_id).cast("long").alias("doc_id"), plain(docs, text).alias("text"))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
-    out = scratch(spark, "ngram-scan")
-    scan(rows, n, num, den, buckets).write.partitionBy("kind").parquet(out)
-    found = spark.read.schema(SCAN).parquet(out)
-    names = found.filter(F.col("kind") == DOC).select("doc_id", "n", F.col("a").alias("name"))
-    pairs = found.filter(F.col("kind") == PAIR).select("a", "b").union(
-        _tied(found.filter(F.col("kind") == BLOCK).select("bucket", "keys", "names")))
+    names = materialize(name_sets(rows, n), "ngram-names")
+    # About this many part hashes of 10 to 16 bytes will be dealt out.
+    hashed = (names.agg(F.sum("n")).first()[0] or 0) * (den - num) * 4 // (num + den)
+    buckets = max(8, -(-hashed * 12 // BUCKET_BYTES))
+    pairs = materialize(candidates(rows, n, num, den, buckets), "ngram-pairs")
+    release(docs.sparkSession)
     cluster = components(pairs, "ngram-clusters").select(F.col("v").alias("name"), F.col("c").alias("cluster"))
     # One text of each set in a cluster, and its tile.
     one = names.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     members = materialize(cluster.join(one, "name"), "ngram-members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     members = members.join(sizes, "cluster")
-    texts = rows.join(members.select("doc_id", "name", "n", "cluster", "m"), "doc_id")
+    # Dealt out by id at every size: how many texts have a candidate grows with the corpus.
+    texts = rows.join(members.select("doc_id", "name", "n", "cluster", "m").hint("merge"), "doc_id")
     texts = materialize(texts, "ngram-texts")
+    release(docs.sparkSession)
     small = texts.filter(F.col("m") <= TILE).withColumn("tile", F.col("cluster"))
     labels = small_links(small, n, num, den)
     large = texts.filter(F.col("m") > TILE)
@@ -310,9 +325,11 @@ def small_links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
 def large_links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(name, c) of every set in clusters beyond one tile.
 
-    First each block of about TILE sets of one size band is solved alone; then blocks of
-    what is not yet connected are compared pairwise, where sizes allow a link. Blocks hold
-    sets of one component where there are enough, and pairs of such blocks are skipped."""
+    First each block of about TILE sets of one size band is solved alone, together with
+    PIVOTS sets of the band that are the same in all its blocks, which ties most copies of
+    one text together. Then blocks of what is not yet connected are compared pairwise,
+    where sizes allow a link. Blocks hold sets of one component where there are enough, and
+    pairs of such blocks are skipped."""
     ratio = math.log(den / num) if num < den else 1.0
     rows = texts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio) + F.lit(1e-9)).cast("long"))
     rows = materialize(rows.select("cluster", "band", "name", "n", "text"), "ngram-large")
@@ -326,7 +343,12 @@ def large_links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
                          "b": pa.array([int(name[j]) for _, j in links], pa.int64())})
 
     count = rows.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("q"))
+    bin_of = F.pmod(F.xxhash64("name", F.lit("pivot")), F.lit(PIVOTS))
+    pivots = rows.groupBy("cluster", "band", bin_of.alias("bin")).agg(F.min("name").alias("name")).drop("bin")
+    pivots = pivots.join(rows.select("name", "n", "text"), "name").join(count.filter("q > 1"), ["cluster", "band"])
+    pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     alone = rows.join(count, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("name"), F.col("q")))
+    alone = alone.unionByName(pivots).select("cluster", "band", "block", "name", "text")
     links = materialize(alone.groupBy("cluster", "band", "block").applyInArrow(solve, schema), "ngram-links")
     named = components(links, "ngram-large").withColumnRenamed("v", "name")
     now = materialize(rows.select("cluster", "band", "name").join(named, "name", "left")
