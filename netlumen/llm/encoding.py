@@ -24,19 +24,28 @@ import numpy as np
 SAFE = re.compile(r"(?<=\S)(?= )")
 RISKY = re.compile(r"\s ")
 BARE = "\0"      # marks a piece that does not follow a space
+FEED = BARE + "\n"
 _ENCODERS: dict[tuple[str, int], "PieceEncoder"] = {}
 
 
 def pieces(text: str) -> list[str]:
     """``text`` cut at every safe place, as keys: a piece less the space before it, or
     after ``BARE`` if there is none. The text must not hold ``BARE``."""
-    if text.replace("\n", "").isprintable():
-        risky = "  " in text or "\n " in text      # no other white space is printable
-    else:
-        risky = RISKY.search(text) is not None
-    if risky:
+    printable = text.replace("\n", "").isprintable()     # no white space but spaces and line feeds
+    if "  " in text or "\n " in text or not printable and RISKY.search(text):
         return [p[1:] if p[:1] == " " else BARE + p for p in SAFE.split(text)]
-    keys = text.split(" ")
+    if not printable or "\n\n" in text or " \n" in text:
+        return _words_of(text)
+    keys: list[str] = []
+    for line in text.split("\n"):      # a line feed among letters and signs is a token of its own
+        if keys:
+            keys.append(FEED)
+        keys += _words_of(line)
+    return keys
+
+
+def _words_of(line: str) -> list[str]:
+    keys = line.split(" ")
     keys[0] = BARE + keys[0]
     return keys
 
@@ -110,9 +119,12 @@ class PieceEncoder:
         out = []
         for i in range(0, len(words), 2048):
             part = words[i:i + 2048]
+            # Plain ASCII is spelt as it is, but for the space before it.
+            bare = [w.lstrip(BARE) for w in part]
+            spelt = [w if w.isascii() else w.translate(self.spelling) for w in bare]
             if not self.lower:
-                part = [w[1:] if w[0] == BARE else " " + w for w in part]
-            spelt = [w.translate(self.spelling) for w in part]
+                space = self.spelling[32]
+                spelt = [w if k[0] == BARE else space + w for k, w in zip(part, spelt)]
             ids = np.array(self.model.encode_batch_fast(["\n".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)))
             cuts = np.searchsorted(np.cumsum(self.letters[ids]), ends) + 1
@@ -157,12 +169,17 @@ class PieceEncoder:
         for key, parts in plain.items():
             known[key] = part[parts[0]] if len(parts) == 1 else b"".join([part[x] for x in parts])
 
+    def _cut(self, text: str) -> list[str]:
+        if self.short and self.lower and text.replace("\n", "").isprintable():
+            return text.split()         # white space is dropped and ends every token
+        return pieces(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         collecting = gc.isenabled()
         gc.disable()  # millions of short-lived strings, no cycles
         try:
             whole = {i: t for i, t in enumerate(texts) if BARE in t}
-            cut = [[] if i in whole else pieces(t) for i, t in enumerate(texts)]
+            cut = [[] if i in whole else self._cut(t) for i, t in enumerate(texts)]
             flat = list(itertools.chain.from_iterable(cut))
             codes = list(map(self.known.get, flat))
             new = set(itertools.compress(flat, map(operator.is_, codes, itertools.repeat(None))))
@@ -172,10 +189,8 @@ class PieceEncoder:
                     new = set(flat)
                 self.learn(new)
                 codes = list(map(self.known.__getitem__, flat))
-            out, start = [], 0
-            for c in cut:
-                out.append(b"".join(codes[start:start + len(c)]))
-                start += len(c)
+            each = iter(codes)
+            out = [b"".join(itertools.islice(each, len(c))) for c in cut]
             for i, ids in zip(whole, self._library(list(whole.values()))):
                 out[i] = ids
             return out
