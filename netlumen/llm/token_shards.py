@@ -55,15 +55,16 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK, percentile: float = PERC
     grid = np.append(ids, np.full(n_blocks * block - n, ids[-1], "<u4")).astype(np.uint32).reshape(n_blocks, block)
     least = grid.min(axis=1)
     rest = grid - least[:, None]
-    bits = bits_of(rest)
-    width = np.sort(bits, axis=1)[:, min(block - 1, int(block * percentile / 100))]
-    over = bits > width[:, None]
+    k = min(block - 1, int(block * percentile / 100))
+    width = bits_of(np.partition(rest, k, axis=1)[:, k])
+    over = rest.astype(np.uint64) >> width.astype(np.uint64)[:, None] != 0 if width.max() > 31 else rest >> width.astype(np.uint32)[:, None] != 0
     exceptions = over.sum(axis=1)
     payload: list[bytes] = [b""] * n_blocks
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        flat = (rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        packed = np.packbits(flat.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+        whole = rest[rows].astype("<u2" if w <= 16 else "<u4")
+        bits = np.unpackbits(whole.view(np.uint8), axis=1, bitorder="little").reshape(len(rows), block, -1)
+        packed = np.packbits(bits[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
         for row, data in zip(rows.tolist(), packed):
             payload[row] = data.tobytes()
     tops = np.zeros(n_blocks, HEAD)
@@ -97,8 +98,10 @@ def decode_segment(segment: bytes, start: int = 0, count: int | None = None) ->
         rows = np.flatnonzero(tops["width"] == w)
         if w:
             packed = data[(at[rows] + HEAD.itemsize)[:, None] + np.arange(block * w // 8)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), block, w)
-            out[rows] = bits.astype(np.uint32) @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+            wide = np.zeros((len(rows), block, 16 if w <= 16 else 32), np.uint8)
+            wide[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), block, w)
+            out[rows] = np.packbits(wide.reshape(len(rows), -1), axis=1, bitorder="little").view(
+                "<u2" if w <= 16 else "<u4")
     exceptions = tops["low"].astype(np.int64) + 256 * tops["high"].astype(np.int64)
     for i in np.flatnonzero(exceptions).tolist():
         m = int(exceptions[i])
