@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,14 @@ def extract_features(connections: DataFrame, keep: tuple[str, ...] = ("flow_id",
     return connections.select(*keep, *[c.cast(dtype).alias(n) for n, c in features.items()])
 
 
+def linear_score(weights: Mapping[str, float], bias: float) -> Column:
+    """Logistic score of a weighted sum of features."""
+    z = F.lit(float(bias))
+    for name, weight in weights.items():
+        z = z + F.col(name) * F.lit(float(weight))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
 def labels_of(connections: DataFrame) -> DataFrame:
     return connections.select("flow_id", F.col("label").cast("double").alias("label"))
 

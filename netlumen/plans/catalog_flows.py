@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netlumen.fixtures import duck_with
 from netlumen.functions import net
-from netlumen.functions.features import FEATURE_NAMES, extract_features, standardise
+from netlumen.functions.features import FEATURE_NAMES, extract_features, standardise, linear_score
 from netlumen.functions.severity import to_alerts
 from netlumen.operators import flows
 from netlumen.plans import inputs
@@ -132,6 +132,27 @@ def flow_records(spark, sf):
     return rounded(flows.flow_records(_segments(spark, sf)))
 
 
+# A fixed scorer, so that the whole way from packets to alerts can be said in SQL.
+SCORER = {"log_total_bytes": 0.35, "payload_entropy": 0.9, "is_tcp": 0.6, "log_total_pkts": -0.5}
+SCORER_BIAS, SCORER_THRESHOLD = -3.2, 0.5
+_Z = ("0.35e0 * ln(1e0 + orig_bytes + resp_bytes) + 0.9e0 * payload_entropy + CASE WHEN protocol = 6 THEN 0.6e0 ELSE 0e0 END"
+      " - 0.5e0 * ln(1e0 + orig_pkts + resp_pkts) - 3.2e0")
+
+
+@reg.query("packets_to_alerts", f"""SELECT flow_id, src_ip, dst_ip, CAST(src_port AS INTEGER) AS src_port, CAST(dst_port AS INTEGER) AS dst_port,
+ CAST(protocol AS INTEGER) AS protocol, round(1e0 / (1e0 + exp(-({_Z}))), 4) AS score, 0.5e0 AS threshold, 1e0 AS latency_s
+ FROM ({_records_sql()}) WHERE {_Z} >= 0""")
+def packets_to_alerts(spark, sf):
+    """Packets to connection records to features to scores to alerts, in one plan."""
+    records = flows.flow_records(_segments(spark, sf))
+    ids = ("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "emit_ts", "label")
+    features = extract_features(records, keep=ids)
+    scored = features.withColumn("score", linear_score(SCORER, SCORER_BIAS))
+    alerts = to_alerts(scored, SCORER_THRESHOLD, F.col("emit_ts") + 1.0)
+    return alerts.select("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
+                         F.round("score", 4).alias("score"), "threshold", r6("latency_s").alias("latency_s"))
+
+
 @reg.query("expiry_reasons", walk_sql("SELECT reason, count(*) AS flows FROM why GROUP BY reason", _FACTS, _REASON))
 def expiry_reasons(spark, sf):
     as_of = inputs.packets(spark, sf).agg(F.max("ts")).scalar()

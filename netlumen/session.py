@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session that
-    has none gets a private one.
+    has none gets a private one, which goes when the program ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -60,6 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     local = tempfile.mkdtemp(prefix="netlumen-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
