@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlumen.llm.common import components, materialize, plain, release
-from netlumen.llm.textscan import LOWER, SPACED, gathered, hashes, mix, runs, shingles, utf8
+from netlumen.llm.textscan import LOWER, SPACED, gathered, hashes, mix, runs, shingles, slices, utf8
 
 TILE, SPARE = 512, 4
-SCAN_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20      # of part hashes that one task puts together
+SCAN_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20      # of part hashes that one task puts together
 PIVOTS = 16
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
@@ -69,7 +69,18 @@ def parts_of(band: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarr
 
 
 def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' distinct n-gram hashes, ascending within a text, and each text's first."""
+    """All texts' distinct n-gram hashes, ascending within a text, and each text's first.
+
+    Hashing needs some fifty bytes a byte of text, so long columns are taken in parts."""
+    parts, first = [], [np.zeros(1, np.int64)]
+    for batch in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
+        gram, at = _sets_of(batch.column(0), n)
+        parts.append(gram)
+        first.append(at[1:] + first[-1][-1])
+    return np.concatenate(parts or [np.zeros(0, np.uint64)]), np.concatenate(first)
+
+
+def _sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8(column)
     start, end, bounds = runs(data, offsets, SPACED, LOWER)
     gram, at = shingles(hashes(data, start, end, LOWER), bounds, n)
