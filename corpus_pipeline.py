@@ -25,7 +25,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    # Workers outlive a stage: what they remember of one is taken from the next.
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, max_pieces=200_000)
 
 
 STAGES = [

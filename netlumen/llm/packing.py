@@ -112,8 +112,9 @@ def pieces(ids: np.ndarray, doc_at: np.ndarray, cuts: np.ndarray) -> tuple[np.nd
 
 
 def pack(df: DataFrame, path: str, end_id: int, size: int = 1024, text: str = "text",
-         doc_id: str = "doc_id", chunk_ids: int = 1 << 20) -> DataFrame:
-    """One row per piece: see ``SCHEMA``. ``doc_tokens`` counts the end id."""
+         doc_id: str = "doc_id", chunk_ids: int = 1 << 20, max_pieces: int = 1_000_000) -> DataFrame:
+    """One row per piece: see ``SCHEMA``. ``doc_tokens`` counts the end id. A worker
+    remembers the ids of up to ``max_pieces`` pieces of text, some 200 bytes each."""
     rows = df.select(plain(df, doc_id).cast("long").alias("doc_id"), plain(df, text).alias("text"))
 
     def solve(docs: list, codes: list[bytes], ends: np.ndarray, first: int):
@@ -134,7 +135,7 @@ def pack(df: DataFrame, path: str, end_id: int, size: int = 1024, text: str = "t
         return batch, first + len(cuts) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces_of = encoder(path)
+        pieces_of = encoder(path, max_pieces)
         ends = sentence_ends(pieces_of.tokenizer)
         ends = np.append(ends, np.zeros(max(0, end_id + 1 - len(ends)), bool))
         first = TaskContext.get().partitionId() << SEQUENCE_BITS
