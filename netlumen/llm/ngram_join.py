@@ -16,9 +16,11 @@ Clusters. Chains of candidates are closed to connected clusters (every link lies
 one). A cluster is compared in size-banded tiles of at most ``TILE`` sets: a small one in
 one tile, a large one in tiles of neighbouring sizes, pair of blocks by pair of blocks. In
 a tile a hashed bitmap of each set bounds the overlap from above by bit counts, and only
-pairs that pass are intersected, as sorted arrays. A set that is already connected to
-another is not compared with it again, so a tile of copies costs a few rows and not all
-pairs. Links of tiles join to components; nothing is sampled or capped.
+pairs that pass are intersected, as sorted arrays. Where only components are asked for
+(``keep_one``), a set that is already connected to another is not compared with it again,
+so a tile of copies costs a few rows and not all pairs. ``link`` compares every pair of
+sets that a tile holds, by exact bit counts, and sums in the tile what each set links with,
+so pairs are never rows. Links of tiles join to components; nothing is sampled or capped.
 
 Null and empty texts have the empty set and link with nothing. A text of fewer than n
 words is one n-gram. Equal rows fall into one component; a null id takes no part in the
@@ -32,7 +34,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlumen.llm.common import components, materialize, plain, release
@@ -42,6 +44,7 @@ TILE, SPARE = 512, 4
 SCAN_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20      # of part hashes that one task puts together
 PIVOTS = 16
+PIECE = 8192                 # n-grams whose bits are counted at once
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -244,9 +247,62 @@ def tile_links(gram: np.ndarray, at: np.ndarray, groups: np.ndarray, num: int, d
     return links
 
 
+def overlaps(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """|x & y| of every pair of a tile's sets. N-grams of two sets or more get a bit each, so
+    bit counts are exact; ``PIECE`` of them are counted at a time."""
+    m = len(at) - 1
+    which, held = np.unique(gram, return_inverse=True, return_counts=True)[1:]
+    shared = held[which] > 1
+    place = (np.cumsum(held > 1) - 1)[which[shared]]
+    owner = np.repeat(np.arange(m), np.diff(at))[shared]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((m, m), np.int64)
+    for lo in range(0, int((held > 1).sum()), PIECE):
+        i, j = np.searchsorted(place, (lo, lo + PIECE))
+        bit = np.zeros((m, PIECE), bool)
+        bit[owner[i:j], place[i:j] - lo] = True
+        width = -(-(int(place[j - 1]) - lo + 1) // 64) * 64
+        maps = np.packbits(bit[:, :width], axis=1).view(np.uint64)
+        for k in range(m):
+            out[k, k:] += np.bitwise_count(maps[k:] & maps[k]).sum(axis=1, dtype=np.int64)
+    return np.maximum(out, out.T)
+
+
+def all_links(gram: np.ndarray, at: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets of a tile link, every pair tested, as a symmetric matrix."""
+    size = np.diff(at)
+    both = overlaps(gram, at)
+    linked = (den * both >= num * (size[:, None] + size - both)) & (both > 0)
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def least_linked(linked: np.ndarray) -> np.ndarray:
+    """For each set the least number in its component."""
+    label, m = np.arange(len(linked)), len(linked)
+    while m:
+        now = np.minimum(label, np.where(linked, label, m).min(axis=1))
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    return label
+
+
 def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text"
          ) -> DataFrame:
-    """Per row doc_id, n_shingles and component_id (the smallest id reachable by links)."""
+    """Per row doc_id, n_shingles, component_id (the smallest id reachable by links) and
+    n_links: with how many other rows it links, equal sets included."""
+    placed = _placed(docs, n, num, den, doc_id, text, True)
+    least = placed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return (placed.filter("n > 0").join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+            .union(placed.filter("n = 0").select("doc_id", "n", "doc_id", F.lit(0).cast("long"))))
+
+
+def _placed(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, counted: bool) -> DataFrame:
+    """Per row doc_id, n, name and its component c (the least name); if ``counted``, n_links
+    too, for which every pair of candidates is compared and not only what connects them."""
     rows = docs.select(plain(docs, doc_id).cast("long").alias("doc_id"), plain(docs, text).alias("text"))
     names = materialize(name_sets(rows, n), "ngram-names")
     # About this many part hashes of 10 to 16 bytes will be dealt out.
@@ -256,25 +312,25 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str
     release(docs.sparkSession)
     cluster = components(pairs, "ngram-clusters").select(F.col("v").alias("name"), F.col("c").alias("cluster"))
     # One text of each set in a cluster, and its tile.
-    one = names.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    one = names.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"),
+                                    F.count(F.lit(1)).alias("copies"))
     members = materialize(cluster.join(one, "name"), "ngram-members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     members = members.join(sizes, "cluster")
     # Dealt out by id at every size: how many texts have a candidate grows with the corpus.
-    texts = rows.join(members.select("doc_id", "name", "n", "cluster", "m").hint("merge"), "doc_id")
+    texts = rows.join(members.select("doc_id", "name", "n", "copies", "cluster", "m").hint("merge"), "doc_id")
     texts = materialize(texts, "ngram-texts")
     release(docs.sparkSession)
-    small = texts.filter(F.col("m") <= TILE).withColumn("tile", F.col("cluster"))
-    labels = small_links(small, n, num, den)
+    labels = small_links(texts.filter(F.col("m") <= TILE), n, num, den, counted)
     large = texts.filter(F.col("m") > TILE)
     if not large.isEmpty():
-        labels = labels.union(large_links(large, n, num, den))
+        labels = labels.union((large_counts if counted else large_links)(large, n, num, den))
     labels = materialize(labels, "ngram-labels")
+    if counted:
+        labels = one.select("name", "copies").join(labels, "name", "left").select(
+            "name", "c", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     placed = names.join(labels, "name", "left").withColumn("c", F.coalesce("c", "name"))
-    placed = placed.withColumn("c", F.when(F.col("n") > 0, F.col("c")))
-    least = placed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return (placed.filter("n > 0").join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-            .union(placed.filter("n = 0").select("doc_id", "n", "doc_id")))
+    return placed.withColumn("c", F.when(F.col("n") > 0, F.col("c")))
 
 
 def _unpacked(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
@@ -294,23 +350,29 @@ def _unpacked(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return gram[spot], new_at, name[rows], table.take(pa.array(rows))
 
 
-def small_links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(name, c) of every set in clusters that fit a tile; whole clusters in one task."""
-    rows = texts.select("cluster", "name", "text").repartition("cluster").sortWithinPartitions("cluster")
+def small_links(texts: DataFrame, n: int, num: int, den: int, counted: bool = False) -> DataFrame:
+    """(name, c) of every set in clusters that fit a tile, whole clusters in one task; if
+    ``counted``, with the rows of other sets that it links with."""
+    rows = texts.select("cluster", "name", "copies", "text").repartition("cluster").sortWithinPartitions("cluster")
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         gram, at, name, table = _unpacked(table, n)
-        cluster = table["cluster"].to_numpy()
-        c = name.copy()
+        cluster, copies = table["cluster"].to_numpy(), table["copies"].to_numpy()
+        c, links = name.copy(), np.zeros(len(name), np.int64)
         edges = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])) if len(cluster) else np.zeros(0, int)
         for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(cluster)]):
             if hi - lo > 1:
                 group = np.arange(hi - lo)
-                for i, j in tile_links(gram[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], group, num, den):
-                    group[group == group[j]] = group[i]
+                if counted:
+                    linked = all_links(gram[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], num, den)
+                    group, links[lo:hi] = least_linked(linked), linked @ copies[lo:hi]
+                else:
+                    for i, j in tile_links(gram[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], group, num, den):
+                        group[group == group[j]] = group[i]
                 for g in np.unique(group):
                     c[lo + np.flatnonzero(group == g)] = name[lo + np.flatnonzero(group == g)].min()
-        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(c)], names=["name", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(c), pa.array(links)][:3 if counted else 2],
+                                          names=["name", "c", "links"][:3 if counted else 2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -330,7 +392,56 @@ def small_links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "name long, c long")
+    return rows.mapInArrow(run, "name long, c long, links long" if counted else "name long, c long")
+
+
+def _banded(texts: DataFrame, num: int, den: int, *columns: str) -> DataFrame:
+    """``columns`` with ``band``: sets that link are a band apart at most."""
+    ratio = math.log(den / num) if num < den else 1.0
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio) + F.lit(1e-9)).cast("long")
+    return texts.select("cluster", band.alias("band"), "name", "n", *columns, "text")
+
+
+def large_counts(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(name, c, links) of every set in clusters beyond one tile: blocks of about TILE / 2
+    sets of one size band, every pair of blocks that sizes allow in a tile of its own."""
+    rows = materialize(_banded(texts, num, den, "copies"), "ngram-large")
+    count = materialize(rows.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / (TILE // 2)).alias("q")), "ngram-blocks")
+    above = count.select("cluster", (F.col("band") - 1).alias("band"), F.col("q").alias("up"))
+    below = count.select("cluster", (F.col("band") + 1).alias("band"), F.col("q").alias("down"))
+    count = materialize(count.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left"), "ngram-near")
+    placed = rows.join(count, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("name"), F.col("q")))
+
+    def tiles(other: Column, low: Column, high: Column, x: Column, y: Column, side: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0).cast("long"), other - 1), lambda o: F.struct(
+            low.alias("low"), high.alias("high"), F.coalesce(x, o).alias("x"), F.coalesce(y, o).alias("y"),
+            side.cast("int").alias("side")))
+        return F.when(other > 0, made).otherwise(F.array().cast(
+            "array<struct<low:bigint,high:bigint,x:bigint,y:bigint,side:int>>"))
+
+    band, block, none = F.col("band"), F.col("block"), F.lit(None).cast("long")
+    own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), lambda o: F.struct(
+        band.alias("low"), band.alias("high"), F.least(o, block).alias("x"), F.greatest(o, block).alias("y"),
+        (block > o).cast("int").alias("side")))
+    sides = F.concat(own, tiles(F.col("up"), band, band + 1, block, none, F.lit(0)),
+                     tiles(F.col("down"), band - 1, band, none, block, F.lit(1)))
+    dealt = placed.select("cluster", "name", "copies", "text", F.explode(sides).alias("t")).select(
+        "cluster", "t.*", "name", "copies", "text")
+
+    def solve(key, table):
+        gram, at, name, table = _unpacked(table, n)
+        linked = all_links(gram, at, num, den)
+        side, copies = table["side"].to_numpy(), table["copies"].to_numpy()
+        if len(side) and (key[1].as_py(), key[3].as_py()) != (key[2].as_py(), key[4].as_py()):
+            linked &= side[:, None] != side          # pairs of one block have a tile of their own
+        return pa.table({"name": name, "c": name[least_linked(linked)], "links": linked @ copies})
+
+    found = materialize(dealt.groupBy("cluster", "low", "high", "x", "y").applyInArrow(
+        solve, "name long, c long, links long"), "ngram-counts")
+    joined = components(found.filter("name <> c").select(F.col("name").alias("a"), F.col("c").alias("b")), "ngram-final")
+    total = found.groupBy("name").agg(F.sum("links").alias("links"))
+    return total.join(joined.withColumnRenamed("v", "name"), "name", "left").select(
+        "name", F.coalesce("c", "name").alias("c"), "links")
 
 
 def large_links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -341,9 +452,7 @@ def large_links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     one text together. Then blocks of what is not yet connected are compared pairwise,
     where sizes allow a link. Blocks hold sets of one component where there are enough, and
     pairs of such blocks are skipped."""
-    ratio = math.log(den / num) if num < den else 1.0
-    rows = texts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio) + F.lit(1e-9)).cast("long"))
-    rows = materialize(rows.select("cluster", "band", "name", "n", "text"), "ngram-large")
+    rows = materialize(_banded(texts, num, den), "ngram-large")
     schema = "a long, b long"
 
     def solve(key, table):
@@ -399,7 +508,9 @@ def keep_one(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: s
              ) -> DataFrame:
     """One row of each group of linked texts: the one of the smallest id. Rows without
     words stay; of rows with equal id and text one stays."""
-    linked = link(df, n, num, den, doc_id, text)
+    placed = _placed(df, n, num, den, doc_id, text, False)
+    least = placed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    linked = placed.filter("n > 0").join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     gone = linked.filter((F.col("doc_id") > F.col("component_id")) & (F.col("n_shingles") > 0))
     gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
     return df.join(gone, plain(df, doc_id).cast("long") == F.col("__gone"), "left_anti")

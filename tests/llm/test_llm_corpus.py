@@ -93,6 +93,26 @@ def test_join_is_exact(spark, monkeypatch, tile, n, num, den):
     assert got == joined(rows, n, num, den)
 
 
+def counted(rows, n, num, den):
+    """Links of each row by comparing all pairs."""
+    sets = {}
+    for i, text in rows:
+        w = cases.SPACED.findall(cases.lower(text))
+        sets[i] = frozenset(tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+    return {i: sum(i != j and bool(s) and den * len(s & t) >= num * len(s | t) for j, t in sets.items()) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+@pytest.mark.parametrize("n,num,den", [(4, 85, 100), (5, 60, 100)])
+def test_every_link_is_counted(spark, monkeypatch, tile, n, num, den):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "PIECE", 128)
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_links for r in ngram_join.link(docs, n, num, den).collect()}
+    assert got == counted(rows, n, num, den) and max(got.values()) > 20
+
+
 def test_join_edges(spark):
     out = ngram_join.link(cases.documents(spark)).collect()
     assert len(out) == len(cases.rows())
