@@ -24,7 +24,8 @@ so pairs are never rows. Links of tiles join to components; nothing is sampled o
 
 Null and empty texts have the empty set and link with nothing. A text of fewer than n
 words is one n-gram. Equal rows fall into one component; a null id takes no part in the
-smallest id of its component.
+smallest id of its component. A row is known by its id and a hash of its text, so rows of
+null or repeated ids are compared like others.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlumen.llm.common import components, materialize, plain, release
+from netlumen.llm.common import components, fresh, materialize, plain, release
 from netlumen.llm.textscan import LOWER, SPACED, gathered, hashes, mix, runs, shingles, slices, utf8
 
 TILE, SPARE = 512, 4
@@ -151,17 +152,17 @@ def together(key: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[new], name[new], pairs
 
 
-NAMES = "doc_id long, n long, name long"
+NAMES = "doc_id long, key long, n long, name long"
 BLOCKS = "bucket int, keys binary, places binary, names binary"
 
 
 def name_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Per document its set's size and name."""
+    """Per row (doc_id, text, key) its set's size and name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, 1, SCAN_BYTES):
             gram, at = sets_of(batch.column(1), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(digests(gram, at))],
-                                             names=["doc_id", "n", "name"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(at)),
+                                              pa.array(digests(gram, at))], names=["doc_id", "key", "n", "name"])
 
     return docs.mapInArrow(run, NAMES)
 
@@ -301,10 +302,11 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str
 
 
 def _placed(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, counted: bool) -> DataFrame:
-    """Per row doc_id, n, name and its component c (the least name); if ``counted``, n_links
+    """Per row doc_id, key (a hash of its text), n, name and its component c (a name); if ``counted``, n_links
     too, for which every pair of candidates is compared and not only what connects them."""
     rows = docs.select(plain(docs, doc_id).cast("long").alias("doc_id"), plain(docs, text).alias("text"))
-    names = materialize(name_sets(rows, n), "ngram-names")
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    names = materialize(name_sets(keyed, n), "ngram-names")
     # About this many part hashes of 10 to 16 bytes will be dealt out.
     hashed = (names.agg(F.sum("n")).first()[0] or 0) * (den - num) * 4 // (num + den)
     buckets = max(8, -(-hashed * 12 // BUCKET_BYTES))
@@ -312,13 +314,22 @@ def _placed(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str,
     release(docs.sparkSession)
     cluster = components(pairs, "ngram-clusters").select(F.col("v").alias("name"), F.col("c").alias("cluster"))
     # One text of each set in a cluster, and its tile.
-    one = names.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"),
-                                    F.count(F.lit(1)).alias("copies"))
+    equal = names.groupBy("name", "doc_id", "key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    one = equal.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "k")).alias("o"),
+                                    F.max("n").alias("n"), F.sum("k").alias("copies"))
+    one = one.select("name", "o.doc_id", "o.key", "o.k", "n", "copies")
     members = materialize(cluster.join(one, "name"), "ngram-members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     members = members.join(sizes, "cluster")
-    # Dealt out by id at every size: how many texts have a candidate grows with the corpus.
-    texts = rows.join(members.select("doc_id", "name", "n", "copies", "cluster", "m").hint("merge"), "doc_id")
+    # Dealt out by id and text at every size: how many texts have a candidate grows with the
+    # corpus. An id may be null, or stand with several texts.
+    wanted = members.select("doc_id", "key", "k", "name", "n", "copies", "cluster", "m").alias("w")
+    texts = keyed.alias("r").join(wanted.hint("merge"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
+                                  & (F.col("r.key") == F.col("w.key")))
+    texts = texts.select("w.name", "w.n", "w.k", "w.copies", "w.cluster", "w.m", "r.text")
+    if not members.filter("k > 1").isEmpty():            # rows of equal id and text
+        some = texts.filter("k > 1").groupBy("name", "n", "k", "copies", "cluster", "m").agg(F.first("text").alias("text"))
+        texts = texts.filter("k = 1").union(some)
     texts = materialize(texts, "ngram-texts")
     release(docs.sparkSession)
     labels = small_links(texts.filter(F.col("m") <= TILE), n, num, den, counted)
@@ -334,8 +345,7 @@ def _placed(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str,
 
 
 def _unpacked(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """Sets of a tile's texts, in the order of ``table``; rows whose text is not the set's
-    own (a repeated id) and second rows of a set are left out."""
+    """Sets of a tile's texts, in the order of ``table``; second rows of a set are left out."""
     table = table.combine_chunks()
     gram, at = sets_of(table["text"].combine_chunks(), n)
     name = digests(gram, at)
@@ -506,11 +516,24 @@ def large_links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 def keep_one(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text"
              ) -> DataFrame:
-    """One row of each group of linked texts: the one of the smallest id. Rows without
-    words stay; of rows with equal id and text one stays."""
-    placed = _placed(df, n, num, den, doc_id, text, False)
-    least = placed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    linked = placed.filter("n > 0").join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    gone = linked.filter((F.col("doc_id") > F.col("component_id")) & (F.col("n_shingles") > 0))
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, plain(df, doc_id).cast("long") == F.col("__gone"), "left_anti")
+    """One row of each group of linked texts: the one of the smallest id, nulls last, and of
+    these the one of the least text hash. Rows without words stay; of rows with equal id and
+    text any one stays."""
+    placed = _placed(df, n, num, den, doc_id, text, False).filter("n > 0")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    rows = placed.groupBy("c", "doc_id", "key").agg(F.count(F.lit(1)).alias("k"))
+    best = rows.groupBy("c").agg(F.min(rank).alias("best"))
+    # Rows to drop, and those that stay but stand more than once.
+    found = rows.join(best, "c").withColumn("gone", rank != F.col("best")).filter("gone OR k > 1")
+    found = materialize(found.select(F.col("doc_id").alias("id"), "key", "gone"), "ngram-gone")
+    at = [fresh(df, "__id"), fresh(df, "__key")]
+    own = df.withColumns({at[0]: plain(df, doc_id).cast("long"), at[1]: F.xxhash64(plain(df, text))})
+
+    def same(of: DataFrame) -> Column:
+        return own[at[0]].eqNullSafe(of["id"]) & (own[at[1]] == of["key"])
+
+    kept = own.join(found, same(found), "left_anti")
+    repeated = found.filter("NOT gone")
+    if not repeated.isEmpty():
+        kept = kept.union(own.join(repeated, same(repeated), "left_semi").dropDuplicates(at))
+    return kept.select(*[plain(kept, c) for c in df.columns])

@@ -122,6 +122,20 @@ def test_join_edges(spark):
     assert 14 not in ids and 13 in ids and {0, 1, 2} <= set(ids)
 
 
+def test_null_and_repeated_ids(spark):
+    one, near = ([f"{w}{k}" for k in range(60)] for w in ("a", "b"))
+    text, clean = " ".join(one), "an unrelated text of " + " ".join(near)
+    null = [" ".join([f"n{k}" for k in range(80)] + [f"end{j}"] * j) for j in range(3)]
+    rows = [(5, text), (5, text), (5, text), (8, text + " more"), (8, clean), (8, clean), (None, text + " less"),
+            (None, null[0]), (None, null[1]), (None, null[1]), (None, null[2]), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, ngram_join.keep_one(docs).collect()), key=repr)
+    assert len([r for r in got if r[0] is None and r[1] in null]) == 1
+    assert [r for r in got if r[1] not in null] == sorted([(5, text), (8, clean), (9, ""), (9, ""), (None, None)], key=repr)
+    links = [(r.n_shingles, r.n_links) for r in ngram_join.link(docs).filter("doc_id IS NULL AND n_shingles > 70").collect()]
+    assert len(links) == 4 and {k for _, k in links} == {3}
+
+
 def test_components_of_long_paths(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components(edges.union(spark.createDataFrame([(900, 901)], "a long, b long")), "path").collect()
