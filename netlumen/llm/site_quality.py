@@ -33,8 +33,8 @@ from netlumen.llm.common import fresh, map_arrow, materialize, plain
 from netlumen.llm.rule_cascade import Texts
 from netlumen.llm.textscan import ALNUM, hashes, mix, runs, slices, utf8
 
-MAX_LABELLED, MAX_WORDS = 20_000, 300
-LEAST_TEXTS, LEAST_SHARE = 5, 0.01     # that a word is in to be a feature
+MAX_LABELLED, MAX_WORDS = 20_000, 1000     # the words are for each head
+LEAST_TEXTS = 5                            # that a word is in to be a feature
 MOST_SHIFT, EDGE = 2.0, 1e-4
 HEADS = ("low", "toxic")
 RATIOS = 6
@@ -153,10 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, do
         expected = F.col("n") * float((total[head] or 0) / n)
         return F.abs(F.col(head) - expected) / F.sqrt(expected + 1)
 
-    tally = tally.withColumn("z", F.greatest(*map(surprise, HEADS)))
-    tally = tally.filter((F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * n)) & (F.col("z") >= least_surprise(n)))
-    best = tally.orderBy(F.desc("z"), "word").limit(MAX_WORDS)
-    words = np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64))
+    tally = materialize(tally.filter(F.col("n") >= LEAST_TEXTS).select("word", *[surprise(h).alias(h) for h in HEADS]), "words")
+    # Each head has words of its own, so that the words of a rare label are not crowded out.
+    best = [tally.filter(F.col(h) >= least_surprise(n)).orderBy(F.desc(h), "word").limit(MAX_WORDS) for h in HEADS]
+    best = best[0].union(best[1]).select("word").distinct()
+    words = np.sort(np.array([r["word"] for r in best.collect()], np.int64).view(np.uint64))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -156,6 +156,20 @@ def test_held_out_documents(spark):
     assert not insults.kept.any() or insults.kept.mean() < 0.4
 
 
+def test_words_of_a_rare_label(spark):
+    rng, rows = np.random.default_rng(5), []
+    insults = [f"insult{k}" for k in range(10)]
+    for i in range(5000):
+        words, toxic = [f"common{k}" for k in rng.integers(100, 500, 40)], i % 100 == 0
+        if toxic:
+            words[5:8] = rng.choice(insults, 3, replace=False).tolist()
+        rows.append((i, " ".join(words), "en", "src0", int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, truth int").repartition(4)
+    labels = docs.filter("doc_id < 4000").selectExpr("doc_id", "1 AS quality", "truth AS toxic")
+    out = site_quality.classify(docs, labels, keep=["doc_id", "truth"]).filter("doc_id >= 4000").toPandas()
+    assert out[out.truth == 1].kept.mean() < 0.2 and out[out.truth == 0].kept.mean() > 0.97
+
+
 def test_sparse_sites_follow_their_parents(spark):
     rows = [("big", "x", 2.0)] * 400 + [("good", "x", -3.0)] * 400 + [("tiny", "x", 2.0)] + [("big", "rare", -3.0)]
     scored = spark.createDataFrame([(h, p, z, z) for h, p, z in rows], "host string, path string, __low double, __toxic double")
