@@ -21,7 +21,7 @@ from netlumen.session import materialize
 # Network shape and forest size.
 HIDDEN = (64, 32)
 TREES, MIN_LEAF = 200, 2
-# Spark's own limit; deeper trees are not offered. Rows a model is fitted and judged on.
+# Spark's own limit; deeper trees are not offered. Rows a model is fitted on.
 MAX_DEPTH, MAX_ROWS = 30, 20_000
 
 
@@ -86,13 +86,15 @@ def train(connections: DataFrame, out: str, seed: int = 20240917, target_recall:
           iterations: int = 100, models: tuple[str, ...] = ("mlp", "rf"), max_rows: int = MAX_ROWS) -> dict:
     """Fits the candidates on a stratified split, calibrates each on the held-out part,
     keeps the cheaper one unless the other gains more than ``margin`` F1, stores it. At
-    most ``max_rows`` labelled rows take part, those of least id hash."""
-    labelled = connections.filter(F.col("label").isin(0.0, 1.0)).orderBy(
-        F.xxhash64(F.lit(seed), "flow_id"), "flow_id").limit(max_rows)
+    most ``max_rows`` rows of the training part, those of least id hash, are fitted on; the
+    threshold and all figures come from the whole held-out part."""
+    labelled = connections.filter(F.col("label").isin(0.0, 1.0))
     carried = labelled.withColumn("_y", F.col("label"))
     feats = extract_features(carried, keep=("flow_id", "_y")).withColumnRenamed("_y", "label")
-    split = materialize(balanced(stratified_split(feats, seed=seed)), "split")
-    fit, held = split.filter("is_train"), split.filter("NOT is_train")
+    split = materialize(stratified_split(feats, seed=seed), "split")
+    held = split.filter("NOT is_train")
+    fit = split.filter("is_train").orderBy(F.xxhash64(F.lit(seed), "flow_id"), "flow_id").limit(max_rows)
+    fit = materialize(balanced(materialize(fit, "fit")), "fit-weighted")
     builders = {"mlp": lambda: mlp(seed, iterations), "rf": lambda: forest(seed, trees)}
     results, fitted = {}, {}
     for name in models:

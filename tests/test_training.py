@@ -33,6 +33,13 @@ def test_train_store_load_score(spark, conns, tmp_path, monkeypatch):
     assert training.threshold_of(stored) == 0.7
 
 
+def test_a_row_cap_is_for_fitting_only(spark, conns, tmp_path):
+    meta = training.train(conns, str(tmp_path / "m"), trees=2, models=("rf",), max_rows=200)
+    n, m = conns.count(), meta["metrics"]
+    assert meta["n_train"] == 200 and abs(meta["n_test"] / n - 0.25) < 0.01
+    assert m["tp"] + m["fp"] + m["fn"] + m["tn"] == meta["n_test"]
+
+
 def test_missing_and_mismatched_models(spark, conns, tmp_path):
     with pytest.raises(training.ModelMissing):
         training.load(spark, str(tmp_path / "none"))
