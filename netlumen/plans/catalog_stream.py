@@ -18,7 +18,7 @@ reg = Registry()
 def stream_view(spark, sf, name):
     """A fixture view over the given table read as a stream."""
     return spark_view(spark, sf, name,
-                      read=lambda table: jobs.file_stream(spark, sf, names=f"{table}.parquet"))
+                      read=lambda table: jobs.file_stream(spark, f"{sf}/{table}.parquet"))
 
 
 _DONE = """done AS (SELECT f.*, CASE WHEN rst OR fins = 3 THEN 'closed' WHEN t1 - t0 >= 120e0 THEN 'active' ELSE 'idle' END AS reason FROM facts f

@@ -19,18 +19,17 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def file_stream(spark: SparkSession, folder: str, schema=None, files_per_batch: int | None = None,
-                fmt: str = "parquet", names: str | None = None) -> DataFrame:
-    """Files of a folder as an append stream; ``names`` is a pattern they must match,
-    ``files_per_batch`` bounds a micro-batch."""
-    def options(reader):
-        return reader.option("pathGlobFilter", names) if names else reader
-
-    schema = schema or options(spark.read.format(fmt)).load(folder).schema
-    reader = options(spark.readStream.schema(schema).format(fmt))
+def file_stream(spark: SparkSession, path: str, schema=None, files_per_batch: int | None = None,
+                fmt: str = "parquet") -> DataFrame:
+    """A table as an append stream: a folder of files, or one file. ``files_per_batch``
+    bounds a micro-batch."""
+    schema = schema or spark.read.format(fmt).load(path).schema
+    reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(folder)
+    # A streaming source takes a single file only as the match of a pattern.
+    path = path.rstrip("/")
+    return reader.load(path if set(path) & set("*?[{") else f"{path[:-1]}[{path[-1]}]")
 
 
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str,

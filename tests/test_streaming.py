@@ -115,4 +115,12 @@ def test_ticket_sink(spark, tmp_path):
 
 def test_unbounded_output_needs_no_trigger(spark, sf, tmp_path):
     with pytest.raises(Exception):
-        jobs.run_to_table(jobs.running_counts(jobs.file_stream(spark, sf, names="events.parquet"), "event_type"), "x", "append")
+        jobs.run_to_table(jobs.running_counts(jobs.file_stream(spark, f"{sf}/events.parquet"), "event_type"), "x", "append")
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, sf, tmp_path):
+    folder = str(tmp_path / "events.parquet")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(5).write.parquet(folder)
+    for path in (f"{sf}/events.parquet", folder, folder + "/"):
+        out = jobs.run_to_table(jobs.file_stream(spark, path).select("event_id"), "as-stream")
+        assert out.count() == out.distinct().count() == 1000, path
