@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlumen.llm import (
-    decontaminate, license_scan, ngram_join, packing, rule_cascade, sharding, site_quality, token_counts, token_shards,
+    decontaminate, license_scan, manifest, ngram_join, packing, rule_cascade, sharding, site_quality, token_counts, token_shards,
     url_filter)
 from netlumen.llm.common import scratch, tokenizer_path
 from netlumen.plans.registry import Registry
@@ -175,3 +175,48 @@ def op3(spark, sf_dir):
 @reg.query("op5_ngram_join")
 def op5(spark, sf_dir):
     return ngram_join.link(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, num=85, den=100)
+
+
+# A field as its byte count and value; crc32 bit by bit over the digits' bytes (-1: shift).
+_FIELD = "CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}::VARCHAR) || ':' || {f} END"
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+c AS (SELECT doc_id, lang, sha256({" || ".join(_FIELD.format(f=f) for f in manifest.FIELDS)}) AS leaf,
+             sha256({" || ".join(_FIELD.format(f=f) for f in (*manifest.FIELDS[:-1], "low"))}) AS other,
+             xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+               lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) AS crc FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k,
+             dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM c),
+lv(g, h, idx, digest, n) AS (SELECT g, 0, k, leaf, count(*) OVER (PARTITION BY g) FROM r
+  UNION ALL SELECT g, h, idx, digest, count(*) OVER (PARTITION BY g)
+            FROM (SELECT g, h + 1 AS h, idx // 8 AS idx, sha256(string_agg(digest, '' ORDER BY idx)) AS digest
+                  FROM lv WHERE n > 1 GROUP BY g, h, idx // 8)),
+sub AS (SELECT g, digest AS subroot FROM lv WHERE n = 1),
+tp(h, idx, digest, n) AS (SELECT 0, g, subroot, count(*) OVER () FROM sub
+  UNION ALL SELECT h, idx, digest, count(*) OVER ()
+            FROM (SELECT h + 1 AS h, idx // 8 AS idx, sha256(string_agg(digest, '' ORDER BY idx)) AS digest
+                  FROM tp WHERE n > 1 GROUP BY h, idx // 8)),
+kin AS (SELECT a.g, a.h, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+               coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+        FROM lv a JOIN lv b ON b.g = a.g AND b.h = a.h AND b.idx // 8 = a.idx // 8 WHERE a.n > 1 GROUP BY a.g, a.h, a.idx),
+tkin AS (SELECT a.h, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+                coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+         FROM tp a JOIN tp b ON b.h = a.h AND b.idx // 8 = a.idx // 8 WHERE a.n > 1 GROUP BY a.h, a.idx),
+path AS (SELECT r.g, r.k, list({{'l': q.l, 'r': q.r}} ORDER BY q.tier, q.h) AS p
+         FROM r JOIN (SELECT g, 0 AS tier, h, idx, l, r FROM kin UNION ALL SELECT sub.g, 1, tkin.h, sub.g // (8 ** tkin.h)::BIGINT, l, r
+                      FROM sub JOIN tkin ON tkin.idx = sub.g // (8 ** tkin.h)::BIGINT) q
+         ON q.g = r.g AND (q.tier = 1 OR q.idx = r.k // (8 ** q.h)::BIGINT) GROUP BY r.g, r.k),
+f AS (SELECT r.*, sub.subroot, (SELECT digest FROM tp WHERE n = 1) AS root, coalesce(path.p, []) AS p,
+             CASE WHEN crc % 3 = 0 THEN other ELSE leaf END AS start
+      FROM r JOIN sub ON sub.g = r.g LEFT JOIN path ON path.g = r.g AND path.k = r.k),
+o AS (SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_concat([''], list_transform(p, lambda s: s.l || s.r)), 'string_agg', '')) AS proof_sha256,
+             list_reduce(list_concat([{{'l': start, 'r': ''}}], p), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM f)
+SELECT *, folded_root = root AS verified FROM o
+"""
+
+
+@reg.query("op13_merkle_manifest", OP13_SQL)
+def op13(spark, sf_dir):
+    stored = manifest.build(table(spark, sf_dir, "documents", *manifest.FIELDS))
+    return manifest.verify(manifest.prove(stored))
