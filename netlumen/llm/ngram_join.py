@@ -3,515 +3,64 @@
 A text is its set of distinct n-gram hashes; equal sets are one vertex, named by a digest
 of the set. Two different sets x and y link when den * |x & y| >= num * |x | y|.
 
-Candidates. Sizes fall into bands. In a band the hash universe is cut into parts, one more
-(and a few spare) than two linking sets of its sizes can differ in, so they agree on at
-least one whole part. Each set gives, for its band and for a lower band that may hold a
-smaller partner, the hash of what it has in each part. Sets that give an equal hash are
-candidates, whatever passages or lines they share otherwise: a phrase of half the corpus
-makes no candidates. Only where a set has more empty parts than the spare ones are the
-empty parts given as well. Batches of texts put equal hashes together before anything is
-shuffled, and what is shuffled is packed, a block of hashes a row.
-
-Clusters. Chains of candidates are closed to connected clusters (every link lies inside
-one). A cluster is compared in size-banded tiles of at most ``TILE`` sets: a small one in
-one tile, a large one in tiles of neighbouring sizes, pair of blocks by pair of blocks. In
-a tile a hashed bitmap of each set bounds the overlap from above by bit counts, and only
-pairs that pass are intersected, as sorted arrays. Where only components are asked for
-(``keep_one``), a set that is already connected to another is not compared with it again,
-so a tile of copies costs a few rows and not all pairs. ``link`` compares every pair of
-sets that a tile holds, by exact bit counts, and sums in the tile what each set links with,
-so pairs are never rows. Links of tiles join to components; nothing is sampled or capped.
+Candidates. All n-grams have one order, from those of few sets to those of many; a set
+gives its first |x| - ceil(num |x| / den) + 1 in that order, and two linking sets share one
+of those. So a passage or line of many texts makes no candidates: its n-grams come last.
+How common an n-gram is comes from hashed counts over all texts, a byte for each of 2^20
+counters, broadcast at that fixed size; a shared counter only moves an n-gram in the order,
+which may be any as long as it is the same everywhere. Sets of one n-gram whose sizes allow
+a link are tied to the least of them (``shingles.candidates``).
+
+Clusters of tied sets hold every link between their sets. They are compared in size-banded
+tiles by hashed bitmaps, whose bit counts bound the overlap from above, and then by exact
+intersection of sorted arrays (``tiles``). ``link`` tests every pair that sizes allow and
+counts links; ``keep_one``, which needs components alone, leaves out pairs that are already
+connected. Nothing is sampled or capped.
 
 Null and empty texts have the empty set and link with nothing. A text of fewer than n
 words is one n-gram. Equal rows fall into one component; a null id takes no part in the
 smallest id of its component. A row is known by its id and a hash of its text, so rows of
-null or repeated ids are compared like others.
+null or repeated ids are compared like others. Extra columns stay in ``keep_one``, whatever
+their names, and take no part otherwise. Texts are hashed whole, some 50 bytes of memory a
+byte of a batch of ``SCAN_BYTES``, or of one text where that is longer.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlumen.llm.common import components, fresh, materialize, plain, release
-from netlumen.llm.textscan import LOWER, SPACED, gathered, hashes, mix, runs, shingles, slices, utf8
+from netlumen.llm import tiles
+from netlumen.llm.common import components, materialize, release
+from netlumen.llm.shingles import (
+    buckets_for, candidates, classes, commonness, grams_of, keep_rows, name_sets, one_row_each, rows_of)
 
-TILE, SPARE = 512, 4
-SCAN_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20      # of part hashes that one task puts together
-PIVOTS = 16
-PIECE = 8192                 # n-grams whose bits are counted at once
 _U = np.uint64
-_GOLD = 0x9E3779B97F4A7C15
-
-
-def band_edges(most: int = 1 << 40) -> np.ndarray:
-    """Least sizes of the bands, each half as large again as the one before."""
-    edges = [1]
-    while edges[-1] < most:
-        edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
-    return np.array(edges, np.int64)
-
-
-EDGES = band_edges()
-
-
-def parts_of(band: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parts in a band, and how many of them are to spare: a pair whose smaller set is in
-    the band differs in fewer than the rest."""
-    x = EDGES[band + 1] - 1
-    y = x * den // num                                   # the largest partner
-    # |x & y| >= num (|x| + |y|) / (num + den), so they differ in at most this many.
-    differ = (den - num) * (x + y) // (num + den)
-    spare = SPARE + (differ + 1) // 4
-    return differ + 1 + spare, spare
-
-
-def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' distinct n-gram hashes, ascending within a text, and each text's first.
-
-    Hashing needs some fifty bytes a byte of text, so long columns are taken in parts."""
-    parts, first = [], [np.zeros(1, np.int64)]
-    for batch in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
-        gram, at = _sets_of(batch.column(0), n)
-        parts.append(gram)
-        first.append(at[1:] + first[-1][-1])
-    return np.concatenate(parts or [np.zeros(0, np.uint64)]), np.concatenate(first)
-
-
-def _sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = utf8(column)
-    start, end, bounds = runs(data, offsets, SPACED, LOWER)
-    gram, at = shingles(hashes(data, start, end, LOWER), bounds, n)
-    text = np.repeat(np.arange(len(column)), np.diff(at))
-    order = np.lexsort((gram, text))
-    gram, text = gram[order], text[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
-    gram, text = gram[new], text[new]
-    return gram, np.searchsorted(text, np.arange(len(column) + 1))
-
-
-def digests(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A signed 64-bit name of each set."""
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(gram) + 1, np.uint64)
-        np.cumsum(mix(gram ^ _U(_GOLD)), out=total[1:])
-        size = np.diff(at).astype(np.uint64)
-        return mix(total[at[1:]] - total[at[:-1]] + size * _U(_GOLD)).view(np.int64)
-
-
-def part_keys(gram: np.ndarray, at: np.ndarray, band: np.ndarray, num: int, den: int
-              ) -> tuple[np.ndarray, np.ndarray]:
-    """For sets in the given bands, (set, key) of each part that must be given.
-
-    Two linking sets agree on one part more than there are to spare. So under one order of
-    all (part, content) pairs each may leave out its last ones, as many as are to spare,
-    and they still agree on one that is given. The order puts last what says least: parts
-    with no n-gram, and before them parts with one, which may be a common one."""
-    parts, spare = parts_of(band, num, den)
-    first = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum(parts, out=first[1:])
-    owner = np.repeat(np.arange(len(parts)), np.diff(at))
-    spot = first[owner] + (gram % parts[owner].astype(np.uint64)).astype(np.int64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(first[-1], np.uint64)
-        np.add.at(total, spot, mix(gram + _U(_GOLD)))
-        held = np.bincount(spot, minlength=first[-1])
-        which = np.repeat(np.arange(len(parts)), parts)
-        number = np.arange(first[-1]) - first[which]
-        key = mix(mix(total + number.astype(np.uint64) * _U(_GOLD)) + band[which].astype(np.uint64))
-    order = np.lexsort((key, -np.minimum(held, 2), which))
-    order = order[number < (parts - spare)[which]]
-    return which[order], key[order]
 
 
-def bands_of(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, band) for the set's own band and each lower one that may hold a partner."""
-    own = np.searchsorted(EDGES, size, "right") - 1
-    least = np.searchsorted(EDGES, -(-size * num // den), "right") - 1
-    n = np.where(size > 0, own - least + 1, 0)
-    which = np.repeat(np.arange(len(size)), n)
-    return which, own[which] - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-
-
-def together(key: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One name for each key (the least) and the pairs that tie the others to it."""
-    order = np.lexsort((name, key))
-    key, name = key[order], name[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    head = name[np.flatnonzero(new)][np.cumsum(new) - 1]
-    tie = head != name
-    pairs = np.unique(np.stack([head[tie], name[tie]], axis=1), axis=0) if tie.any() else np.zeros((0, 2), np.int64)
-    return key[new], name[new], pairs
-
-
-NAMES = "doc_id long, key long, n long, name long"
-BLOCKS = "bucket int, keys binary, places binary, names binary"
-
-
-def name_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Per row (doc_id, text, key) its set's size and name."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, 1, SCAN_BYTES):
-            gram, at = sets_of(batch.column(1), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(at)),
-                                              pa.array(digests(gram, at))], names=["doc_id", "key", "n", "name"])
-
-    return docs.mapInArrow(run, NAMES)
-
-
-def candidates(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Pairs (a, b) that tie together all sets that give an equal hash.
-
-    A batch puts its own equal hashes together first; each is then sent once, and the ties
-    found go along as hashes of their own. A row is a block of hashes of one bucket, the
-    places of their sets in a short list of names, and that list."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, 1, SCAN_BYTES):
-            gram, at = sets_of(batch.column(1), n)
-            name, size = digests(gram, at), np.diff(at)
-            once = np.unique(name, return_index=True)[1]
-            once = np.sort(once[size[once] > 0])
-            which, band = bands_of(size[once], num, den)
-            which = once[which]
-            at_of = np.zeros(len(which) + 1, np.int64)
-            np.cumsum(size[which], out=at_of[1:])
-            spot = np.arange(at_of[-1]) - np.repeat(at_of[:-1] - at[which], size[which])
-            owner, key = part_keys(gram[spot], at_of, band, num, den)
-            key, first, pairs = together(key, name[which[owner]])
-            with np.errstate(over="ignore"):
-                tie = mix(mix(pairs[:, 0].view(np.uint64)) + pairs[:, 1].view(np.uint64))
-            key = np.concatenate([key, tie, tie])
-            first = np.concatenate([first, pairs[:, 0], pairs[:, 1]])
-            bucket = (key >> _U(33)) % _U(buckets)
-            order = np.argsort(bucket, kind="stable")
-            key, first, bucket = key[order], first[order], bucket[order]
-            cut = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(key)] if len(key) else [0]
-            out = []
-            for i, j in zip(cut[:-1], cut[1:]):
-                names, place = np.unique(first[i:j], return_inverse=True)
-                out.append((int(bucket[i]), key[i:j].tobytes(), place.astype("<u4" if len(names) > 65536 else "<u2").tobytes(),
-                            names.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(
-                (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "places", "names"])
-
-    def tie(_, table):
-        keys, names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for k, p, m in zip(*(table[c].to_pylist() for c in ("keys", "places", "names"))):
-            keys.append(np.frombuffer(k, np.uint64))
-            names.append(np.frombuffer(m, np.int64)[np.frombuffer(p, "<u4" if len(m) > 8 * 65536 else "<u2")])
-        pairs = together(np.concatenate(keys), np.concatenate(names))[2]
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return docs.mapInArrow(pack, BLOCKS).groupBy("bucket").applyInArrow(tie, "a long, b long")
-
-
-def bitmaps(gram: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    """A hashed bitmap of each set, as 64-bit words; ``bits`` is a power of two."""
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    bit = (gram & _U(bits - 1)).astype(np.int64)
-    out = np.zeros((len(at) - 1, bits // 64), np.uint64)
-    np.bitwise_or.at(out, (owner, bit >> 6), _U(1) << (bit & 63).astype(np.uint64))
-    return out
-
-
-def tile_links(gram: np.ndarray, at: np.ndarray, groups: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links of a tile that connect what ``groups`` (equal numbers: connected) does not."""
+def rare_keys(gram: np.ndarray, at: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, n-gram) of the n-grams that each set must give."""
     size = np.diff(at)
-    m = len(size)
-    bits = 1 << max(6, int(4 * max(1, size.mean())).bit_length())
-    maps = bitmaps(gram, at, min(bits, 1 << 15))
-    group, links = groups.copy(), []
-    for i in np.argsort(size, kind="stable")[::-1].tolist():
-        # Partners no larger than i, not yet connected to it, and not too small.
-        others = np.flatnonzero((group != group[i]) & (size <= size[i]) & (size * den >= size[i] * num))
-        if not len(others):
-            continue
-        differ = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        both = size[others] + size[i]
-        # |x & y| is at most half of what the bits do not set apart.
-        most = (both - differ) // 2
-        for j in others[(num + den) * most >= num * both[np.arange(len(others))]].tolist():
-            if group[i] == group[j]:
-                continue
-            shared = len(np.intersect1d(gram[at[i]:at[i + 1]], gram[at[j]:at[j + 1]], assume_unique=True))
-            if den * shared >= num * (size[i] + size[j] - shared):
-                links.append((i, j))
-                group[group == group[j]] = group[i]
-    return links
-
-
-def overlaps(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """|x & y| of every pair of a tile's sets. N-grams of two sets or more get a bit each, so
-    bit counts are exact; ``PIECE`` of them are counted at a time."""
-    m = len(at) - 1
-    which, held = np.unique(gram, return_inverse=True, return_counts=True)[1:]
-    shared = held[which] > 1
-    place = (np.cumsum(held > 1) - 1)[which[shared]]
-    owner = np.repeat(np.arange(m), np.diff(at))[shared]
-    order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
-    out = np.zeros((m, m), np.int64)
-    for lo in range(0, int((held > 1).sum()), PIECE):
-        i, j = np.searchsorted(place, (lo, lo + PIECE))
-        bit = np.zeros((m, PIECE), bool)
-        bit[owner[i:j], place[i:j] - lo] = True
-        width = -(-(int(place[j - 1]) - lo + 1) // 64) * 64
-        maps = np.packbits(bit[:, :width], axis=1).view(np.uint64)
-        for k in range(m):
-            out[k, k:] += np.bitwise_count(maps[k:] & maps[k]).sum(axis=1, dtype=np.int64)
-    return np.maximum(out, out.T)
-
-
-def all_links(gram: np.ndarray, at: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which sets of a tile link, every pair tested, as a symmetric matrix."""
-    size = np.diff(at)
-    both = overlaps(gram, at)
-    linked = (den * both >= num * (size[:, None] + size - both)) & (both > 0)
-    np.fill_diagonal(linked, False)
-    return linked
-
-
-def least_linked(linked: np.ndarray) -> np.ndarray:
-    """For each set the least number in its component."""
-    label, m = np.arange(len(linked)), len(linked)
-    while m:
-        now = np.minimum(label, np.where(linked, label, m).min(axis=1))
-        now = now[now]
-        if (now == label).all():
-            break
-        label = now
-    return label
+    owner = np.repeat(np.arange(len(size)), size)
+    rank = (common[(gram & _U(len(common) - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (gram >> _U(8))
+    order = np.lexsort((rank, owner))
+    most = size - -(-size * num // den) + 1
+    first = order[(np.arange(len(gram)) - at[owner]) < most[owner]]
+    return owner[first], gram[first]
 
 
 def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text"
          ) -> DataFrame:
     """Per row doc_id, n_shingles, component_id (the smallest id reachable by links) and
     n_links: with how many other rows it links, equal sets included."""
-    placed = _placed(docs, n, num, den, doc_id, text, True)
-    least = placed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return (placed.filter("n > 0").join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-            .union(placed.filter("n = 0").select("doc_id", "n", "doc_id", F.lit(0).cast("long"))))
-
-
-def _placed(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, counted: bool) -> DataFrame:
-    """Per row doc_id, key (a hash of its text), n, name and its component c (a name); if ``counted``, n_links
-    too, for which every pair of candidates is compared and not only what connects them."""
-    rows = docs.select(plain(docs, doc_id).cast("long").alias("doc_id"), plain(docs, text).alias("text"))
-    keyed = rows.withColumn("key", F.xxhash64("text"))
-    names = materialize(name_sets(keyed, n), "ngram-names")
-    # About this many part hashes of 10 to 16 bytes will be dealt out.
-    hashed = (names.agg(F.sum("n")).first()[0] or 0) * (den - num) * 4 // (num + den)
-    buckets = max(8, -(-hashed * 12 // BUCKET_BYTES))
-    pairs = materialize(candidates(rows, n, num, den, buckets), "ngram-pairs")
-    release(docs.sparkSession)
-    cluster = components(pairs, "ngram-clusters").select(F.col("v").alias("name"), F.col("c").alias("cluster"))
-    # One text of each set in a cluster, and its tile.
-    equal = names.groupBy("name", "doc_id", "key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    one = equal.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "k")).alias("o"),
-                                    F.max("n").alias("n"), F.sum("k").alias("copies"))
-    one = one.select("name", "o.doc_id", "o.key", "o.k", "n", "copies")
-    members = materialize(cluster.join(one, "name"), "ngram-members")
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    members = members.join(sizes, "cluster")
-    # Dealt out by id and text at every size: how many texts have a candidate grows with the
-    # corpus. An id may be null, or stand with several texts.
-    wanted = members.select("doc_id", "key", "k", "name", "n", "copies", "cluster", "m").alias("w")
-    texts = keyed.alias("r").join(wanted.hint("merge"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))
-                                  & (F.col("r.key") == F.col("w.key")))
-    texts = texts.select("w.name", "w.n", "w.k", "w.copies", "w.cluster", "w.m", "r.text")
-    if not members.filter("k > 1").isEmpty():            # rows of equal id and text
-        some = texts.filter("k > 1").groupBy("name", "n", "k", "copies", "cluster", "m").agg(F.first("text").alias("text"))
-        texts = texts.filter("k = 1").union(some)
-    texts = materialize(texts, "ngram-texts")
-    release(docs.sparkSession)
-    labels = small_links(texts.filter(F.col("m") <= TILE), n, num, den, counted)
-    large = texts.filter(F.col("m") > TILE)
-    if not large.isEmpty():
-        labels = labels.union((large_counts if counted else large_links)(large, n, num, den))
-    labels = materialize(labels, "ngram-labels")
-    if counted:
-        labels = one.select("name", "copies").join(labels, "name", "left").select(
-            "name", "c", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    placed = names.join(labels, "name", "left").withColumn("c", F.coalesce("c", "name"))
-    return placed.withColumn("c", F.when(F.col("n") > 0, F.col("c")))
-
-
-def _unpacked(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """Sets of a tile's texts, in the order of ``table``; second rows of a set are left out."""
-    table = table.combine_chunks()
-    gram, at = sets_of(table["text"].combine_chunks(), n)
-    name = digests(gram, at)
-    right = name == table["name"].to_numpy()
-    first = np.zeros(len(name), bool)
-    first[np.unique(np.where(right, name, np.int64(0)), return_index=True)[1]] = True
-    rows = np.flatnonzero(right & first)
-    size = np.diff(at)[rows]
-    new_at = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum(size, out=new_at[1:])
-    spot = np.arange(new_at[-1]) - np.repeat(new_at[:-1] - at[rows], size)
-    return gram[spot], new_at, name[rows], table.take(pa.array(rows))
-
-
-def small_links(texts: DataFrame, n: int, num: int, den: int, counted: bool = False) -> DataFrame:
-    """(name, c) of every set in clusters that fit a tile, whole clusters in one task; if
-    ``counted``, with the rows of other sets that it links with."""
-    rows = texts.select("cluster", "name", "copies", "text").repartition("cluster").sortWithinPartitions("cluster")
-
-    def solve(table: pa.Table) -> pa.RecordBatch:
-        gram, at, name, table = _unpacked(table, n)
-        cluster, copies = table["cluster"].to_numpy(), table["copies"].to_numpy()
-        c, links = name.copy(), np.zeros(len(name), np.int64)
-        edges = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])) if len(cluster) else np.zeros(0, int)
-        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(cluster)]):
-            if hi - lo > 1:
-                group = np.arange(hi - lo)
-                if counted:
-                    linked = all_links(gram[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], num, den)
-                    group, links[lo:hi] = least_linked(linked), linked @ copies[lo:hi]
-                else:
-                    for i, j in tile_links(gram[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], group, num, den):
-                        group[group == group[j]] = group[i]
-                for g in np.unique(group):
-                    c[lo + np.flatnonzero(group == g)] = name[lo + np.flatnonzero(group == g)].min()
-        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(c), pa.array(links)][:3 if counted else 2],
-                                          names=["name", "c", "links"][:3 if counted else 2])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            # Rows of a batch's last cluster wait for the next batch.
-            cluster = batch.column(0).to_numpy()
-            last = int(np.searchsorted(cluster, cluster[-1])) if len(cluster) else 0
-            if last or not held:
-                if held or last:
-                    yield solve(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = [batch.slice(last)]
-            elif held[-1].column(0)[0].as_py() != batch.column(0)[0].as_py():
-                yield solve(pa.Table.from_batches(held))
-                held = [batch]
-            else:
-                held.append(batch)
-        if held:
-            yield solve(pa.Table.from_batches(held))
-
-    return rows.mapInArrow(run, "name long, c long, links long" if counted else "name long, c long")
-
-
-def _banded(texts: DataFrame, num: int, den: int, *columns: str) -> DataFrame:
-    """``columns`` with ``band``: sets that link are a band apart at most."""
-    ratio = math.log(den / num) if num < den else 1.0
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio) + F.lit(1e-9)).cast("long")
-    return texts.select("cluster", band.alias("band"), "name", "n", *columns, "text")
-
-
-def large_counts(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(name, c, links) of every set in clusters beyond one tile: blocks of about TILE / 2
-    sets of one size band, every pair of blocks that sizes allow in a tile of its own."""
-    rows = materialize(_banded(texts, num, den, "copies"), "ngram-large")
-    count = materialize(rows.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / (TILE // 2)).alias("q")), "ngram-blocks")
-    above = count.select("cluster", (F.col("band") - 1).alias("band"), F.col("q").alias("up"))
-    below = count.select("cluster", (F.col("band") + 1).alias("band"), F.col("q").alias("down"))
-    count = materialize(count.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left"), "ngram-near")
-    placed = rows.join(count, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("name"), F.col("q")))
-
-    def tiles(other: Column, low: Column, high: Column, x: Column, y: Column, side: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(0).cast("long"), other - 1), lambda o: F.struct(
-            low.alias("low"), high.alias("high"), F.coalesce(x, o).alias("x"), F.coalesce(y, o).alias("y"),
-            side.cast("int").alias("side")))
-        return F.when(other > 0, made).otherwise(F.array().cast(
-            "array<struct<low:bigint,high:bigint,x:bigint,y:bigint,side:int>>"))
-
-    band, block, none = F.col("band"), F.col("block"), F.lit(None).cast("long")
-    own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), lambda o: F.struct(
-        band.alias("low"), band.alias("high"), F.least(o, block).alias("x"), F.greatest(o, block).alias("y"),
-        (block > o).cast("int").alias("side")))
-    sides = F.concat(own, tiles(F.col("up"), band, band + 1, block, none, F.lit(0)),
-                     tiles(F.col("down"), band - 1, band, none, block, F.lit(1)))
-    dealt = placed.select("cluster", "name", "copies", "text", F.explode(sides).alias("t")).select(
-        "cluster", "t.*", "name", "copies", "text")
-
-    def solve(key, table):
-        gram, at, name, table = _unpacked(table, n)
-        linked = all_links(gram, at, num, den)
-        side, copies = table["side"].to_numpy(), table["copies"].to_numpy()
-        if len(side) and (key[1].as_py(), key[3].as_py()) != (key[2].as_py(), key[4].as_py()):
-            linked &= side[:, None] != side          # pairs of one block have a tile of their own
-        return pa.table({"name": name, "c": name[least_linked(linked)], "links": linked @ copies})
-
-    found = materialize(dealt.groupBy("cluster", "low", "high", "x", "y").applyInArrow(
-        solve, "name long, c long, links long"), "ngram-counts")
-    joined = components(found.filter("name <> c").select(F.col("name").alias("a"), F.col("c").alias("b")), "ngram-final")
-    total = found.groupBy("name").agg(F.sum("links").alias("links"))
-    return total.join(joined.withColumnRenamed("v", "name"), "name", "left").select(
-        "name", F.coalesce("c", "name").alias("c"), "links")
-
-
-def large_links(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(name, c) of every set in clusters beyond one tile.
-
-    First each block of about TILE sets of one size band is solved alone, together with
-    PIVOTS sets of the band that are the same in all its blocks, which ties most copies of
-    one text together. Then blocks of what is not yet connected are compared pairwise,
-    where sizes allow a link. Blocks hold sets of one component where there are enough, and
-    pairs of such blocks are skipped."""
-    rows = materialize(_banded(texts, num, den), "ngram-large")
-    schema = "a long, b long"
-
-    def solve(key, table):
-        gram, at, name, table = _unpacked(table, n)
-        group = np.unique(table["c"].to_numpy(), return_inverse=True)[1] if "c" in table.column_names else np.arange(len(name))
-        links = tile_links(gram, at, group, num, den)
-        return pa.table({"a": pa.array([int(name[i]) for i, _ in links], pa.int64()),
-                         "b": pa.array([int(name[j]) for _, j in links], pa.int64())})
-
-    count = rows.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("q"))
-    bin_of = F.pmod(F.xxhash64("name", F.lit("pivot")), F.lit(PIVOTS))
-    pivots = rows.groupBy("cluster", "band", bin_of.alias("bin")).agg(F.min("name").alias("name")).drop("bin")
-    pivots = pivots.join(rows.select("name", "n", "text"), "name").join(count.filter("q > 1"), ["cluster", "band"])
-    pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    alone = rows.join(count, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("name"), F.col("q")))
-    alone = alone.unionByName(pivots).select("cluster", "band", "block", "name", "text")
-    links = materialize(alone.groupBy("cluster", "band", "block").applyInArrow(solve, schema), "ngram-links")
-    named = components(links, "ngram-large").withColumnRenamed("v", "name")
-    now = materialize(rows.select("cluster", "band", "name").join(named, "name", "left")
-                      .withColumn("c", F.coalesce("c", "name")), "ngram-now")
-    # Components of a block or more have blocks of their own, the rest share blocks.
-    c_size = now.groupBy("cluster", "band", "c").agg(F.count(F.lit(1)).alias("k"))
-    c_size = c_size.withColumn("own", F.when(F.col("k") >= TILE // 2, F.col("c")))
-    q = c_size.groupBy("cluster", "band", "own").agg(F.ceil(F.sum("k") / (TILE // 2)).alias("q"))
-    now = now.join(c_size, ["cluster", "band", "c"]).alias("l").join(
-        q.alias("r"), (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.band") == F.col("r.band"))
-        & F.col("l.own").eqNullSafe(F.col("r.own"))).select("l.cluster", "l.band", "l.name", "l.c", "l.own", "r.q")
-    now = now.withColumn("block", F.concat_ws(":", F.coalesce(F.col("own").cast("string"), F.lit("-")),
-                                              F.pmod(F.xxhash64("name"), F.col("q")).cast("string")))
-    now = materialize(now, "ngram-blocks")
-    blocks = now.select("cluster", "band", "block", "own").distinct()
-    x, y = blocks.alias("x"), blocks.alias("y")
-    # Sizes a band apart at most can link; the block list is small, rows / TILE.
-    near = x.withColumn("other", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x")
-    pair = near.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.other") == F.col("y.band"))).filter(
-        ((F.col("x.band") < F.col("y.band")) | (F.col("x.block") <= F.col("y.block")))
-        & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
-    pair = pair.select("x.cluster", F.col("x.band").alias("b1"), F.col("x.block").alias("k1"),
-                       F.col("y.band").alias("b2"), F.col("y.block").alias("k2"))
-    pair = pair.withColumn("tile", F.xxhash64("b1", "k1", "b2", "k2"))
-    sides = pair.select("cluster", "tile", F.explode(F.array_distinct(F.array(
-        F.struct(F.col("b1").alias("band"), F.col("k1").alias("block")),
-        F.struct(F.col("b2").alias("band"), F.col("k2").alias("block"))))).alias("s")).select("cluster", "tile", "s.*")
-    tiles = now.select("cluster", "band", "block", "name", "c").join(sides, ["cluster", "band", "block"]).join(
-        rows.select("name", "text"), "name")
-    cross = tiles.select("cluster", "tile", "name", "text", "c").groupBy("cluster", "tile").applyInArrow(solve, schema)
-    final = components(links.union(materialize(cross, "ngram-cross")), "ngram-final")
-    return rows.select("name").distinct().join(final.withColumnRenamed("v", "name"), "name", "left").select(
-        "name", F.coalesce("c", "name").alias("c"))
+    names, one, labels = _linked(docs, n, num, den, doc_id, text, True)
+    best = classes(one, labels).join(labels.select("name", "links"), "name", "left")
+    best = materialize(best.select("name", F.col("best.doc_id").alias("component_id"),
+                                   (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "ngram-classes")
+    # Rows of one set may be any share of all: the join of rows with sets is the last step.
+    full = names.filter("n > 0").join(best, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return full.union(names.filter("n = 0").select("doc_id", "n", "doc_id", F.lit(0).cast("long")))
 
 
 def keep_one(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text"
@@ -519,21 +68,28 @@ def keep_one(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: s
     """One row of each group of linked texts: the one of the smallest id, nulls last, and of
     these the one of the least text hash. Rows without words stay; of rows with equal id and
     text any one stays."""
-    placed = _placed(df, n, num, den, doc_id, text, False).filter("n > 0")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    rows = placed.groupBy("c", "doc_id", "key").agg(F.count(F.lit(1)).alias("k"))
-    best = rows.groupBy("c").agg(F.min(rank).alias("best"))
-    # Rows to drop, and those that stay but stand more than once.
-    found = rows.join(best, "c").withColumn("gone", rank != F.col("best")).filter("gone OR k > 1")
-    found = materialize(found.select(F.col("doc_id").alias("id"), "key", "gone"), "ngram-gone")
-    at = [fresh(df, "__id"), fresh(df, "__key")]
-    own = df.withColumns({at[0]: plain(df, doc_id).cast("long"), at[1]: F.xxhash64(plain(df, text))})
-
-    def same(of: DataFrame) -> Column:
-        return own[at[0]].eqNullSafe(of["id"]) & (own[at[1]] == of["key"])
-
-    kept = own.join(found, same(found), "left_anti")
-    repeated = found.filter("NOT gone")
-    if not repeated.isEmpty():
-        kept = kept.union(own.join(repeated, same(repeated), "left_semi").dropDuplicates(at))
-    return kept.select(*[plain(kept, c) for c in df.columns])
+    names, one, labels = _linked(df, n, num, den, doc_id, text, False)
+    best = materialize(classes(one, labels).select("name", "best"), "ngram-classes")
+    return keep_rows(df, names, best, doc_id, text)
+
+
+def _linked(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, counted: bool
+            ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their set's name, sets, and (name, c[, links]) of the sets with candidates."""
+    spark = docs.sparkSession
+    rows = rows_of(docs, doc_id, text)
+    named = materialize(name_sets(rows, n, True), "ngram-names")
+    common = spark.sparkContext.broadcast(commonness(named))
+    names = named.filter("block IS NULL").select("doc_id", "key", "n", "name")
+    total, count = names.agg(F.sum("n"), F.count(F.lit(1))).first()
+    keys = (total or 0) * (den - num) / den + count
+    pairs = candidates(rows, n, num, den, buckets_for(keys), lambda g, at: rare_keys(g, at, common.value, num, den))
+    pairs = materialize(pairs, "ngram-pairs")
+    common.destroy()
+    release(spark)
+    cluster = components(pairs, "ngram-clusters").select(F.col("v").alias("name"), F.col("c").alias("cluster"))
+    one = materialize(one_row_each(names), "ngram-sets")
+    members = materialize(cluster.join(one, "name"), "ngram-members")
+    members = materialize(grams_of(rows, members, n), "ngram-grams")
+    release(spark)
+    return names, one, materialize(tiles.solve(members, num, den, counted), "ngram-labels")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlumen.llm import (
-    decontaminate, license_scan, manifest, ngram_join, packing, rule_cascade, sharding, site_quality, token_counts, token_shards,
-    url_filter)
+    decontaminate, license_scan, manifest, minhash, ngram_join, packing, rule_cascade, sharding, site_quality, token_counts, token_shards,
+    url_filter, whitening)
 from netlumen.llm.common import scratch, tokenizer_path
 from netlumen.plans.registry import Registry
 
@@ -172,7 +172,24 @@ def op3(spark, sf_dir):
                                  keep=["doc_id", "source", "lang"])
 
 
-@reg.query("op5_ngram_join")
+def jaccard_sql(n: int, num: int, den: int, *columns: str) -> str:
+    """Sets of n-word shingles, all pairs that share one, their links and what these reach."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE {den} * k >= {num} * (nx.n + ny.n - k)),
+r(x, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.c),
+m AS (SELECT x, min(c) AS component_id FROM r GROUP BY x), k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, {", ".join(columns)}
+FROM d JOIN m ON m.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.x = d.doc_id
+"""
+
+
+@reg.query("op5_ngram_join", jaccard_sql(4, 85, 100, "coalesce(k.n_links, 0)::BIGINT AS n_links"))
 def op5(spark, sf_dir):
     return ngram_join.link(table(spark, sf_dir, "documents", "doc_id", "text"), n=4, num=85, den=100)
 
@@ -220,3 +237,14 @@ SELECT *, folded_root = root AS verified FROM o
 def op13(spark, sf_dir):
     stored = manifest.build(table(spark, sf_dir, "documents", *manifest.FIELDS))
     return manifest.verify(manifest.prove(stored))
+
+
+@reg.query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return whitening.components(vectors, whitening.fit(vectors))
+
+
+@reg.query("op12_minhash_dedup", jaccard_sql(5, 85, 100, "d.doc_id = component_id AS kept"))
+def op12(spark, sf_dir):
+    return minhash.link(table(spark, sf_dir, "documents", "doc_id", "text"), n=5, num=85, den=100)

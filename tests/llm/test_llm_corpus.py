@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netlumen.llm import decontaminate, ngram_join, sharding, site_quality
+from netlumen.llm import decontaminate, ngram_join, sharding, site_quality, tiles
 from netlumen.llm.common import components
 from netlumen.llm.queries import shard_sql
 
@@ -86,7 +86,7 @@ def near_copies():
 @pytest.mark.parametrize("tile", [512, 16])
 @pytest.mark.parametrize("n,num,den", [(4, 85, 100), (5, 80, 100), (2, 100, 100)])
 def test_join_is_exact(spark, monkeypatch, tile, n, num, den):
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(tiles, "TILE", tile)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs, n, num, den).collect()}
@@ -105,8 +105,7 @@ def counted(rows, n, num, den):
 @pytest.mark.parametrize("tile", [512, 16])
 @pytest.mark.parametrize("n,num,den", [(4, 85, 100), (5, 60, 100)])
 def test_every_link_is_counted(spark, monkeypatch, tile, n, num, den):
-    monkeypatch.setattr(ngram_join, "TILE", tile)
-    monkeypatch.setattr(ngram_join, "PIECE", 128)
+    monkeypatch.setattr(tiles, "TILE", tile)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.n_links for r in ngram_join.link(docs, n, num, den).collect()}
