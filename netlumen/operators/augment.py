@@ -85,10 +85,6 @@ def blend_with(df: DataFrame, weight: Column, take: Column, partner: str = "p")
     return restore_invariants(df.withColumns(mixed))
 
 
-def _hash_slice(column: str) -> Column:
-    return F.shiftright(F.col(column), 52)
-
-
 def blend_opposite(df: DataFrame, hardness: float, weights: tuple[float, float] = (0.2, 0.7),
                    seed: int = 11) -> DataFrame:
     """Blends a seeded share of the rows toward a random row of the other label.
@@ -101,7 +97,7 @@ def blend_opposite(df: DataFrame, hardness: float, weights: tuple[float, float]
     cols = df.columns
     hashed = df.withColumns({"_h": F.xxhash64(F.lit(seed), "flow_id"),
                              "_y": (F.col("label") > 0.5).cast("int")})
-    pool = running(hashed, ["_y"], ["_h", "flow_id"], _hash_slice("_h"), sums={"_no": F.lit(1)})
+    pool = running(hashed, ["_y"], ["_h", "flow_id"], sums={"_no": F.lit(1)})
     sizes = df.agg(F.struct(F.sum((F.col("label") > 0.5).cast("long")).alias("a"),
                             F.count(F.lit(1)).alias("n"))).scalar()
     marked = hashed.withColumn("_z", sizes).withColumn(
@@ -133,7 +129,7 @@ def resample_mix(df: DataFrame, cls: str, mix: Mapping[str, float], rows: int,
                  seed: int = 3) -> DataFrame:
     """Up to ``rows`` rows with the wanted class shares, in seeded hash order per class."""
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), "flow_id"))
-    ranked = running(hashed, [cls], ["_h", "flow_id"], _hash_slice("_h"), sums={"_r": F.lit(1)})
+    ranked = running(hashed, [cls], ["_h", "flow_id"], sums={"_r": F.lit(1)})
     quota = F.create_map(*[F.lit(x) for c, p in mix.items() for x in (c, int(rows * p))])
     return ranked.filter(F.col("_r") <= F.coalesce(F.try_element_at(quota, cls), F.lit(0))).select(*df.columns)
 
@@ -142,7 +138,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "flow_id",
                      train: float = 0.75, seed: int = 20240917) -> DataFrame:
     """Adds ``is_train``: exactly the leading share of every label in hash order."""
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key))
-    ranked = running(hashed, [label], ["_h", key], _hash_slice("_h"), sums={"_r": F.lit(1)})
+    ranked = running(hashed, [label], ["_h", key], sums={"_r": F.lit(1)})
     # One row per label.
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     joined = ranked.join(sizes, label)

@@ -4,21 +4,22 @@ A conversation is cut where the previous packet carried RST, where the gap to it
 reaches the idle timeout, where both sides have sent FIN since the cut, and by the
 first packet ``active_timeout`` seconds after the cut; the closing packet belongs
 to the segment it closes. Idle and RST cuts do not depend on earlier cuts, so they
-split a conversation into independent runs with one sliced scan. The other two
-rules are greedy: they are followed inside a run only.
+split a conversation into independent runs with one scan. The other two rules are
+greedy: they are followed inside a run only, segment by segment.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlumen.functions import net
-from netlumen.operators.scan import BEFORE, UP_TO, global_rank, running, time_slice
+from netlumen.operators.scan import BEFORE, UP_TO, global_rank, ranges, running
 from netlumen.schemas import CONNECTION_FIELDS, LABEL_UNKNOWN
 from netlumen.session import materialize
 
@@ -27,7 +28,7 @@ from netlumen.session import materialize
 class Timeouts:
     idle: float = 15.0
     active: float = 120.0
-    slice_s: float = 600.0
+    rows: int | None = None          # of packets a task scans; None: as all scans
     size_bin: int = 64
 
 
@@ -44,7 +45,7 @@ def keyed(packets: DataFrame) -> DataFrame:
 
 def runs(packets: DataFrame, t: Timeouts = DEFAULT) -> DataFrame:
     """Adds ``gap`` to the previous packet of the conversation, ``reset`` and ``run``."""
-    base = keyed(packets).withColumn("_slice", time_slice(F.col("ts"), t.slice_s))
+    base = ranges(keyed(packets), ["flow_key"], ["ts", "event_id"], t.rows)
     w = Window.partitionBy("flow_key", "_slice").orderBy("ts", "event_id")
     rst = net.has_flag(F.col("tcp_flags"), net.RST)
 
@@ -77,182 +78,100 @@ def runs(packets: DataFrame, t: Timeouts = DEFAULT) -> DataFrame:
         (F.col("_base") + F.col("_runs")).alias("run"))
 
 
-def _greedy_starts(run: Column, t: Timeouts) -> Column:
-    """Event ids that open a segment inside one run, except its first packet."""
-    state = F.struct(
-        F.lit(None).cast("double").alias("since"), F.lit(0).alias("fins"),
-        F.lit(True).alias("fresh"), F.array().cast("array<bigint>").alias("starts"))
-
-    def step(acc: Column, p: Column) -> Column:
-        return net.bind(F.struct(
-            F.when(acc["fresh"], p["ts"]).otherwise(acc["since"]).alias("since"),
-            F.when(acc["fresh"], p["fin"]).otherwise(acc["fins"].bitwiseOR(p["fin"])).alias("fins"),
-        ), lambda n: F.struct(
-            n["since"].alias("since"), n["fins"].alias("fins"),
-            ((n["fins"] == 3) | (p["ts"] - n["since"] >= t.active)).alias("fresh"),
-            F.when(acc["fresh"] & acc["since"].isNotNull(),
-                   F.concat(acc["starts"], F.array(p["id"]))).otherwise(acc["starts"])
-            .alias("starts")))
-
-    return F.aggregate(run, state, step)["starts"]
-
-
-# Packets one array may hold; longer runs go through the skip tables below.
-FOLD_LIMIT = 200_000
-
-
-def _fold_short(packets: DataFrame, t: Timeouts) -> DataFrame:
-    order = F.array_sort(F.collect_list(F.struct("ts", F.col("event_id").alias("id"), "fin")))
-    return (packets.groupBy("flow_key", "run").agg(order.alias("p"))
-            .select("flow_key", F.explode(_greedy_starts(F.col("p"), t)).alias("event_id")))
-
-
-def segments(packets: DataFrame, t: Timeouts = DEFAULT,
-             fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Packets with ``segment`` (1, 2, ... per conversation), ``flow_id`` and ``gap``
-    (NULL on the first packet of a segment)."""
+def closings(ts: np.ndarray, fin: np.ndarray, rst: np.ndarray | None, since: float, fins: int, t: Timeouts) -> np.ndarray:
+    """Positions of the packets that close a segment, of packets in order without an idle
+    gap among them. The first belongs to a segment begun at ``since`` that has seen ``fins``
+    (1: the low end's, 2: the high end's).
+
+    For every packet the closing one of a segment begun there is known from sorted look-ups,
+    so only segments are walked, not packets."""
+    n = len(ts)
+
+    def next_of(hit: np.ndarray) -> np.ndarray:
+        at = np.where(hit, np.arange(n), n)
+        return np.append(np.minimum.accumulate(at[::-1])[::-1], n)
+
+    low, high = next_of((fin & 1) > 0), next_of((fin & 2) > 0)
+    reset = next_of(rst) if rst is not None else np.full(n + 1, n)
+    out, at = [], 0
+    while at < n:
+        due = int(np.searchsorted(ts, since + t.active))
+        # The sum may be rounded to just beside the packet that reaches the timeout.
+        while due > at and ts[due - 1] - since >= t.active:
+            due -= 1
+        while due < n and ts[due] - since < t.active:
+            due += 1
+        both = max(at if fins & 1 else low[at], at if fins & 2 else high[at])
+        end = int(min(max(due, at), both, reset[at]))
+        if end >= n:
+            break
+        out.append(end)
+        at, fins = end + 1, 0
+        since = ts[at] if at < n else 0.0
+    return np.array(out, np.int64)
+
+
+def _greedy_starts(narrow: DataFrame, t: Timeouts) -> DataFrame:
+    """(flow_key, event_id) of packets that open a segment inside a run, its first packet
+    left out. A run streams through one task in order, a batch at a time, and what is kept
+    from batch to batch is one row: its run, the open segment's start and its FINs."""
+    rows = narrow.repartition("flow_key", "run").sortWithinPartitions("flow_key", "run", "ts", "event_id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, since, fins = None, 0.0, 0
+        for batch in batches:
+            key, run = batch.column(0), batch.column(1).to_numpy()
+            if not len(run):
+                continue
+            ts, event, fin = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            place = key.dictionary_encode().indices.to_numpy()
+            edge = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (place[1:] != place[:-1])))
+            opened = []
+            for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(run)]):
+                now = (key[lo].as_py(), int(run[lo]))
+                if now != last:
+                    last, since, fins = now, float(ts[lo]), 0
+                elif since is None:                      # the batch before ended with a closing packet
+                    opened.append(lo)
+                    since, fins = float(ts[lo]), 0
+                ends = closings(ts[lo:hi], fin[lo:hi], None, since, fins, t) + lo
+                starts = ends + 1
+                opened += starts[starts < hi].tolist()
+                if not len(ends):
+                    fins |= int(np.bitwise_or.reduce(fin[lo:hi]))
+                elif starts[-1] == hi:
+                    since, fins = None, 0
+                else:
+                    since, fins = float(ts[starts[-1]]), int(np.bitwise_or.reduce(fin[starts[-1]:hi]))
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(opened, pa.int64())), pa.array(event[opened] if opened else [], pa.int64())],
+                                             names=["flow_key", "event_id"])
+
+    return rows.select("flow_key", "run", "ts", "event_id", F.col("fin").cast("int")).mapInArrow(
+        fold, "flow_key string, event_id long")
+
+
+def segments(packets: DataFrame, t: Timeouts = DEFAULT) -> DataFrame:
+    """Packets with ``segment`` (1, 2, ... per conversation), ``gap`` (NULL on the first
+    packet of a segment) and ``flow_id``, named after the conversation and that packet."""
     cut = materialize(runs(packets, t), "packet-runs")
     fin = F.when(net.has_flag(F.col("tcp_flags"), net.FIN),
                  F.when(F.col("from_low"), F.lit(1)).otherwise(F.lit(2))).otherwise(F.lit(0))
     narrow = cut.select("flow_key", "run", "ts", "event_id", fin.alias("fin"))
-    # Only runs that can hold a greedy cut are followed packet by packet.
+    # Only runs that can hold a greedy cut are followed.
     facts = narrow.groupBy("flow_key", "run").agg(
-        F.count(F.lit(1)).alias("_n"), (F.max("ts") - F.min("ts")).alias("_span"),
-        F.bit_or("fin").alias("_fins"))
-    open_ended = facts.filter((F.col("_span") >= t.active) | (F.col("_fins") == 3))
-    short = open_ended.filter(F.col("_n") <= fold_limit).select("flow_key", "run")
-    long = open_ended.filter(F.col("_n") > fold_limit).select("flow_key", "run")
-    starts = _fold_short(narrow.join(short, ["flow_key", "run"], "left_semi"), t)
-    if not long.isEmpty():
-        starts = starts.unionByName(
-            long_run_starts(narrow.join(long, ["flow_key", "run"], "left_semi"), t))
+        (F.max("ts") - F.min("ts")).alias("_span"), F.bit_or("fin").alias("_fins"))
+    open_ended = facts.filter((F.col("_span") >= t.active) | (F.col("_fins") == 3)).select("flow_key", "run")
+    starts = _greedy_starts(narrow.join(open_ended, ["flow_key", "run"], "left_semi"), t)
     opened = cut.join(starts.withColumn("_open", F.lit(1)), ["flow_key", "event_id"], "left")
     opened = opened.withColumn("_start", F.greatest("reset", F.coalesce("_open", F.lit(0))))
-    numbered = running(opened, ["flow_key"], ["ts", "event_id"],
-                       time_slice(F.col("ts"), t.slice_s), sums={"segment": F.col("_start")})
+    first = F.when(F.col("_start") == 1, F.struct("ts", "event_id"))
+    numbered = running(opened, ["flow_key"], ["ts", "event_id"], rows=t.rows,
+                       sums={"segment": F.col("_start")}, maxes={"_first": first})
     key = F.substring(F.sha2("flow_key", 256), 1, 12)
     return numbered.select(
         *packets.columns, "flow_key", "from_low",
         F.when(F.col("_start") == 0, F.col("gap")).alias("gap"), "segment",
-        F.concat_ws("-", F.lit("c"), key, F.col("segment").cast("string")).alias("flow_id"))
-
-
-def long_run_starts(narrow: DataFrame, t: Timeouts, fan: int = 32) -> DataFrame:
-    """Segment starts of runs too long for one array, without one task per run.
-
-    Every packet has one successor: the packet after the one that would close a
-    segment opened by it. Successors never decrease, so a run is a forest whose
-    path from the first packet is wanted. The path is skipped over slices of time:
-    inside a slice each possible entry is mapped to where its path leaves the slice
-    (``exit``), slices are merged ``fan`` at a time until one covers the run, and the
-    entries are then read back from the coarsest slice to the finest.
-    """
-    nodes = materialize(_successors(narrow, t), "packet-successors")
-    keys = ["flow_key", "run"]
-    width = t.active * 4
-    span = nodes.agg(F.max("ts")).first()[0] or 0.0
-    levels = 1
-    while width * fan ** (levels - 1) <= span:
-        levels += 1
-    # Level 0 jumps go to the next segment; level k jumps leave a slice of level k - 1.
-    tables = [nodes.select(*keys, "pos", "ts", F.col("next").alias("to"),
-                           F.col("next_ts").alias("to_ts"))]
-    for level in range(levels - 1):
-        size = width * fan ** level
-        tables.append(materialize(_leave_slices(tables[-1], keys, size), f"skip-{level}"))
-    entries = nodes.filter(F.col("pos") == 1).select(*keys, "pos", "ts")
-    for level in range(levels, 0, -1):
-        size = width * fan ** (level - 1)
-        entries = materialize(_walk(entries, tables[level - 1], keys, size), f"entries-{level}")
-    ids = nodes.select(*keys, "pos", "event_id")
-    return (entries.filter(F.col("pos") > 1).select(*keys, "pos")
-            .join(ids, [*keys, "pos"]).select("flow_key", "event_id"))
-
-
-def _successors(narrow: DataFrame, t: Timeouts) -> DataFrame:
-    """(pos, ts, next, next_ts): where the segment opened at a packet hands over.
-    Times count from the start of the run."""
-    keys = ["flow_key", "run"]
-    begin = narrow.groupBy(*keys).agg(F.min("ts").alias("_begin"))
-    narrow = narrow.join(begin, keys).withColumn("ts", F.col("ts") - F.col("_begin")).drop("_begin")
-    ones = running(narrow, keys, ["ts", "event_id"], time_slice(F.col("ts"), t.slice_s),
-                   sums={"pos": F.lit(1)})
-    # Looking forward is looking back in reversed time.
-    back = [F.desc("ts"), F.desc("event_id")]
-    slice_back = -time_slice(F.col("ts"), t.slice_s)
-    lead = running(ones, keys, back, slice_back,
-                   maxes={"_f1": F.when(F.col("fin") == 1, -F.col("pos")),
-                          "_f2": F.when(F.col("fin") == 2, -F.col("pos"))})
-    # First packet at or after ts + active: a probe row per packet, then the nearest
-    # real packet behind it in reversed order.
-    probe = lead.select(*keys, (F.col("ts") + F.lit(t.active)).alias("at"),
-                        F.col("pos").alias("asker"), F.lit(None).cast("long").alias("real"))
-    real = lead.select(*keys, F.col("ts").alias("at"), F.lit(None).cast("long").alias("asker"),
-                       F.col("pos").alias("real"))
-    both = probe.unionByName(real)
-    seen = running(both, keys, [F.desc("at"), F.col("real").isNull(), F.desc("real")],
-                   -time_slice(F.col("at"), t.slice_s), maxes={"_due": -F.col("real")})
-    due = seen.filter(F.col("asker").isNotNull()).select(
-        *keys, F.col("asker").alias("pos"), (-F.col("_due")).alias("due"))
-    both_fins = F.when(F.col("_f1").isNotNull() & F.col("_f2").isNotNull(),
-                       F.greatest(-F.col("_f1"), -F.col("_f2")))
-    closed = lead.join(due, [*keys, "pos"], "left").select(
-        *keys, "pos", "ts", "event_id", (F.least("due", both_fins) + 1).alias("next"))
-    times = closed.select(*keys, F.col("pos").alias("next"), F.col("ts").alias("next_ts"))
-    # A successor past the last packet ends the path.
-    return closed.join(times, [*keys, "next"], "left").select(
-        *keys, "pos", "ts", "event_id",
-        F.when(F.col("next_ts").isNotNull(), F.col("next")).alias("next"), "next_ts")
-
-
-def _leave_slices(jumps: DataFrame, keys: list[str], size: float) -> DataFrame:
-    """Follow jumps until they leave their slice; keep rows a path can enter by."""
-    here, there = time_slice(F.col("ts"), size), time_slice(F.col("to_ts"), size)
-    part = jumps.withColumns({"_slice": here, "_out": F.col("to").isNull() | (here != there)})
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        pos = pdf["pos"].to_numpy()
-        to = pdf["to"].to_numpy(dtype="float64", na_value=np.nan)
-        to_ts = pdf["to_ts"].to_numpy(dtype="float64", na_value=np.nan)
-        inside = ~pdf["_out"].to_numpy(dtype=bool)
-        target = np.searchsorted(pos, np.where(inside, to, 0.0))
-        for i in range(len(pos) - 1, -1, -1):      # targets lie ahead, so they are final
-            if inside[i]:
-                to[i], to_ts[i] = to[target[i]], to_ts[target[i]]
-        return pdf.assign(to=pd.array(to, dtype="Float64").astype("Int64"), to_ts=to_ts)[
-            [*keys, "pos", "ts", "to", "to_ts"]]
-
-    schema = "flow_key string, run long, pos long, ts double, to long, to_ts double"
-    left = part.groupBy(*keys, "_slice").applyInPandas(follow, schema)
-    landed = (jumps.filter(F.col("to").isNotNull() & (here != there))
-              .select(*keys, F.col("to").alias("pos")).distinct())
-    first = jumps.filter(F.col("pos") == 1).select(*keys, "pos")
-    return left.join(landed.unionByName(first).distinct(), [*keys, "pos"], "left_semi")
-
-
-def _walk(entries: DataFrame, jumps: DataFrame, keys: list[str], size: float) -> DataFrame:
-    """All rows on the path inside each entered slice of ``size`` seconds."""
-    tagged = jumps.withColumn("_slice", time_slice(F.col("ts"), size))
-    marks = entries.select(*keys, time_slice(F.col("ts"), size).alias("_slice"),
-                           F.col("pos").alias("_entry"))
-    rows = tagged.join(marks, [*keys, "_slice"])
-
-    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        pos = pdf["pos"].to_numpy()
-        to = pdf["to"].to_numpy(dtype="float64", na_value=np.nan)
-        at, taken = float(pdf["_entry"].iloc[0]), []
-        while at == at:
-            i = int(np.searchsorted(pos, at))
-            if i >= len(pos) or pos[i] != at:      # the path left this slice
-                break
-            taken.append(i)
-            at = to[i]
-        return pdf.iloc[taken][[*keys, "pos", "ts"]]
-
-    return rows.groupBy(*keys, "_slice").applyInPandas(
-        visit, "flow_key string, run long, pos long, ts double")
+        F.concat_ws("-", F.lit("c"), key, F.col("_first.event_id").cast("string")).alias("flow_id"))
 
 
 def size_entropy(segmented: DataFrame, t: Timeouts = DEFAULT) -> DataFrame:
@@ -333,8 +252,7 @@ def expiry_counts(reasons: DataFrame) -> DataFrame:
 
 def evicted(open_flows: DataFrame, max_flows: int, last_seen: str = "t1") -> DataFrame:
     """Flows a table capped at ``max_flows`` would drop: the longest unseen ones."""
-    ranked = global_rank(open_flows, [F.desc(last_seen), "flow_id"],
-                         -time_slice(F.col(last_seen), 60.0))
+    ranked = global_rank(open_flows, [F.desc(last_seen), "flow_id"])
     return ranked.filter(F.col("rn") > max_flows).drop("rn")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netlumen.functions.net import stable_unit
 from netlumen.operators.scan import running
-from netlumen.operators.topology import both_ways, id_slice
+from netlumen.operators.topology import both_ways
 from netlumen.session import materialize
 
 # Height per layer, layer per device type, the golden angle.
@@ -52,7 +52,7 @@ def district_centers(hosts: DataFrame, spread: float) -> DataFrame:
 
 def place_hosts(hosts: DataFrame, centers: DataFrame, spread: float, jitter: float) -> DataFrame:
     """Even spiral over the district disc, in id order, with a little stable jitter."""
-    ranked = running(hosts, ["subnet"], ["id"], id_slice(), sums={"_rn": F.lit(1)})
+    ranked = running(hosts, ["subnet"], ["id"], sums={"_rn": F.lit(1)})
     rows = ranked.join(centers, "subnet")
     i = F.col("_rn") - 1
     radius = F.lit(spread) * F.sqrt(F.greatest("n", F.lit(1))) / 2.2
@@ -80,7 +80,7 @@ def _place_tier(tier: DataFrame, placed: DataFrame, edges: DataFrame, centers: D
     deps = near.join(ids.withColumnRenamed("id", "peer"), "peer", "left_semi").filter(
         F.col("peer") < F.col("id")).select("id", "peer")
     need = deps.groupBy("id").agg(F.count(F.lit(1)).alias("_need"))
-    seats = running(tier, [], ["id"], id_slice(), sums={"_rn": F.lit(1)})
+    seats = running(tier, [], ["id"], sums={"_rn": F.lit(1)})
     seats = seats.withColumn("_c", tier.agg(F.count(F.lit(1))).scalar())
     angle = F.lit(2 * math.pi) * (F.col("_rn") - 1) / F.greatest(F.col("_c"), F.lit(1))
     spine = spread * 1.2 * (layer - 1)

@@ -12,13 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlumen.operators.scan import exact_quantiles, global_rank, running, time_slice
+from netlumen.operators.scan import global_rank, histogram_quantiles, running
+from netlumen.session import materialize
 
 # Budgets and targets the operating-point table reports.
 FPR_BUDGETS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05)
 DETECTION_TARGETS = (0.95, 0.96, 0.97, 0.98, 0.99)
 TARGET_RECALL, MAX_FPR = 0.97, 0.015
-SCORE_SLICES = 4096
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -56,7 +56,6 @@ def score_curve(df: DataFrame, by: Sequence[str] = (), y: str = "label",
         F.sum(attack).alias("tp_here"), F.sum(1 - attack).alias("fp_here"))
     key = by or []
     curve = running(points, key, [F.desc("score")],
-                    -F.floor(F.col("score") * SCORE_SLICES).cast("long"),
                     sums={"tp": F.col("tp_here"), "fp": F.col("fp_here")})
     totals = df.groupBy(*by).agg(F.sum(attack).alias("p"), F.sum(1 - attack).alias("n"))
     if by:
@@ -81,8 +80,7 @@ def auc_ap(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def thin_curve(curve: DataFrame, points: int = 200) -> DataFrame:
     """Every k-th point of the curve, the first included, so that about ``points`` stay."""
-    ranked = global_rank(curve, [F.desc("score")],
-                         -F.floor(F.col("score") * SCORE_SLICES).cast("long"), "rn", "m")
+    ranked = global_rank(curve, [F.desc("score")], "rn", "m")
     stride = F.greatest(F.floor(F.col("m") / points), F.lit(1))
     return ranked.filter((F.col("rn") - 1) % stride == 0).select("score", "fpr", "tpr")
 
@@ -147,31 +145,27 @@ def merge_truth(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def latency_stats(df: DataFrame, latency_s: str, arrival: Sequence[str], slice_by: Column,
+def latency_stats(df: DataFrame, latency_s: str, arrival: Sequence[str],
                   warmup: float = 0.01) -> DataFrame:
     """Latency in ms over all finite non-negative rows, and again past the warm-up,
-    the first ``warmup`` share of rows in arrival order (at least one row)."""
+    the first ``warmup`` share of rows in arrival order (at least one row). The rows are
+    ranked once and counted by value once; all ranks come from those counts."""
     ms = F.col(latency_s) * 1000.0
     ok = df.withColumn("_ms", ms).filter(
         F.col("_ms").isNotNull() & ~F.isnan("_ms") & (F.col("_ms") >= 0)
         & (F.col("_ms") != float("inf")))
-    ranked = global_rank(ok, list(arrival), slice_by, "_rank", "_m")
+    ranked = global_rank(ok.select("_ms", *arrival), list(arrival), "_rank", "_m")
     cut = F.greatest(F.floor(F.col("_m") * warmup), F.lit(1))
-    phases = ranked.withColumn("_steady", F.col("_rank") > cut).select("_ms", "_steady")
-    steady = F.when(F.col("_steady"), F.col("_ms"))
-    facts = phases.agg(F.count(F.lit(1)).alias("count"), F.avg("_ms").alias("mean_ms"),
+    steady = (F.col("_rank") > cut).cast("long")
+    values = materialize(ranked.groupBy("_ms").agg(F.count(F.lit(1)).alias("_n"), F.sum(steady).alias("_s")), "latencies")
+    facts = values.agg(F.sum("_n").alias("count"), (F.sum(F.col("_ms") * F.col("_n")) / F.sum("_n")).alias("mean_ms"),
                        F.max("_ms").alias("max_ms"),
-                       F.max(F.when(~F.col("_steady"), F.col("_ms"))).alias("warmup_max_ms"),
-                       F.max(steady).alias("steady_max_ms"))
-    pick = lambda table, q: F.max(F.when(F.col("q") == q, F.col("value")))
-    whole = exact_quantiles(ok, "_ms", (0.5, 0.9, 0.99))
-    quantiles = whole.agg(pick(whole, 0.5).alias("p50_ms"), pick(whole, 0.9).alias("p90_ms"),
-                          pick(whole, 0.99).alias("p99_ms"))
-    late = exact_quantiles(phases.filter("_steady"), "_ms", (0.99,))
-    q = quantiles.select(F.struct("*")).scalar()
-    s = late.agg(F.max("value")).scalar()
-    return facts.withColumn("_q", q).withColumn("steady_p99_ms", s).select(
-        *facts.columns, "_q.p50_ms", "_q.p90_ms", "_q.p99_ms", "steady_p99_ms")
+                       F.max(F.when(F.col("_n") > F.col("_s"), F.col("_ms"))).alias("warmup_max_ms"),
+                       F.max(F.when(F.col("_s") > 0, F.col("_ms"))).alias("steady_max_ms"))
+    ranks = histogram_quantiles(values, "_ms", {
+        "p50_ms": ("_n", 0.5), "p90_ms": ("_n", 0.9), "p99_ms": ("_n", 0.99), "steady_p99_ms": ("_s", 0.99)})
+    return facts.withColumn("_q", ranks.select(F.struct("*")).scalar()).select(
+        *facts.columns, *[f"_q.{c}" for c in ranks.columns])
 
 
 def throughput(df: DataFrame, start: str, end: str, generated: Column, target_rate: float,
@@ -193,11 +187,11 @@ def throughput(df: DataFrame, start: str, end: str, generated: Column, target_ra
     return out
 
 
-def backlog(samples: DataFrame, value: str, order: Sequence[str], slice_by: Column,
+def backlog(samples: DataFrame, value: str, order: Sequence[str],
             slack: float = 5000.0) -> DataFrame:
     """Whether a queue keeps growing: its last third averages more than its first
     third plus ``slack``."""
-    ranked = global_rank(samples, list(order), slice_by, "_r", "_m")
+    ranked = global_rank(samples, list(order), "_r", "_m")
     third = F.greatest(F.floor(F.col("_m") / 3), F.lit(1))
     out = ranked.agg(
         F.max(value).alias("max_backlog"), F.avg(value).alias("mean_backlog"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlumen.functions.severity import severity_from_rank, severity_rank
-from netlumen.operators.scan import in_window, global_rank, running, time_slice, with_lookback
+from netlumen.operators.scan import global_rank, in_window, running
 
 
 def counts_by(df: DataFrame, dims: Mapping[str, str], extra: Mapping[str, Column] | None = None,
@@ -80,34 +80,22 @@ def timeline_density(events: DataFrame, ts: str = "ts", severity: str = "severit
                          (F.col("n") / peak).alias("height"))
 
 
-def sliding_rate(events: DataFrame, ts: str = "ts", window_s: float = 5.0,
-                 slice_s: float = 600.0) -> DataFrame:
+def sliding_rate(events: DataFrame, ts: str = "ts", window_s: float = 5.0) -> DataFrame:
     """At each event: events of the last ``window_s`` seconds over the time since the
     first of them."""
-    spread = with_lookback(events, ts, window_s, slice_s)
-    out = in_window(spread, ["_slice"], ts, window_s, "_n", "_first")
+    out = in_window(events, [], ts, window_s, "_n", "_first")
     span = F.greatest(F.col(ts) - F.col("_first"), F.lit(1e-6))
-    return (out.filter(~F.col("_ghost")).withColumn("rate", F.col("_n") / span)
-            .drop("_slice", "_ghost", "_n", "_first"))
+    return out.withColumn("rate", F.col("_n") / span).drop("_n", "_first")
 
 
 def alert_rate_per_minute(events: DataFrame, ts: str = "ts", order: str = "event_id",
-                          window_s: float = 15.0, min_elapsed: float = 4.0,
-                          slice_s: float = 600.0) -> DataFrame:
+                          window_s: float = 15.0, min_elapsed: float = 4.0) -> DataFrame:
     """At each event: alerts per minute since the oldest sample inside the window. With
     no earlier sample inside, the previous one is used; NULL until ``min_elapsed``."""
-    spread = with_lookback(events, ts, window_s, slice_s)
-    frame = (f"PARTITION BY _slice ORDER BY {ts}, {order} ROWS BETWEEN UNBOUNDED PRECEDING "
-             f"AND CURRENT ROW")
-    # Rows equal in time but later in order belong to the range frame, not to the past.
-    out = spread.withColumns({
-        "_upto": F.expr(f"count(1) OVER ({frame})"),
-        "_end": F.expr(f"count(1) OVER (PARTITION BY _slice ORDER BY {ts} RANGE BETWEEN "
-                       f"UNBOUNDED PRECEDING AND CURRENT ROW)")})
-    out = in_window(out, ["_slice"], ts, window_s, "_in", "_first").filter(~F.col("_ghost"))
-    back = F.col("_in") - (F.col("_end") - F.col("_upto"))
-    out = out.withColumn("_back", back).drop("_slice", "_ghost", "_upto", "_in", "_end")
-    prev = running(out, [], [ts, order], time_slice(F.col(ts), slice_s), lags={"_prev": F.col(ts)})
+    placed = running(events, [], [ts, order], sums={"_upto": F.lit(1)}, lags={"_prev": F.col(ts)})
+    prev = in_window(placed, [], ts, window_s, "_in", "_first", "_end")
+    # Rows equal in time but later in order belong to the instant, not to the past.
+    prev = prev.withColumn("_back", F.col("_in") - (F.col("_end") - F.col("_upto"))).drop("_upto", "_in", "_end")
     alone = F.col("_back") <= 1
     start = F.when(alone, F.col("_prev")).otherwise(F.col("_first"))
     gained = F.when(alone, F.lit(1)).otherwise(F.col("_back") - 1)
@@ -117,12 +105,10 @@ def alert_rate_per_minute(events: DataFrame, ts: str = "ts", order: str = "event
 
 
 def resample_last(series: DataFrame, ts: str, value: str, end: Column, step: float = 1.5,
-                  points: int = 40, order: str = "event_id", slice_s: float = 600.0,
-                  empty: float = 0.0) -> DataFrame:
+                  points: int = 40, order: str = "event_id", empty: float = 0.0) -> DataFrame:
     """The last known value on a grid of ``points`` ticks ending at ``end``."""
     last_tick = F.floor(end / step)
-    follow = running(series, [], [F.desc(ts), F.desc(order)], -time_slice(F.col(ts), slice_s),
-                     lags={"_until": F.col(ts)})
+    follow = running(series, [], [F.desc(ts), F.desc(order)], lags={"_until": F.col(ts)})
     first = F.greatest(F.ceil(F.col(ts) / step), last_tick - (points - 1))
     last = F.least(F.coalesce(F.ceil(F.col("_until") / step) - 1, last_tick), last_tick)
     spread = follow.withColumns({"_a": first, "_b": last}).filter(F.col("_b") >= F.col("_a"))
@@ -174,7 +160,6 @@ def time_range(df: DataFrame, start: float | None = None, end: float | None = No
     return df if keep is None else newest(df, keep, ts, tie)
 
 
-def numbered(df: DataFrame, ts: str = "detected_at", tie: str = "event_id",
-             slice_s: float = 600.0) -> DataFrame:
+def numbered(df: DataFrame, ts: str = "detected_at", tie: str = "event_id") -> DataFrame:
     """Sequence numbers in time order."""
-    return global_rank(df, [ts, tie], time_slice(F.col(ts), slice_s), "seq")
+    return global_rank(df, [ts, tie], "seq")

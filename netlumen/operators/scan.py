@@ -1,9 +1,10 @@
 """Ordered scans, ranks and exact quantiles that never put one key in one task.
 
-A plain window over a hot key sorts that whole key in a single task. Each scan
-here runs inside bounded slices of a key (a slice of time, or of value), reduces
-every slice to one summary row, runs the window over the summaries only, and
-joins the carried value back. Rows are shuffled once, on (key, slice).
+A plain window over a hot key sorts that whole key in a single task. Each scan here deals
+the rows out by ranges of (key, order), so that a range holds about ``ROWS`` of them
+whatever keys, instants or values they share, runs inside each range, reduces a key's part
+of a range to one summary row, runs the window over the summaries only, and joins the
+carried value back. Orders must end in a column that tells equal rows apart.
 Keys must not be NULL.
 """
 
@@ -14,12 +15,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlumen.session import materialize
+
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
+ROWS = 1_000_000
 
 
-def time_slice(ts: Column, width_s: float) -> Column:
-    return F.floor(ts / F.lit(float(width_s))).cast("long")
+def ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows: int | None = None) -> DataFrame:
+    """``df`` with ``_slice``, the number of the range of (keys, order) that a row is in:
+    about ``rows`` rows each. Written once, so that all later uses see the same ranges."""
+    by = [F.col(c) if isinstance(c, str) else c for c in (*keys, *order)]
+    parts = max(1, -(-df.count() // (rows or ROWS)))
+    dealt = df.repartitionByRange(parts, *by)
+    return materialize(dealt.withColumn("_slice", F.spark_partition_id().cast("long")), "ranges")
 
 
 def value_slice(value: Column, per_e: int = 4096) -> Column:
@@ -47,15 +56,15 @@ def carry(df: DataFrame, keys: Sequence[str], slice_col: str, totals: dict[str,
     return df.join(summary, group, "left")
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slice_by: Column,
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None,
-            lags: dict[str, Column] | None = None) -> DataFrame:
+            lags: dict[str, Column] | None = None, rows: int | None = None) -> DataFrame:
     """Running sums and maxima and previous-row values along ``order`` within ``keys``.
 
-    ``slice_by`` must not decrease along ``order``. Output keeps every input column.
+    Output keeps every input column.
     """
     sums, maxes, lags = sums or {}, maxes or {}, lags or {}
-    base = df.withColumn("_slice", slice_by)
+    base = ranges(df, keys, order, rows)
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
     upto = local.rowsBetween(*UP_TO)
     base = base.withColumns({
@@ -97,10 +106,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], s
     )
 
 
-def global_rank(df: DataFrame, order: Sequence[str | Column], slice_by: Column,
-                name: str = "rn", total: str | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rn", total: str | None = None,
+                rows: int | None = None) -> DataFrame:
     """``row_number`` over the whole table without a one-task sort."""
-    base = df.withColumn("_slice", slice_by)
+    base = ranges(df, [], order, rows)
     local = Window.partitionBy("_slice").orderBy(*order)
     base = base.withColumn("_rn", F.row_number().over(local))
     carried = {"_before": lambda o, w: F.sum("_n").over(o.rowsBetween(*BEFORE))}
@@ -113,45 +122,51 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], slice_by: Column,
     return joined.select(*df.columns, *cols)
 
 
-def with_lookback(df: DataFrame, ts: str, lookback_s: float, width_s: float) -> DataFrame:
-    """Copies the tail of each time slice into the next one, so that a range frame of
-    ``lookback_s`` seconds is complete inside a slice. Copies carry ``_ghost = true``."""
-    if width_s < lookback_s:
-        raise ValueError("slice width must cover the look-back")
-    here = time_slice(F.col(ts), width_s)
-    there = time_slice(F.col(ts) + F.lit(float(lookback_s)), width_s)
-    slices = F.when(here == there, F.array(here)).otherwise(F.array(here, there))
-    return (df.withColumn("_home", here)
-            .withColumn("_slice", F.explode(slices))
-            .withColumn("_ghost", F.col("_slice") != F.col("_home"))
-            .drop("_home"))
-
-
-def in_window(spread: DataFrame, parts: Sequence[str], ts: str, window_s: float, name: str,
-              first: str | None = None) -> DataFrame:
-    """Adds how many rows of ``parts`` lie in the ``window_s`` seconds up to and at each
-    row's time, and optionally the time of the first of them.
-
-    Every row also sends a mark to the instant it leaves the window; two running counts
-    over rows and marks in time order give the number, in one sort whatever the window
-    holds. A range frame would re-read the window for every row."""
-    parts = list(parts)
-    mark = spread.select(*parts, (F.col(ts) + F.lit(float(window_s))).alias(ts), F.lit(True).alias("_mark"))
-    both = spread.withColumn("_mark", F.lit(False)).unionByName(mark, allowMissingColumns=True)
-    # A mark at a row's very instant comes after it: the row it stands for still counts.
-    order = Window.partitionBy(*parts).orderBy(ts, "_mark")
-    peers = order.rangeBetween(*UP_TO)
-    row = (~F.col("_mark")).cast("long")
-    both = both.withColumns({"_seen": F.sum(row).over(peers),
-                             "_left": F.sum(1 - row).over(order.rowsBetween(*UP_TO))})
-    if first:
-        both = both.withColumn("_nth", F.sum(row).over(order.rowsBetween(*UP_TO)))
-    out = both.filter(~F.col("_mark")).withColumn(name, F.col("_seen") - F.col("_left"))
+def in_window(df: DataFrame, keys: Sequence[str], ts: str, window_s: float, name: str,
+              first: str | None = None, upto: str | None = None, rows: int | None = None) -> DataFrame:
+    """Adds how many rows of a key lie in the ``window_s`` seconds up to and at each row's
+    time; optionally the time of the first of them and the number of all rows so far.
+
+    Rows of one instant are counted together first. Every instant also sends a mark to the
+    instant it leaves the window, and one running sum over instants and marks in time order
+    gives the numbers, whatever the window holds."""
+    keys = list(keys)
+    at = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_c"))
+    mark = at.select(*keys, (F.col(ts) + F.lit(float(window_s))).alias(ts), F.lit(1).alias("_mark"), (-F.col("_c")).alias("_c"))
+    both = at.withColumn("_mark", F.lit(0)).unionByName(mark)
+    # A mark at an instant itself comes after it: the rows it stands for still count.
+    run = running(both, keys, [ts, "_mark"], rows=rows, sums={
+        name: F.col("_c"), "_all": F.when(F.col("_mark") == 0, F.col("_c")),
+        "_nth": 1 - F.col("_mark"), "_left": F.col("_mark")})
+    out = run.filter("_mark = 0").drop("_mark", "_c")
     if first:
-        nth = out.select(*parts, (F.col("_nth") - 1).alias("_left"), F.col(ts).alias(first))
-        out = out.join(nth, [*parts, "_left"])
-    kept = [*spread.columns, name, *([first] if first else [])]
-    return out.select(*kept)
+        nth = out.select(*keys, (F.col("_nth") - 1).alias("_left"), F.col(ts).alias(first))
+        out = out.join(nth, [*keys, "_left"])
+    more = [F.col(c) for c in (name, first) if c] + ([F.col("_all").alias(upto)] if upto else [])
+    return df.join(out.select(*keys, ts, *more), [*keys, ts])
+
+
+def histogram_quantiles(values: DataFrame, value: str, picks: dict[str, tuple[str, float]],
+                        nearest: bool = False) -> DataFrame:
+    """One row of quantiles read from counts per distinct value: each pick names a count
+    column and q. Linearly interpolated, or the element at position ``floor(n * q)``.
+    A popular value is one row here, however often it occurs."""
+    counts = sorted({c for c, _ in picks.values()})
+    totals = values.agg(*[F.sum(c).alias(f"_t{c}") for c in counts]).select(F.struct("*")).scalar()
+    upto = running(values.select(value, *counts), [], [value], sums={f"_u{c}": F.col(c) for c in counts})
+    upto = upto.withColumn("_t", totals)
+
+    def at(c: str, rank: Column) -> Column:
+        before = F.col(f"_u{c}") - F.col(c)
+        return F.max(F.when((before <= rank) & (rank < F.col(f"_u{c}")), F.col(value)))
+
+    out = []
+    for name, (c, q) in picks.items():
+        h = F.col(f"_t._t{c}") * q if nearest else (F.col(f"_t._t{c}") - 1) * q
+        low, high = at(c, F.floor(h)), at(c, F.ceil(h))
+        share = F.max(h - F.floor(h))
+        out.append((low if nearest else low + (high - low) * share).alias(name))
+    return upto.agg(*out)
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],

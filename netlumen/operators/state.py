@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlumen.functions.severity import CLEAR_BELOW, severity_of, severity_rank
-from netlumen.operators.scan import in_window, BEFORE, UP_TO, running, time_slice, with_lookback
+from netlumen.operators.scan import BEFORE, UP_TO, in_window, ranges, running
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ class Decay:
     half_life: float = 120.0
     dwell: float = 30.0
     window: float = 300.0
-    slice_s: float = 3600.0
+    rows: int | None = None          # of alerts a task scans; None: as all scans
 
     def faded(self, gap: Column) -> Column:
         return F.greatest(gap - F.lit(self.dwell), F.lit(0.0))
@@ -49,7 +49,7 @@ DEFAULT = Decay()
 def _local(events: DataFrame, keys: Sequence[str], d: Decay) -> DataFrame:
     w = Window.partitionBy(*keys, "_slice").orderBy("ts", "event_id")
     upto = w.rowsBetween(*UP_TO)
-    return (events.withColumn("_slice", time_slice(F.col("ts"), d.slice_s))
+    return (ranges(events, keys, ["ts", "event_id"], d.rows)
             .withColumn("_prev", F.lag("ts").over(w))
             .withColumn("_fade", F.coalesce(d.faded(F.col("ts") - F.col("_prev")), F.lit(0.0)))
             .withColumn("_f", F.sum("_fade").over(upto))
@@ -130,7 +130,7 @@ def with_epoch(events: DataFrame, acks: DataFrame, d: Decay = DEFAULT) -> DataFr
     both = events.withColumn("_ack", F.lit(0)).unionByName(marks, allowMissingColumns=True)
     # An alert at the very instant of an acknowledgement counts as after it.
     order = [F.col("ts"), F.desc("_ack"), F.col("event_id")]
-    out = running(both, ["node_id"], order, time_slice(F.col("ts"), d.slice_s),
+    out = running(both, ["node_id"], order, rows=d.rows,
                   sums={"epoch": F.col("_ack")})
     return out.filter(F.col("_ack") == 0).drop("_ack")
 
@@ -149,9 +149,7 @@ def state_after_acks(events: DataFrame, acks: DataFrame, as_of: Column,
 def rolling_count(events: DataFrame, keys: Sequence[str] = ("node_id",),
                   d: Decay = DEFAULT) -> DataFrame:
     """Alerts of the device in the ``d.window`` seconds up to and including each alert."""
-    spread = with_lookback(events, "ts", d.window, max(d.slice_s, d.window))
-    counted = in_window(spread, [*keys, "_slice"], "ts", d.window, "alert_count_window")
-    return counted.filter(~F.col("_ghost")).drop("_slice", "_ghost")
+    return in_window(events, keys, "ts", d.window, "alert_count_window", rows=d.rows)
 
 
 def most_recent_distinct(events: DataFrame, item: Column, k: int = 5,

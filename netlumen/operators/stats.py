@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from netlumen.operators.scan import exact_quantiles, global_rank, value_slice, values_at_ranks
+from netlumen.operators.scan import exact_quantiles, histogram_quantiles, values_at_ranks
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -30,9 +30,8 @@ def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 def nearest_rank(df: DataFrame, value: str, q: float) -> DataFrame:
     """The element at position ``floor(n * q)`` of the ascending values."""
-    ranked = global_rank(df.select(value), [value], value_slice(F.col(value)), "_r", "_m")
-    return ranked.filter(F.col("_r") - 1 == F.floor(F.col("_m") * q)).select(
-        F.col(value).alias("value"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    return histogram_quantiles(counts, value, {"value": ("_n", q)}, nearest=True).filter("value IS NOT NULL")
 
 
 def _median_ranks(seed: int):

@@ -284,16 +284,11 @@ def clusters(nodes: DataFrame, states: DataFrame | None = None, members: int = 8
         severity_from_rank(F.col("_w")).alias("worst"))
 
 
-def id_slice() -> Column:
-    """Order-preserving slice of a device id: its leading characters."""
-    return F.substring("id", 1, 9)
-
-
 def compact(nodes: DataFrame, links: DataFrame, digits: int = 3) -> tuple[DataFrame, DataFrame]:
     """Positional node table (index, fields) and links that name nodes by index."""
     from netlumen.operators.scan import global_rank
 
-    ranked = global_rank(nodes, ["id"], id_slice(), "_rn")
+    ranked = global_rank(nodes, ["id"], "_rn")
     n = ranked.withColumn("idx", F.col("_rn") - 1)
     optional = lambda c, e: F.coalesce(F.col(c), F.lit(e)) if c in nodes.columns else F.lit(e)
     table = n.select(

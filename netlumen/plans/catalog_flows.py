@@ -22,14 +22,14 @@ _PK = f"""pk AS (SELECT *, row_number() OVER (PARTITION BY flow_key ORDER BY ts,
  SELECT *, {_KEY} AS flow_key, {_LOW} AS low, (tcp_flags & 4) <> 0 AS rst,
   CASE WHEN (tcp_flags & 1) = 0 THEN 0 WHEN {_LOW} THEN 1 ELSE 2 END AS fin FROM fx_packets))"""
 _WALK = """walk AS (
- SELECT flow_key, rn, event_id, ts, 1 AS segment, ts AS since, fin AS fins, rst, CAST(NULL AS DOUBLE) AS gap FROM pk WHERE rn = 1
+ SELECT flow_key, rn, event_id, ts, 1 AS segment, event_id AS opener, ts AS since, fin AS fins, rst, CAST(NULL AS DOUBLE) AS gap FROM pk WHERE rn = 1
  UNION ALL
- SELECT flow_key, rn, event_id, ts, segment + CASE WHEN cut THEN 1 ELSE 0 END, CASE WHEN cut THEN ts ELSE since END,
+ SELECT flow_key, rn, event_id, ts, segment + CASE WHEN cut THEN 1 ELSE 0 END, CASE WHEN cut THEN event_id ELSE opener END, CASE WHEN cut THEN ts ELSE since END,
   CASE WHEN cut THEN fin ELSE fins | fin END, rst, CASE WHEN cut THEN NULL ELSE ts - pts END FROM (
-   SELECT p.flow_key, p.rn, p.event_id, p.ts, p.fin, p.rst, w.segment, w.since, w.fins, w.ts AS pts,
+   SELECT p.flow_key, p.rn, p.event_id, p.ts, p.fin, p.rst, w.segment, w.opener, w.since, w.fins, w.ts AS pts,
     (w.rst OR p.ts - w.ts >= 15e0 OR w.fins = 3 OR w.ts - w.since >= 120e0) AS cut
    FROM walk w JOIN pk p ON p.flow_key = w.flow_key AND p.rn = w.rn + 1))"""
-_SEG = """seg AS (SELECT k.*, w.segment, w.gap, concat('c-', substr(sha256(k.flow_key), 1, 12), '-', w.segment) AS flow_id
+_SEG = """seg AS (SELECT k.*, w.segment, w.gap, concat('c-', substr(sha256(k.flow_key), 1, 12), '-', w.opener) AS flow_id
  FROM pk k JOIN walk w ON w.event_id = k.event_id)"""
 _FACTS = """facts AS (SELECT flow_id, bool_or(rst) AS rst, bit_or(fin) AS fins, min(ts) AS t0, max(ts) AS t1 FROM seg GROUP BY 1)"""
 _REASON = """why AS (SELECT *, CASE WHEN rst OR fins = 3 THEN 'closed' WHEN t1 - t0 >= 120e0 THEN 'active'

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from netlumen.fixtures import duck_with
 from netlumen.operators import metrics, stats
-from netlumen.operators.scan import time_slice
 from netlumen.plans import inputs
 from netlumen.plans.registry import Registry, r6, sql6
 
@@ -149,8 +148,7 @@ _MS = "(emit_ts - start_ts) * 1000e0"
 def latency_stats(spark, sf):
     df = inputs.connections(spark, sf).withColumn("latency", F.col("emit_ts") - F.col("start_ts"))
     out = metrics.latency_stats(
-        df, "latency", ["start_ts", "orig_bytes", "payload_entropy", "duration"],
-        time_slice(F.col("start_ts"), 3600.0))
+        df, "latency", ["start_ts", "orig_bytes", "payload_entropy", "duration"])
     return out.select("count", *[r6(c).alias(c) for c in out.columns if c != "count"])
 
 
@@ -174,7 +172,7 @@ def throughput(spark, sf):
  SELECT *, greatest(m // 3, 1) AS third FROM (SELECT value AS v, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () AS m FROM events))""")
 def backlog_bounded(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
-    out = metrics.backlog(events, "value", ["event_id"], F.floor(F.col("event_id") / 10_000))
+    out = metrics.backlog(events, "value", ["event_id"])
     return out.select("max_backlog", r6("mean_backlog").alias("mean_backlog"), "final_backlog",
                       r6("first_third").alias("first_third"), r6("last_third").alias("last_third"),
                       "bounded")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from netlumen.fixtures import duck_with
 from netlumen.operators import metrics
-from netlumen.operators.scan import time_slice
 from netlumen.plans import inputs, training
 from netlumen.plans.catalog_metrics import THR, counts_sql
 from netlumen.plans.registry import Registry, r6, sql6
@@ -45,8 +44,7 @@ def benchmark_report(spark, sf):
     timed = conns.withColumn("latency", F.col("emit_ts") - F.col("start_ts"))
     doc = topology_io.report(
         metrics.confusion(alerts, F.lit(THR)),
-        metrics.latency_stats(timed, "latency", ["start_ts", "orig_bytes", "payload_entropy", "duration"],
-                              time_slice(F.col("start_ts"), 3600.0)),
+        metrics.latency_stats(timed, "latency", ["start_ts", "orig_bytes", "payload_entropy", "duration"]),
         metrics.throughput(conns, "start_ts", "emit_ts", conns.agg(F.count(F.lit(1))).scalar(), 10_000),
         metrics.per_class(alerts, "dst_port", F.lit(THR)), {"threshold": str(THR)})
     return doc.select("detection.tp", "detection.fp", "detection.fn", "detection.tn", "throughput.scored",

@@ -119,13 +119,13 @@ def replay_at(spark, sf):
  count(*) OVER (PARTITION BY node_id ORDER BY ts RANGE BETWEEN 300e0 PRECEDING AND CURRENT ROW) AS alert_count_window,
  row_number() OVER (ORDER BY ts, event_id) AS seq FROM line""", *decay_ctes()))
 def state_timeline(spark, sf):
-    from netlumen.operators.scan import global_rank, time_slice
+    from netlumen.operators.scan import global_rank
     from netlumen.functions.severity import severity_of
 
     line = materialize(state.score_timeline(inputs.stored_events(spark, sf)).select(
         "event_id", "node_id", "ts", "score", "alert_count"), "score-line")
     counted = state.rolling_count(line)
-    numbered = global_rank(counted, ["ts", "event_id"], time_slice(F.col("ts"), 600), "seq")
+    numbered = global_rank(counted, ["ts", "event_id"], "seq")
     return numbered.select("event_id", "node_id", r6("score").alias("score"),
                            severity_of(F.col("score")).alias("severity"), "alert_count",
                            "alert_count_window", "seq")

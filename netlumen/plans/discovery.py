@@ -22,8 +22,9 @@ def union_sightings(*tables: DataFrame) -> DataFrame:
         t = t.withColumn("_rank", F.lit(rank))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     tie = F.xxhash64(*[c for c, kind in out.dtypes if not kind.startswith("map")])
-    slices = F.col("_rank") * 2 ** 21 + F.shiftright("ord", 43)
-    ranked = global_rank(out, ["_rank", "ord", tie], slices, "_place")
+    # Parsers are read once; ranges read their rows several times.
+    out = materialize(out, "sightings")
+    ranked = global_rank(out, ["_rank", "ord", tie], "_place")
     return materialize(ranked.withColumn("ord", F.col("_place")).drop("_rank", "_place"), "numbered")
 
 

@@ -67,15 +67,19 @@ def sequential(rows, idle, active):
     return out
 
 
-@pytest.mark.parametrize("limit", [200_000, 1])
-def test_hot_conversation_equals_sequential_fold(spark, limit):
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_hot_conversation_equals_sequential_fold(spark, batch):
     rng = random.Random(9)
     rows, t = [], 0.0
     for _ in range(1500):
         t += rng.choice([0.1, 0.5, 2.0, 4.0])
         rows.append((round(t, 1), rng.random() < 0.5, 100, FIN if rng.random() < 0.02 else ACK))
-    out = flows.segments(packets(spark, rows), flows.Timeouts(idle=15, active=20, slice_s=7), fold_limit=limit)
-    got = [r.segment for r in out.orderBy("event_id").collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = flows.segments(packets(spark, rows), flows.Timeouts(idle=15, active=20, rows=200))
+        got = [r.segment for r in out.orderBy("event_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sequential([(BASE + a, b, c, d) for a, b, c, d in rows], 15, 20)
 
 

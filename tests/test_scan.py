@@ -17,7 +17,7 @@ def hot_table(n=4000, seed=3):
 
 def test_running_matches_plain_windows(spark):
     pdf = hot_table()
-    out = scan.running(spark.createDataFrame(pdf), ["k"], ["t", "id"], scan.time_slice(F.col("t"), 50),
+    out = scan.running(spark.createDataFrame(pdf), ["k"], ["t", "id"], rows=300,
                        sums={"s": F.col("id")}, maxes={"m": F.col("v")}, lags={"p": F.col("t")})
     got = out.toPandas().sort_values("id", ignore_index=True)
     ordered = pdf.sort_values(["k", "t", "id"])
@@ -29,7 +29,7 @@ def test_running_matches_plain_windows(spark):
 
 def test_global_rank(spark):
     pdf = hot_table()
-    got = scan.global_rank(spark.createDataFrame(pdf), ["t", "id"], scan.time_slice(F.col("t"), 10), "rn", "n").toPandas()
+    got = scan.global_rank(spark.createDataFrame(pdf), ["t", "id"], "rn", "n", rows=300).toPandas()
     want = pdf.sort_values(["t", "id"])["id"].tolist()
     assert got.sort_values("rn")["id"].tolist() == want and set(got["n"]) == {len(pdf)}
 
@@ -72,8 +72,22 @@ def test_bootstrap_interval_covers_the_point_estimate(spark):
     assert abs(ci.lower - np.quantile(plain, 0.025)) < 0.02 and abs(ci.upper - np.quantile(plain, 0.975)) < 0.02
 
 
-def test_lookback_slices(spark):
-    pdf = hot_table(800)
-    spread = scan.with_lookback(spark.createDataFrame(pdf), "t", 30.0, 100.0)
-    assert spread.filter("NOT _ghost").count() == len(pdf)
-    assert spread.filter("_ghost").count() < len(pdf) * 0.45
+def test_one_instant_of_all_rows_is_split(spark):
+    """A range holds about as many rows as asked for, whatever key, instant or value they share."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.lit(1.0).alias("t"), "id")
+    dealt = scan.ranges(df, ["k"], ["t", "id"], 1000)
+    sizes = [r["count"] for r in dealt.groupBy("_slice").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 3000
+    got = scan.running(df, ["k"], ["t", "id"], sums={"n": F.lit(1)}, rows=1000)
+    assert got.filter("n <> id + 1").count() == 0
+    ranked = scan.global_rank(df, [F.desc("t"), F.desc("id")], rows=1000)
+    assert ranked.filter("rn <> 20000 - id").count() == 0
+
+
+def test_quantiles_from_counts(spark):
+    pdf = hot_table()
+    counts = spark.createDataFrame(pdf).groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("k") == "hot").cast("long")).alias("h"))
+    got = scan.histogram_quantiles(counts, "v", {"a": ("n", 0.5), "b": ("h", 0.99), "c": ("n", 0.0)}).first()
+    hot = pdf[pdf.k == "hot"].v
+    assert np.allclose([got.a, got.b, got.c], [pdf.v.median(), hot.quantile(0.99), pdf.v.min()])
+    assert stats.nearest_rank(spark.createDataFrame(pdf), "v", 0.95).first()["value"] == sorted(pdf.v)[int(len(pdf) * 0.95)]

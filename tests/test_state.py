@@ -47,13 +47,13 @@ def sequential(rows, d):
     return out
 
 
-@pytest.mark.parametrize("slice_s", [10.0, 300.0, 1e9])
-def test_timeline_equals_sequential_fold_for_a_hot_device(spark, slice_s):
+@pytest.mark.parametrize("per_task", [100, 1000, None])
+def test_timeline_equals_sequential_fold_for_a_hot_device(spark, per_task):
     rng, t, rows = random.Random(4), 0.0, []
     for _ in range(3000):
         t += rng.choice([0.5, 3.0, 60.0, 200.0])
         rows.append(("hot" if rng.random() < 0.7 else f"n{rng.randrange(20)}", t, rng.uniform(0.05, 1.0)))
-    d = state.Decay(slice_s=slice_s)
+    d = state.Decay(rows=per_task)
     got = [r.score for r in state.score_timeline(events(spark, rows), d=d).orderBy("event_id").collect()]
     assert max(abs(a - b) for a, b in zip(got, sequential(rows, d))) < 1e-9
 
