@@ -125,7 +125,7 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str,
     release(spark)
     cluster = components(pairs, "minhash-clusters").select(F.col("v").alias("name"), F.col("c").alias("cluster"))
     one = materialize(one_row_each(names), "minhash-sets")
-    members = materialize(cluster.join(one, "name"), "minhash-members")
+    members = materialize(tiles.fitting(cluster.join(one, "name")), "minhash-members")
     members = materialize(grams_of(own, members, n), "minhash-grams")
     release(spark)
     return names, one, materialize(tiles.solve(members, num, den, False), "minhash-labels")

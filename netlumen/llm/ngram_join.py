@@ -6,7 +6,7 @@ of the set. Two different sets x and y link when den * |x & y| >= num * |x | y|.
 Candidates. All n-grams have one order, from those of few sets to those of many; a set
 gives its first |x| - ceil(num |x| / den) + 1 in that order, and two linking sets share one
 of those. So a passage or line of many texts makes no candidates: its n-grams come last.
-How common an n-gram is comes from hashed counts over all texts, a byte for each of 2^20
+How common an n-gram is comes from hashed counts over all texts, a byte for each of 2^22
 counters, broadcast at that fixed size; a shared counter only moves an n-gram in the order,
 which may be any as long as it is the same everywhere. Sets of one n-gram whose sizes allow
 a link are tied to the least of them (``shingles.candidates``).
@@ -89,7 +89,7 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str,
     release(spark)
     cluster = components(pairs, "ngram-clusters").select(F.col("v").alias("name"), F.col("c").alias("cluster"))
     one = materialize(one_row_each(names), "ngram-sets")
-    members = materialize(cluster.join(one, "name"), "ngram-members")
+    members = materialize(tiles.fitting(cluster.join(one, "name")), "ngram-members")
     members = materialize(grams_of(rows, members, n), "ngram-grams")
     release(spark)
     return names, one, materialize(tiles.solve(members, num, den, counted), "ngram-labels")

@@ -8,6 +8,7 @@ one tie a set and bucket, whatever the size of a group.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from netlumen.llm.textscan import LOWER, SPACED, gathered, hashes, mix, runs, sh
 SCAN_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20          # of packed keys that one task puts together
 CLASSES = 64                     # size classes per factor e
-SLOTS_LOG2, BLOCK_LOG2 = 20, 14  # counters of n-grams, and how many of them make a row
+SLOTS_LOG2, BLOCK_LOG2 = 22, 16  # counters of n-grams, and how many of them make a row
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -73,54 +74,45 @@ def name_sets(rows: DataFrame, n: int, counted: bool) -> DataFrame:
     """Per row (doc_id, text, key) its set's size and name, from one reading of the texts.
 
     With ``counted``, each task also leaves its counts of n-grams by hash, some rows of
-    (part, block, slots, counts)."""
+    (part, block, counts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOTS_LOG2 if counted else 0, np.int64)
+        total = np.zeros(1 << SLOTS_LOG2 if counted else 0, np.uint32)
         for batch in gathered(batches, 1, SCAN_BYTES):
             gram, at = sets_of(batch.column(1), n)
             if counted:
-                total += np.bincount((gram & _U(len(total) - 1)).astype(np.int64), minlength=len(total))
+                total += np.bincount((gram & _U(len(total) - 1)).astype(np.int64), minlength=len(total)).astype(np.uint32)
             yield _named([batch.column(0), batch.column(2), pa.array(np.diff(at)), pa.array(digests(gram, at)),
-                          *[pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]])
-        slot = np.flatnonzero(total)
-        part = TaskContext.get().partitionId()
-        out = [(part, block, one.astype("<u2").tobytes(), count.tobytes())
-               for block, one, count in _by_block(slot, total[slot])]
-        if out:
-            yield _named([*[pa.nulls(len(out), pa.int64())] * 4,
-                          *[pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))]])
+                          *[pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]])
+        part, blocks = TaskContext.get().partitionId(), total.reshape(-1, 1 << BLOCK_LOG2)
+        held = np.flatnonzero(blocks.any(axis=1)).tolist()
+        if held:
+            yield _named([*[pa.nulls(len(held), pa.int64())] * 4, pa.array([part] * len(held), pa.int32()), pa.array(held, pa.int32()),
+                          pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in held], pa.binary())])
 
-    return rows.mapInArrow(run, "doc_id long, key long, n long, name long, part int, block int, slots binary, counts binary")
+    return rows.mapInArrow(run, "doc_id long, key long, n long, name long, part int, block int, counts binary")
 
 
 def _named(arrays: list[pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "n", "name", "part", "block", "slots", "counts"])
-
-
-def _by_block(slot: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for block in np.unique(slot >> BLOCK_LOG2).tolist():
-        i, j = np.searchsorted(slot, (block << BLOCK_LOG2, (block + 1) << BLOCK_LOG2))
-        yield block, slot[i:j] & ((1 << BLOCK_LOG2) - 1), count[i:j]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "n", "name", "part", "block", "counts"])
 
 
 def commonness(named: DataFrame) -> np.ndarray:
-    """A class per counter, higher for n-grams of more sets: one byte each, 1 MB whatever
+    """A class per counter, higher for n-grams of more sets: one byte each, 4 MB whatever
     the number of texts. Two rounds of sums keep a counter block of all tasks off one task."""
     def add(key, table):
-        total = np.zeros(1 << BLOCK_LOG2, np.int64)
-        for slots, counts in zip(table["slots"].to_pylist(), table["counts"].to_pylist()):
-            total[np.frombuffer(slots, "<u2")] += np.frombuffer(counts, np.int64)
-        slot = np.flatnonzero(total)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "slots": pa.array([slot.astype("<u2").tobytes()], pa.binary()),
-                         "counts": pa.array([total[slot].tobytes()], pa.binary())})
-
-    schema = "block int, slots binary, counts binary"
-    rows = named.filter("block IS NOT NULL").select("block", (F.col("part") % 256).alias("part"), "slots", "counts")
+        total = np.zeros(1 << BLOCK_LOG2, np.uint64)
+        for counts in table["counts"].to_pylist():
+            part = zlib.decompress(counts)
+            total += np.frombuffer(part, np.uint32 if len(part) == total.nbytes // 2 else np.uint64)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    rows = named.filter("block IS NOT NULL").select("block", (F.col("part") % 256).alias("part"), "counts")
+    schema = "block int, counts binary"
     rows = rows.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    total = np.zeros(1 << SLOTS_LOG2, np.int64)
+    total = np.zeros((1 << (SLOTS_LOG2 - BLOCK_LOG2), 1 << BLOCK_LOG2), np.uint64)
     for r in rows.toLocalIterator():
-        total[(r.block << BLOCK_LOG2) + np.frombuffer(bytes(r.slots), "<u2").astype(np.int64)] = np.frombuffer(bytes(r.counts), np.int64)
-    return (np.log2(total + 1) * 4).astype(np.uint8)
+        total[r.block] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint64)
+    return (np.log2(total.ravel() + 1.0) * 4).astype(np.uint8)
 
 
 def may_link(size: np.ndarray, num: int, den: int) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from netlumen.llm.common import components, materialize
 
-TILE, TILE_GRAMS = 512, 4 << 20      # sets, and their n-grams, that are compared at once
+TILE, TILE_GRAMS = 2048, 4 << 20     # sets, and their n-grams, that are compared at once
 PIVOTS = 16
 _U = np.uint64
 
@@ -113,15 +113,20 @@ def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), at - (at[0] if len(at) else 0)
 
 
-def solve(members: DataFrame, num: int, den: int, counted: bool) -> DataFrame:
-    """(name, c) of the sets in ``members`` (cluster, name, n, copies, gram); if ``counted``
-    also with how many rows of other sets each links."""
+def fitting(members: DataFrame) -> DataFrame:
+    """``members`` (cluster, n, ...) with ``fits``: whether the whole cluster is one tile.
+    To be asked while members are narrow, before they carry their sets."""
     load = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_g"))
     load = load.select("cluster", ((F.col("_m") <= TILE) & (F.col("_g") <= TILE_GRAMS)).alias("fits"))
-    rows = members.join(load, "cluster")
-    labels = small_links(rows.filter("fits"), num, den, counted)
-    large = rows.filter("NOT fits")
-    if not load.filter("NOT fits").isEmpty():
+    return members.join(load, "cluster")
+
+
+def solve(members: DataFrame, num: int, den: int, counted: bool) -> DataFrame:
+    """(name, c) of the sets in ``members`` (cluster, fits, name, n, copies, gram); if
+    ``counted`` also with how many rows of other sets each links."""
+    labels = small_links(members.filter("fits"), num, den, counted)
+    large = members.filter("NOT fits")
+    if not large.isEmpty():
         labels = labels.union((large_counts if counted else large_links)(large, num, den))
     return labels
 
