@@ -6,10 +6,12 @@ close what no further row will close. State is one small row per key.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from netlumen.functions.severity import BANDS, CLEAR_BELOW, SCALE
 from netlumen.operators.flows import DEFAULT as TIMEOUTS
-from netlumen.operators.flows import Timeouts, keyed
+from netlumen.operators.flows import Timeouts, closings, keyed
 from netlumen.operators.state import DEFAULT as DECAY
 from netlumen.operators.state import Decay
 from netlumen.schemas import CONNECTION_FIELDS, CONNECTION_STRINGS, LABEL_UNKNOWN
@@ -35,38 +37,86 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn("event_time", F.timestamp_micros((F.col(ts) * 1e6).cast("long")))
 
 
-def _open(p, segment: int) -> dict:
-    return {"segment": segment, "src_ip": p.src_ip, "dst_ip": p.dst_ip, "src_port": int(p.src_port),
-            "dst_port": int(p.dst_port), "protocol": int(p.protocol), "start": p.ts, "last": p.ts,
-            "low": bool(p.from_low), "fins": 0, "closed": "", "n": [0, 0], "b": [0.0, 0.0],
-            "flags": [0] * len(_FLAGS), "gap": [0, 0.0, 0.0, math.inf, 0.0],
-            "size": [0.0, 0.0, math.inf, 0.0], "bins": {}, "sni": 0, "http": 0}
-
-
-def _add(s: dict, p, t: Timeouts) -> None:
-    packets = s["n"][0] + s["n"][1]
-    gap = p.ts - s["last"]
-    if packets and gap >= 0:
-        g = s["gap"]
-        s["gap"] = [g[0] + 1, g[1] + gap, g[2] + gap * gap, min(g[3], gap), max(g[4], gap)]
-    s["last"] = p.ts
-    size, z = float(p.length), s["size"]
-    s["size"] = [z[0] + size, z[1] + size * size, min(z[2], size), max(z[3], size)]
-    bin_no = str(int(min(max(size, 0), 65535)) // t.size_bin)
-    s["bins"][bin_no] = s["bins"].get(bin_no, 0) + 1
-    side = 0 if bool(p.from_low) == s["low"] else 1
-    s["n"][side] += 1
-    s["b"][side] += size
-    flags = int(p.tcp_flags)
-    s["flags"] = [c + bool(flags & bit) for c, (_, bit) in zip(s["flags"], _FLAGS)]
-    if flags & 1:
-        s["fins"] |= 1 if p.from_low else 2
-    s["sni"] = max(s["sni"], int(p.tls_sni_len))
-    s["http"] += bool(p.is_http_request)
-    if flags & 4 or s["fins"] == 3:
-        s["closed"] = "closed"
-    elif p.ts - s["start"] >= t.active:
-        s["closed"] = "active"
+# What is kept of an open segment, as columns of packets: sums, least and greatest values.
+_SUMS = ("n", "n_resp", "bytes", "bytes_resp", "gap_n", "gap_sum", "gap_sq", "size_sq", "http",
+         *(f"{name}_count" for name, _ in _FLAGS))
+_LOWS, _HIGHS = {"gap_min": math.inf, "size_min": math.inf}, {"gap_max": 0.0, "size_max": 0.0, "sni": 0.0}
+
+
+def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    batch = pd.concat(list(rows))
+    # A closing event has a time and nothing else.
+    return batch[batch["event_id"].notna()].sort_values(["ts", "event_id"], ignore_index=True)
+
+
+def _segments(b: pd.DataFrame, s: dict | None, t: Timeouts) -> tuple[np.ndarray, list[str]]:
+    """Starts of the segments of a key's packets, and why each ends ("" if it may go on).
+    The first goes on with the open segment ``s`` if there is one."""
+    ts, flags, low = b["ts"].to_numpy(), b["tcp_flags"].to_numpy(), b["from_low"].to_numpy(dtype=bool)
+    n = len(ts)
+    fin, rst = np.where(flags & 1, np.where(low, 1, 2), 0), (flags & 4) > 0
+    runs = np.flatnonzero(np.append(True, np.diff(ts) >= t.idle))
+    last = np.append(runs[1:], n)
+    since, fins = ts[runs], np.bitwise_or.reduceat(fin, runs)
+    if s:
+        since[0], fins[0] = s["start"], fins[0] | s["fins"]
+    may_close = (ts[last - 1] - since >= t.active) | (fins == 3) | np.logical_or.reduceat(rst, runs)
+    starts, reasons = [], []
+    for k, (lo, hi) in enumerate(zip(runs.tolist(), last.tolist())):
+        had = s["fins"] if s and k == 0 else 0
+        ends = closings(ts[lo:hi], fin[lo:hi], rst[lo:hi], float(since[k]), had, t) + lo if may_close[k] else ()
+        at = lo
+        for e in (int(x) for x in ends):
+            seen = int(np.bitwise_or.reduce(fin[at:e + 1])) | (had if at == lo else 0)
+            starts.append(at)
+            reasons.append("closed" if rst[e] or seen == 3 else "active")
+            at = e + 1
+        if at < hi:
+            starts.append(at)
+            reasons.append("idle" if hi < n else "")
+    return np.array(starts, np.int64), reasons
+
+
+def _accumulated(b: pd.DataFrame, starts: np.ndarray, s: dict | None) -> list[dict]:
+    """One state per segment, all segments of a key at once."""
+    n = len(b)
+    ts, flags, low = b["ts"].to_numpy(), b["tcp_flags"].to_numpy(), b["from_low"].to_numpy(dtype=bool)
+    size = b["length"].to_numpy(dtype=float)
+    which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    first_low = low[starts]
+    gap = np.append(ts[0] - s["last"] if s else -1.0, np.diff(ts))
+    gap[starts[1:] if s else starts] = -1.0                  # none before a segment's first packet
+    if s:
+        first_low[0] = s["low"]
+    resp, timed = (low != first_low[which]).astype(float), gap >= 0
+    kept = np.where(timed, gap, 0.0)
+    columns = {"n": np.ones(n), "n_resp": resp, "bytes": size, "bytes_resp": size * resp, "gap_n": timed.astype(float),
+               "gap_sum": kept, "gap_sq": kept * kept, "size_sq": size * size,
+               "http": b["is_http_request"].to_numpy(dtype=float),
+               **{f"{name}_count": ((flags & bit) > 0).astype(float) for name, bit in _FLAGS}}
+    sums = {c: np.add.reduceat(columns[c], starts) for c in _SUMS}
+    lows = {"gap_min": np.minimum.reduceat(np.where(timed, gap, np.inf), starts), "size_min": np.minimum.reduceat(size, starts)}
+    highs = {"gap_max": np.maximum.reduceat(kept, starts), "size_max": np.maximum.reduceat(size, starts),
+             "sni": np.maximum.reduceat(b["tls_sni_len"].to_numpy(dtype=float), starts)}
+    fins = np.bitwise_or.reduceat(np.where(flags & 1, np.where(low, 1, 2), 0), starts)
+    bins = (np.clip(size, 0, 65535).astype(np.int64)) // TIMEOUTS.size_bin
+    cell, counts = np.unique(which * 65536 + bins, return_counts=True)
+    ends = np.append(starts[1:], n) - 1
+    out = []
+    opener = b.iloc[starts][["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "event_id"]].to_dict("records")
+    where = np.searchsorted(cell, np.arange(len(starts) + 1) * 65536)
+    for i, head in enumerate(opener):
+        i0, i1 = where[i], where[i + 1]
+        out.append({**head, "start": float(ts[starts[i]]), "last": float(ts[ends[i]]), "low": bool(first_low[i]),
+                    "fins": int(fins[i]), "bins": dict(zip((cell[i0:i1] % 65536).astype(str).tolist(), counts[i0:i1].tolist())),
+                    **{c: float(v[i]) for part in (sums, lows, highs) for c, v in part.items()}})
+    if s:
+        now = out[0]
+        out[0] = {**s, "last": now["last"], "fins": s["fins"] | now["fins"],
+                  "bins": {k: s["bins"].get(k, 0) + now["bins"].get(k, 0) for k in {**s["bins"], **now["bins"]}},
+                  **{c: s[c] + now[c] for c in _SUMS}, **{c: min(s[c], now[c]) for c in _LOWS},
+                  **{c: max(s[c], now[c]) for c in _HIGHS}}
+    return out
 
 
 def _moments(n: float, total: float, squares: float) -> tuple[float, float]:
@@ -76,20 +126,20 @@ def _moments(n: float, total: float, squares: float) -> tuple[float, float]:
     return mean, math.sqrt(max(squares / n - mean * mean, 0.0))
 
 
-def _record(s: dict, flow_id: str, reason: str) -> dict:
-    n = s["n"][0] + s["n"][1]
-    g, z = s["gap"], s["size"]
-    iat, size = _moments(g[0], g[1], g[2]), _moments(n, z[0], z[1])
+def _record(s: dict, hashed: str, reason: str) -> dict:
+    n = s["n"]
+    iat, size = _moments(s["gap_n"], s["gap_sum"], s["gap_sq"]), _moments(n, s["bytes"], s["size_sq"])
     entropy = -sum(c / n * math.log2(c / n) for c in s["bins"].values())
     return {
-        "flow_id": flow_id, "src_ip": s["src_ip"], "dst_ip": s["dst_ip"], "src_port": s["src_port"],
-        "dst_port": s["dst_port"], "protocol": s["protocol"], "start_ts": s["start"],
+        "flow_id": f"c-{hashed}-{s['event_id']}", "src_ip": s["src_ip"], "dst_ip": s["dst_ip"],
+        "src_port": s["src_port"], "dst_port": s["dst_port"], "protocol": s["protocol"], "start_ts": s["start"],
         "emit_ts": s["last"], "duration": max(s["last"] - s["start"], 0.0),
-        "orig_bytes": s["b"][0], "resp_bytes": s["b"][1], "orig_pkts": s["n"][0], "resp_pkts": s["n"][1],
-        **{f"{name}_count": c for c, (name, _) in zip(s["flags"], _FLAGS)},
-        "iat_mean": iat[0], "iat_std": iat[1], "iat_min": 0.0 if math.isinf(g[3]) else g[3],
-        "iat_max": g[4], "pkt_size_mean": size[0], "pkt_size_std": size[1], "pkt_size_min": z[2],
-        "pkt_size_max": z[3], "payload_entropy": max(entropy, 0.0) + 0.0,   # no negative zero
+        "orig_bytes": s["bytes"] - s["bytes_resp"], "resp_bytes": s["bytes_resp"],
+        "orig_pkts": n - s["n_resp"], "resp_pkts": s["n_resp"],
+        **{f"{name}_count": s[f"{name}_count"] for name, _ in _FLAGS},
+        "iat_mean": iat[0], "iat_std": iat[1], "iat_min": 0.0 if math.isinf(s["gap_min"]) else s["gap_min"],
+        "iat_max": s["gap_max"], "pkt_size_mean": size[0], "pkt_size_std": size[1], "pkt_size_min": s["size_min"],
+        "pkt_size_max": s["size_max"], "payload_entropy": max(entropy, 0.0) + 0.0,   # no negative zero
         "tls_present": float(s["sni"] > 0), "tls_sni_len": s["sni"],
         "http_present": float(s["http"] > 0), "http_req_count": s["http"], "label": LABEL_UNKNOWN,
         "reason": reason}
@@ -105,7 +155,8 @@ def _frame(rows: list[dict], schema: T.StructType) -> Iterator[pd.DataFrame]:
 
 
 class FlowAssembler(StatefulProcessor):
-    """Packets of one conversation to connection records."""
+    """Packets of one conversation to connection records. A closed segment leaves no state:
+    its name comes from the conversation and its first packet."""
 
     def __init__(self, timeouts: Timeouts = TIMEOUTS):
         self.t = timeouts
@@ -118,25 +169,22 @@ class FlowAssembler(StatefulProcessor):
         return json.loads(self.state.get()[0]) if self.state.exists() else None
 
     def handleInputRows(self, key, rows, timerValues):
-        s = self._load()
-        out: list[dict] = []
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        hashed = batch["key_hash"].iloc[0]
-        name = lambda state: f"c-{hashed}-{state['segment']}"
-        for p in batch.itertuples(index=False):
-            if s and not s["closed"] and p.ts - s["last"] >= self.t.idle:
-                out.append(_record(s, name(s), "idle"))
-                s["closed"] = "idle"
-            if s is None or s["closed"]:
-                s = _open(p, s["segment"] + 1 if s else 1)
-            _add(s, p, self.t)
-            if s["closed"]:
-                out.append(_record(s, name(s), s["closed"]))
-        s["hash"] = hashed
-        self.state.update((json.dumps(s),))
-        if not s["closed"]:
+        s, b = self._load(), _sorted(rows)
+        if not len(b):
+            return
+        hashed, out = b["key_hash"].iloc[0], []
+        if s and b["ts"].iloc[0] - s["last"] >= self.t.idle:
+            out.append(_record(s, hashed, "idle"))
+            s = None
+        starts, reasons = _segments(b, s, self.t)
+        states = _accumulated(b, starts, s)
+        out += [_record(x, hashed, why) for x, why in zip(states, reasons) if why]
+        if reasons[-1]:
+            self.state.clear()
+        else:
+            self.state.update((json.dumps({**states[-1], "hash": hashed}),))
             # One timer per update; those that were overtaken are recognised when they fire.
-            self.handle.registerTimer(self._due(s))
+            self.handle.registerTimer(self._due(states[-1]))
         yield from _frame(out, FLOW_OUTPUT)
 
     def _due(self, s: dict) -> int:
@@ -144,20 +192,17 @@ class FlowAssembler(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         s = self._load()
-        out: list[dict] = []
-        if s and not s["closed"] and self._due(s) <= expiredTimerInfo.getExpiryTimeInMs():
-            out.append(_record(s, f"c-{s['hash']}-{s['segment']}", "idle"))
-            s["closed"] = "idle"
-            self.state.update((json.dumps(s),))    # keeps the number of the last segment
-        yield from _frame(out, FLOW_OUTPUT)
+        if s and self._due(s) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            yield from _frame([_record(s, s["hash"], "idle")], FLOW_OUTPUT)
 
     def close(self) -> None:
         pass
 
 
-def assemble_flows(packets: DataFrame, timeouts: Timeouts = TIMEOUTS,
-                   lateness: str = "0 seconds") -> DataFrame:
-    """Stream of packets to stream of closed connection records."""
+def assemble_flows(packets: DataFrame, lateness: str, timeouts: Timeouts = TIMEOUTS) -> DataFrame:
+    """Stream of packets to stream of closed connection records. Packets more than
+    ``lateness`` behind are dropped: part them off first with ``jobs.late_rows``."""
     rows = event_time(keyed(packets)).withColumn(
         "key_hash", F.substring(F.sha2("flow_key", 256), 1, 12))
     return (rows.withWatermark("event_time", lateness).groupBy("flow_key")
@@ -187,6 +232,8 @@ class NodeStateKeeper(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("node", _TEXT_STATE)
+        # Alerts of the rolling window: a count per instant, a row of state each.
+        self.recent = handle.getMapState("recent", "at double", "n long")
 
     def _load(self) -> dict | None:
         return json.loads(self.state.get()[0]) if self.state.exists() else None
@@ -227,14 +274,25 @@ class NodeStateKeeper(StatefulProcessor):
     def _row(self, key, s: dict, at: float, cause: str, flow_id: str = "") -> dict:
         return {"node_id": key, "at": at, "cause": cause, "flow_id": flow_id,
                 "severity": s["severity"], "score": s["now"], "alert_count": s["count"],
-                "alert_count_window": len(s["recent"]), "top_peers": ",".join(s["peers"]),
+                "alert_count_window": s["window"], "top_peers": ",".join(s["peers"]),
                 "top_ports": ",".join(map(str, s["ports"]))}
 
+    def _window(self, inside: int, at: float, counts: dict[float, int]) -> int:
+        """One more alert besides the ``inside`` that the window held, less those that have
+        left it by now; ``counts`` rises in time."""
+        counts[at] = counts.get(at, 0) + 1
+        left = list(itertools.takewhile(lambda x: x < at - self.d.window, counts))
+        return inside + 1 - sum(counts.pop(old) for old in left)
+
     def handleInputRows(self, key, rows, timerValues):
         s = self._load()
         out: list[dict] = []
-        batch = pd.concat(list(rows)).sort_values(["ts", "is_ack", "event_id"],
-                                                  ascending=[True, False, True])
+        batch = pd.concat(list(rows))
+        batch = batch[batch["node_id"].notna()].sort_values(["ts", "is_ack", "event_id"], ascending=[True, False, True])
+        if not len(batch):                                   # a closing event
+            return
+        held = {k[0]: v[0] for k, v in self.recent.iterator()} if s else {}
+        counts = dict(sorted(held.items()))
         for a in batch.itertuples(index=False):
             s = self._cool_until(key, s, a.ts * 1000, out)
             if a.is_ack:
@@ -243,11 +301,13 @@ class NodeStateKeeper(StatefulProcessor):
                     out.append(self._row(key[0], s, a.ts, "ack"))
                     s = None
                 continue
+            if s is None:
+                counts = {}
             kept = self._cooled(s, a.ts) if s else 0.0
-            s = s or {"count": 0, "recent": [], "peers": [], "ports": []}
+            s = s or {"count": 0, "peers": [], "ports": []}
             s["score"] = s["now"] = max(kept, a.score)
             s["severity"], s["last"], s["count"] = _band(s["score"]), a.ts, s["count"] + 1
-            s["recent"] = [x for x in s["recent"] if x >= a.ts - self.d.window] + [a.ts]
+            s["window"] = self._window(s.get("window", 0), a.ts, counts)
             peer, port = a.peer_node_id or a.dst_ip, int(a.dst_port or 0)
             if peer:
                 s["peers"] = ([peer] + [x for x in s["peers"] if x != peer])[:5]
@@ -255,22 +315,34 @@ class NodeStateKeeper(StatefulProcessor):
                 s["ports"] = ([port] + [x for x in s["ports"] if x != port])[:5]
             out.append(self._row(key[0], s, a.ts, "alert", a.flow_id))
         self._keep(s)
+        self._remember(held, counts if s else {})
         yield from _frame(out, STATE_OUTPUT)
 
+    def _remember(self, held: dict[float, int], counts: dict[float, int]) -> None:
+        """Writes only the instants whose count changed."""
+        for at in held.keys() - counts.keys():
+            self.recent.removeKey((at,))
+        for at, n in counts.items():
+            if held.get(at) != n:
+                self.recent.updateValue((at,), (n,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         s = self._load()
         due = expiredTimerInfo.getExpiryTimeInMs()
         out: list[dict] = []
         if s and s["due"] == due:                      # otherwise a newer timer is armed
             # The watermark may have passed several bands at once.
-            self._keep(self._cool_until(key, s, max(due, timerValues.getCurrentWatermarkInMs()), out))
+            s = self._cool_until(key, s, max(due, timerValues.getCurrentWatermarkInMs()), out)
+            self._keep(s)
+            if s is None:
+                self.recent.clear()
         yield from _frame(out, STATE_OUTPUT)
 
     def close(self) -> None:
         pass
 
 
-def live_states(alerts: DataFrame, decay: Decay = DECAY, lateness: str = "0 seconds") -> DataFrame:
+def live_states(alerts: DataFrame, lateness: str, decay: Decay = DECAY) -> DataFrame:
     """Stream of attributed alerts (and acknowledgements, ``is_ack``) to state changes."""
     rows = alerts if "is_ack" in alerts.columns else alerts.withColumn("is_ack", F.lit(False))
     rows = event_time(rows.select("node_id", "ts", "event_id", "flow_id", "score", "is_ack",

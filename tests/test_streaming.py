@@ -1,6 +1,7 @@
 """Streams fed file by file, held to the batch operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,21 +29,53 @@ def source(spark, path, schema):
 def test_flow_assembly_over_batches_equals_batch(spark, sf, tmp_path):
     packets = inputs.packets(spark, sf)
     schema = in_files(packets, str(tmp_path / "in"), "ts", 4)
-    out = jobs.run_to_table(stateful.assemble_flows(source(spark, str(tmp_path / "in"), schema)), "f")
+    out = jobs.run_bounded(source(spark, str(tmp_path / "in"), schema), "ts",
+                           lambda rows: stateful.assemble_flows(rows, "0 seconds"), "f")
     streamed = {r.flow_id: r for r in out.collect()}
     segmented = flows.segments(packets)
-    end = packets.agg(F.max("ts")).first()[0]
-    reasons = {r.flow_id: r.reason for r in flows.close_reasons(segmented, F.lit(end)).collect()}
+    reasons = {r.flow_id: r.reason for r in flows.close_reasons(segmented).collect()}
     batch = {r.flow_id: r for r in flows.flow_records(segmented).collect()}
-    # Flows still open when the input ends are not due yet.
-    closed = {f for f, why in reasons.items() if why != "open"}
-    assert closed - set(streamed) == set() and len(streamed) == out.count()
-    for f in closed:
+    # The closing event lets out what is still open, so nothing is left behind.
+    assert streamed.keys() == batch.keys() and len(streamed) == out.count()
+    for f in batch:
         assert streamed[f].reason == reasons[f]
         for c in CONNECTION_NUMERIC:
             assert math.isclose(streamed[f][c], batch[f][c], rel_tol=1e-6, abs_tol=1e-4), (f, c)
 
 
+def test_a_long_conversation_over_batches_equals_batch(spark, tmp_path):
+    """Segments that go on from batch to batch, closed by time, by FINs and by RST."""
+    rng, rows, t = random.Random(5), [], 1000.0
+    for i in range(600):
+        t += rng.choice([0.25, 1.0, 4.0, 16.0] if rng.random() < 0.1 else [0.25, 1.0, 4.0])
+        low = rng.random() < 0.5
+        ends = ("10.0.0.1", "10.0.0.2", 5000, 80) if low else ("10.0.0.2", "10.0.0.1", 80, 5000)
+        flags = rng.choice([16] * 40 + [17, 17, 4])
+        rows.append((i, t, *ends, 6, rng.randint(40, 1500), flags, i % 9, i % 11 == 0))
+    packets = spark.createDataFrame(rows, inputs.packets(spark, "/root/testdata/sf0.001").schema)
+    schema = in_files(packets, str(tmp_path / "in"), "ts", 5)
+    out = jobs.run_bounded(source(spark, str(tmp_path / "in"), schema), "ts",
+                           lambda p: stateful.assemble_flows(p, "0 seconds"), "long").collect()
+    batch = {r.flow_id: r for r in flows.flow_records(flows.segments(packets)).collect()}
+    assert {r.flow_id for r in out} == batch.keys() and len(out) == len(batch) > 20
+    for r in out:
+        for c in CONNECTION_NUMERIC:
+            assert math.isclose(r[c], batch[r.flow_id][c], rel_tol=1e-6, abs_tol=1e-4), (r.flow_id, c)
+
+
+def test_late_rows_are_parted_off_and_counted(spark, tmp_path):
+    df = spark.createDataFrame([(0, 100.0), (0, 50.0), (1, 95.0), (1, 80.0), (1, 300.0), (2, 285.0), (2, 295.0), (2, None)], "part int, ts double")
+    folder = str(tmp_path / "in")
+    split = jobs.LateRows(jobs.file_stream(spark, f"{folder}/d-*", "ts double"), "ts", 10.0, "parted")
+    for i in range(3):
+        df.filter(F.col("part") == i).select("ts").write.parquet(f"{folder}/d-{i}")
+        split.run()
+    assert sorted((r.batch, r.rows, r.late, r.watermark) for r in split.counts().collect()) == [
+        (0, 2, 0, None), (1, 3, 1, 90.0), (2, 3, 1, 290.0)]
+    assert sorted(r.ts for r in split.late().collect()) == [80.0, 285.0]
+    assert split.in_time().count() == 6
+
+
 def alerts(spark, rows):
     data = [(i, f"f{i}", n, float(t), float(s), a, None, "9.9.9.9", 443) for i, (n, t, s, a) in enumerate(rows)]
     return spark.createDataFrame(data, "event_id long, flow_id string, node_id string, ts double, score double, "
@@ -51,7 +84,7 @@ def alerts(spark, rows):
 
 def run_states(spark, df, path, n):
     schema = in_files(df, path, "event_id", n)
-    out = jobs.run_to_table(stateful.live_states(source(spark, path, schema)), "s")
+    out = jobs.run_to_table(stateful.live_states(source(spark, path, schema), "0 seconds"), "s")
     return sorted(((r.at, r.node_id, r.cause, r.severity, round(r.score, 6), r.alert_count) for r in out.collect()))
 
 
@@ -73,7 +106,7 @@ def test_live_state_equals_batch_scores(spark, sf, tmp_path):
     ev = inputs.state_events(spark, sf).withColumn("is_ack", F.lit(False)).select(
         "event_id", "flow_id", "node_id", "ts", "score", "is_ack", "peer_node_id", "dst_ip", "dst_port")
     schema = in_files(ev, str(tmp_path / "in"), "ts", 3)
-    out = jobs.run_to_table(stateful.live_states(source(spark, str(tmp_path / "in"), schema)), "s")
+    out = jobs.run_to_table(stateful.live_states(source(spark, str(tmp_path / "in"), schema), "0 seconds"), "s")
     got = {r.flow_id: r.score for r in out.filter("cause = 'alert'").collect()}
     want = {r.flow_id: r.score for r in state.score_timeline(ev).collect()}
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
@@ -84,7 +117,7 @@ def test_late_rows_do_not_break_assembly(spark, tmp_path):
                                (3, 5.0, "a", "b", 1, 2, 6, 60, 16, 0, False), (4, 400.0, "c", "d", 1, 2, 6, 60, 16, 0, False)],
                               inputs.packets(spark, "/root/testdata/sf0.001").schema)
     schema = in_files(p, str(tmp_path / "in"), "event_id", 4)
-    out = jobs.run_to_table(stateful.assemble_flows(source(spark, str(tmp_path / "in"), schema)), "late").collect()
+    out = jobs.run_to_table(stateful.assemble_flows(source(spark, str(tmp_path / "in"), schema), "0 seconds"), "late").collect()
     # The packet behind the watermark is dropped; the flow it belongs to still closes.
     assert sorted((r.src_ip, r.orig_pkts, r.reason) for r in out) == [("a", 1, "idle"), ("c", 1, "idle")]
 
