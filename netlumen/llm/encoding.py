@@ -67,17 +67,17 @@ def blocks(text: str, chars: int) -> Iterator[str]:
 # tokens are written with are left to the library.
 _L = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 _S = "[!-&(-/:;=-@\\[-`{}~]"
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if re.fullmatch(_S, c))
 PLAIN = re.compile(rf"\0?{_L}+{_S}*(?:\n{_L}+{_S}*)*")
 PARTS = re.compile(rf"\0?{_L}+|{_S}+|\n")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """How byte-level vocabularies spell bytes: printable ones stand for themselves, the
     others take the code points from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelt = {b: chr(b) for b in shown}
-    spelt |= {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in spelt)}
-    return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(256)}
+    return spelt | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in spelt)}
 
 
 class PieceEncoder:
@@ -103,7 +103,8 @@ class PieceEncoder:
             for token, i in model["vocab"].items():
                 self.ends[i] = bool(suffix) and token.endswith(suffix)
                 self.letters[i] = len(token) - len(suffix) * self.ends[i]
-            self.spelling = _byte_letters()
+            spelling = byte_letters()
+            self.spelling = {c: "".join(spelling[b] for b in chr(c).encode()) for c in range(256)}
             self.model = Tokenizer(self.tokenizer.model)
             self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
 
@@ -142,10 +143,10 @@ class PieceEncoder:
         if len(self.known) + len(new) > self.max_pieces:
             self.known = {}
         known, plain, other = self.known, {}, []
+        if self.short:
+            new = self._learn_ascii(new)
         for key in new:
-            if key.isalpha() and key.isascii():
-                plain[key] = (key,)
-            elif PLAIN.fullmatch(key):
+            if PLAIN.fullmatch(key):
                 found = PARTS.findall(key)
                 # Only the first word follows a space.
                 plain[key] = [found[0], *[BARE + x if x[0].isalpha() else x for x in found[1:]]]
@@ -169,6 +170,29 @@ class PieceEncoder:
         for key, parts in plain.items():
             known[key] = part[parts[0]] if len(parts) == 1 else b"".join([part[x] for x in parts])
 
+    def _learn_ascii(self, new: set[str]) -> list[str]:
+        """Learns the keys that are one ASCII word, with signs after it or none, and returns
+        the others: most keys, so without a step of Python for each of their parts."""
+        known, fold = self.known, str.lower if self.lower else str
+        words = [k for k in new if k.isascii() and k.isalpha()]
+        rest, keys, heads, tails = [], [], [], []
+        for key in new.difference(words):
+            head = key.rstrip(_SIGNS)
+            if head.isascii() and head.isalpha():
+                keys.append(key)
+                heads.append(head)
+                tails.append(key[len(head):])
+            else:
+                rest.append(key)
+        spelt, heads = list(map(fold, words)), list(map(fold, heads))
+        missing = list({*spelt, *heads}.difference(known))
+        known.update(zip(missing, self._words(missing)))
+        known.update(zip(words, map(known.__getitem__, spelt)))
+        odd = list(set(tails).difference(self.signs))
+        self.signs.update(zip(odd, self._library(odd)))
+        known.update(zip(keys, map(operator.add, map(known.__getitem__, heads), map(self.signs.__getitem__, tails))))
+        return rest
+
     def _cut(self, text: str) -> list[str]:
         if self.short and self.lower and text.replace("\n", "").isprintable():
             return text.split()         # white space is dropped and ends every token
@@ -182,13 +206,13 @@ class PieceEncoder:
             cut = [[] if i in whole else self._cut(t) for i, t in enumerate(texts)]
             flat = list(itertools.chain.from_iterable(cut))
             codes = list(map(self.known.get, flat))
-            new = set(itertools.compress(flat, map(operator.is_, codes, itertools.repeat(None))))
-            if new:
-                # Also what is known now: the memory may be dropped before the new is added.
-                if len(self.known) + len(new) > self.max_pieces:
-                    new = set(flat)
+            missing = list(itertools.compress(range(len(flat)), map(operator.is_, codes, itertools.repeat(None))))
+            if missing:
+                new = set(map(flat.__getitem__, missing))
+                # What is known stays in ``codes``, also if the memory is dropped now.
                 self.learn(new)
-                codes = list(map(self.known.__getitem__, flat))
+                for i, code in zip(missing, map(self.known.__getitem__, map(flat.__getitem__, missing))):
+                    codes[i] = code
             each = iter(codes)
             out = [b"".join(itertools.islice(each, len(c))) for c in cut]
             for i, ids in zip(whole, self._library(list(whole.values()))):

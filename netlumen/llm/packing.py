@@ -28,35 +28,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from netlumen.llm.common import plain
-from netlumen.llm.encoding import encoder
+from netlumen.llm.encoding import byte_letters, encoder
 from netlumen.llm.textscan import gathered
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 SENTENCE, INSIDE = 4, 32          # penalties, in ids of padding
+GRID = 32                         # ids between places for cuts inside a sentence
 SEQUENCE_BITS = 36                # of sequence_id; the partition's number is above them
 
 
 def sentence_ends(tokenizer) -> np.ndarray:
     """Per id: whether its text ends a sentence or a line."""
+    # Byte-level vocabularies spell a line feed and the stops of other scripts as bytes.
+    spelling = byte_letters()
+    stops = (".", "!", "?", *("".join(spelling[b] for b in c.encode()) for c in "\n。！？"))
     out = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
     for token, i in tokenizer.get_vocab().items():
-        out[i] = token.endswith((".", "!", "?", "Ċ", "。"))
+        out[i] = token.endswith(stops)
     return out
 
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, size: int
                ) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a window may be cut, with penalties; gaps are at most ``size``."""
+    """Positions where a window may be cut, with penalties. A stretch without a sentence's
+    end is given a place every ``GRID`` ids, so little is padded there too."""
     where = np.flatnonzero(ends[ids]) + 1
     where = np.union1d(np.concatenate([[0], doc_ends]), where)
+    step = min(GRID, size)
     gap = np.diff(where)
-    if (gap > size).any():
-        more = [np.arange(a + size, b, size) for a, b in zip(where[:-1][gap > size], where[1:][gap > size])]
-        inside = np.concatenate(more)
-        where = np.union1d(where, inside)
-    else:
-        inside = np.zeros(0, np.int64)
+    more = np.where(gap >= 2 * step, (gap - 1) // step, 0)
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    inside = np.repeat(where[:-1], more) + nth * step
+    where = np.union1d(where, inside)
     penalty = np.full(len(where), SENTENCE, np.int64)
     penalty[np.searchsorted(where, inside)] = INSIDE
     penalty[np.searchsorted(where, doc_ends)] = 0

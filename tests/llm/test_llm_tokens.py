@@ -155,3 +155,15 @@ def test_little_padding(spark, sf):
     used = packing.pack(docs, tokenizer_path(FILES[1]), 0).groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
     waste = sum(0 if n & (n - 1) == 0 else 1024 - n for n in used)
     assert waste < 0.03 * used.sum()
+
+
+@pytest.mark.parametrize("word, joint", [("word{}", " "), ("汉字文本{}", "")])
+def test_little_padding_without_full_stops(spark, word, joint):
+    """Documents of some 1,800 ids without a sentence's end, and in Chinese."""
+    texts = [joint.join(word.format(chr(97 + (i * 7 + k) % 26)) for k in range(600 + i)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = cases.frame(packing.pack(docs, tokenizer_path(FILES[1]), 0))
+    check_packed(got, dict(enumerate(texts)), library(FILES[1]), 1024, 0)
+    used = got.groupby("sequence_id").length.sum()
+    waste = sum(0 if n & (n - 1) == 0 else 1024 - n for n in used.tolist())
+    assert waste < 0.03 * used.sum()
