@@ -99,7 +99,7 @@ _RANKED = ("SELECT node_id, severity, " + sql6("score") + " AS score, alert_coun
 @reg.query("ranked_states", attr_sql(_RANKED, *decay_ctes(until=AS_OF), *state_ctes(AS_OF)))
 def ranked_states(spark, sf):
     """Which devices are alerting now, and how badly."""
-    states = state.state_at(inputs.state_events(spark, sf), inputs.last_detection(spark, sf))
+    states = state.state_at(inputs.stored_events(spark, sf), inputs.last_detection(spark, sf))
     return state.ranked(states).select(
         "node_id", "severity", r6("score").alias("score"), "alert_count",
         r6("last_alert_at").alias("last_alert_at"), "last_alert_id", "rank")
@@ -109,7 +109,7 @@ def ranked_states(spark, sf):
     f"SELECT node_id, severity, {sql6('score')} AS score, alert_count, {sql6('first_alert_at')} AS first_alert_at FROM live",
     *decay_ctes(until=HALF), *state_ctes(HALF)))
 def replay_at(spark, sf):
-    states = state.state_at(inputs.state_events(spark, sf), inputs.last_detection(spark, sf) / 2)
+    states = state.state_at(inputs.stored_events(spark, sf), inputs.last_detection(spark, sf) / 2)
     return states.select("node_id", "severity", r6("score").alias("score"), "alert_count",
                          r6("first_alert_at").alias("first_alert_at"))
 
@@ -216,7 +216,7 @@ def node_alert_bounds(spark, sf):
     """SELECT severity, count(*) AS devices FROM live GROUP BY severity""",
     *decay_ctes(until=AS_OF), *state_ctes(AS_OF)))
 def severity_histogram(spark, sf):
-    states = state.state_at(inputs.state_events(spark, sf), inputs.last_detection(spark, sf))
+    states = state.state_at(inputs.stored_events(spark, sf), inputs.last_detection(spark, sf))
     return states.groupBy("severity").agg(F.count(F.lit(1)).alias("devices"))
 
 
@@ -226,7 +226,7 @@ def severity_histogram(spark, sf):
  (SELECT count(*) FROM fx_nodes) AS coverage, (SELECT count(*) FROM fx_nodes) - count(*) AS quiet FROM live""",
     *decay_ctes(until=AS_OF), *state_ctes(AS_OF)))
 def threat_level(spark, sf):
-    states = state.state_at(inputs.state_events(spark, sf), inputs.last_detection(spark, sf))
+    states = state.state_at(inputs.stored_events(spark, sf), inputs.last_detection(spark, sf))
     coverage = inputs.nodes(spark, sf).agg(F.count(F.lit(1))).scalar()
     top = F.coalesce(F.max(severity_rank(F.col("severity"))), F.lit(0))
     return (states.agg(severity_from_rank(top).alias("threat"), F.count(F.lit(1)).alias("alerting"))
@@ -239,7 +239,7 @@ def threat_level(spark, sf):
     *decay_ctes(until=AS_OF), *state_ctes(AS_OF)))
 def animated_tier(spark, sf):
     """At most six devices may be animated: the most recent of the worst tier."""
-    states = state.state_at(inputs.state_events(spark, sf), inputs.last_detection(spark, sf))
+    states = state.state_at(inputs.stored_events(spark, sf), inputs.last_detection(spark, sf))
     # The order puts the worst tier first, so six rows are enough to know the top rank.
     top = state.ranked(states, 6)
     worst = top.agg(F.max("rank")).scalar()
