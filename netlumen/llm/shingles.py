@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from netlumen.llm.common import fresh, materialize, plain
 from netlumen.llm.textscan import LOWER, SPACED, gathered, hashes, mix, runs, shingles, slices, utf8
 
-SCAN_BYTES = 4 << 20
+SCAN_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20          # of packed keys that one task puts together
 CLASSES = 64                     # size classes per factor e
 SLOTS_LOG2, BLOCK_LOG2 = 22, 16  # counters of n-grams, and how many of them make a row
@@ -80,7 +80,8 @@ def name_sets(rows: DataFrame, n: int, counted: bool) -> DataFrame:
         for batch in gathered(batches, 1, SCAN_BYTES):
             gram, at = sets_of(batch.column(1), n)
             if counted:
-                total += np.bincount((gram & _U(len(total) - 1)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+                slot, count = np.unique(gram & _U(len(total) - 1), return_counts=True)
+                total[slot] += count.astype(np.uint32)
             yield _named([batch.column(0), batch.column(2), pa.array(np.diff(at)), pa.array(digests(gram, at)),
                           *[pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]])
         part, blocks = TaskContext.get().partitionId(), total.reshape(-1, 1 << BLOCK_LOG2)

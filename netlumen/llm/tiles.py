@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from netlumen.llm.common import components, materialize
 
-TILE, TILE_GRAMS = 2048, 4 << 20     # sets, and their n-grams, that are compared at once
+TILE, TILE_GRAMS = 1024, 2 << 20     # sets, and their n-grams, that are compared at once
 PIVOTS = 16
 _U = np.uint64
 
