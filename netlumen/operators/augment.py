@@ -24,13 +24,24 @@ GEOMETRIC = ("duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "
 LINEAR = ("payload_entropy",)
 SWAPPED = ("protocol", "src_port", "dst_port", "tls_present", "tls_sni_len", "http_present",
            "http_req_count")
+TIES = ("start_ts", "orig_bytes", "payload_entropy", "duration")     # tell partial records of a flow apart
 FLAGS = ("syn_count", "ack_count", "fin_count", "rst_count", "psh_count", "urg_count")
 
 
 def unit(seed: int, *parts: Column | str) -> Column:
-    """Uniform draw in (0, 1) from a seeded hash."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11)
-    return (bits.cast("double") + 0.5) / F.lit(float(2 ** 53))
+    """Uniform draw in (0, 1): 52 bits of the SHA-256 of ``seed:part:...``, which any engine
+    can repeat."""
+    bits = F.conv(F.substring(_hashed(seed, *parts), 1, 13), 16, 10)
+    return (bits.cast("double") + 0.5) / F.lit(float(2 ** 52))
+
+
+def _hashed(seed: int, *parts: Column | str) -> Column:
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256)
+
+
+def shuffled(seed: int, key: str) -> Column:
+    """A column whose order is a seeded shuffle of the keys."""
+    return F.substring(_hashed(seed, key), 1, 16)
 
 
 def normal(seed: int, *parts: Column | str) -> Column:
@@ -95,9 +106,9 @@ def blend_opposite(df: DataFrame, hardness: float, weights: tuple[float, float]
     if hardness <= 0:
         return df
     cols = df.columns
-    hashed = df.withColumns({"_h": F.xxhash64(F.lit(seed), "flow_id"),
+    hashed = df.withColumns({"_h": shuffled(seed, "flow_id"),
                              "_y": (F.col("label") > 0.5).cast("int")})
-    pool = running(hashed, ["_y"], ["_h", "flow_id"], sums={"_no": F.lit(1)})
+    pool = running(hashed, ["_y"], ["_h", "flow_id", *TIES], sums={"_no": F.lit(1)})
     sizes = df.agg(F.struct(F.sum((F.col("label") > 0.5).cast("long")).alias("a"),
                             F.count(F.lit(1)).alias("n"))).scalar()
     marked = hashed.withColumn("_z", sizes).withColumn(
@@ -128,7 +139,7 @@ def normalised_mix(mix: Mapping[str, float], classes: Sequence[str]) -> dict[str
 def resample_mix(df: DataFrame, cls: str, mix: Mapping[str, float], rows: int,
                  seed: int = 3) -> DataFrame:
     """Up to ``rows`` rows with the wanted class shares, in seeded hash order per class."""
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), "flow_id"))
+    hashed = df.withColumn("_h", shuffled(seed, "flow_id"))
     ranked = running(hashed, [cls], ["_h", "flow_id"], sums={"_r": F.lit(1)})
     quota = F.create_map(*[F.lit(x) for c, p in mix.items() for x in (c, int(rows * p))])
     return ranked.filter(F.col("_r") <= F.coalesce(F.try_element_at(quota, cls), F.lit(0))).select(*df.columns)
@@ -137,7 +148,7 @@ def resample_mix(df: DataFrame, cls: str, mix: Mapping[str, float], rows: int,
 def stratified_split(df: DataFrame, label: str = "label", key: str = "flow_id",
                      train: float = 0.75, seed: int = 20240917) -> DataFrame:
     """Adds ``is_train``: exactly the leading share of every label in hash order."""
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    hashed = df.withColumn("_h", shuffled(seed, key))
     ranked = running(hashed, [label], ["_h", key], sums={"_r": F.lit(1)})
     # One row per label.
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))

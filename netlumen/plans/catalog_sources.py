@@ -231,9 +231,21 @@ def drift_identity(spark, sf):
     return augment.drift(inputs.connections(spark, sf), 0.0).select("flow_id", "orig_bytes", "iat_max")
 
 
-@reg.query("drift_augmented")
+def _unit_sql(seed: int) -> str:
+    return f"((CAST(CAST(concat('0x', substr(sha256('{seed}:' || flow_id), 1, 13)) AS BIGINT) AS DOUBLE) + 0.5e0) / 4503599627370496e0)"
+
+
+def _drifted_sql(column: str, amount: float = 0.4, seed: int = 7) -> str:
+    i = list(augment.DRIFT).index(column)
+    u, v = _unit_sql(seed + 10 * i), _unit_sql(seed + 10 * i + 1)
+    return f"({column} * exp(sqrt(-2e0 * ln({u})) * cos(2e0 * pi() * {v}) * {amount * augment.DRIFT[column]!r}))"
+
+
+@reg.query("drift_augmented", duck_with("fx_connections") + f"""SELECT flow_id, {sql6(_drifted_sql('orig_bytes'))} AS orig_bytes,
+ {sql6(f"{_drifted_sql('iat_mean')} + 3 * {_drifted_sql('iat_std')}")} AS iat_max FROM fx_connections""")
 def drift_augmented(spark, sf):
-    return augment.drift(inputs.connections(spark, sf), 0.4).select("flow_id", "orig_bytes", "iat_max")
+    out = augment.drift(inputs.connections(spark, sf), 0.4)
+    return out.select("flow_id", r6("orig_bytes").alias("orig_bytes"), r6("iat_max").alias("iat_max"))
 
 
 @reg.query("invariants", duck_with("fx_connections", """i AS (SELECT *, greatest(round_even(orig_pkts, 0), 1e0) AS op, greatest(round_even(resp_pkts, 0), 0e0) AS rp FROM fx_connections)""",
@@ -247,10 +259,20 @@ def invariants(spark, sf):
     return out.select("flow_id", "orig_pkts", "ack_count", *[r6(n).alias(n) for n in names])
 
 
-@reg.query("blend_opposite")
+_MIXED = lambda c: f"exp((1 - w) * ln(greatest({c}, 1e-6)) + w * ln(greatest(p_{c}, 1e-6)))"
+
+
+@reg.query("blend_opposite", duck_with(
+    "fx_connections", """c AS (SELECT *, CASE WHEN label > 0.5 THEN 1 ELSE 0 END AS y FROM fx_connections WHERE label >= 0)""",
+    f"""d AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY substr(sha256('11:' || flow_id), 1, 16), flow_id, start_ts, orig_bytes, payload_entropy, duration) AS no,
+ (SELECT count(*) FROM c) - count(*) OVER (PARTITION BY y) AS m, {_unit_sql(12)} AS pick, {_unit_sql(13)} AS ask, 0.2e0 + 0.5e0 * {_unit_sql(14)} AS w, {_unit_sql(15)} AS take FROM c)""",
+    """e AS (SELECT a.*, b.orig_bytes AS p_orig_bytes, b.orig_pkts AS p_orig_pkts, b.dst_port AS p_dst_port, b.flow_id IS NOT NULL AS hit
+ FROM d a LEFT JOIN d b ON a.pick < 0.05e0 AND b.y = 1 - a.y AND b.no = floor(a.ask * a.m) + 1)""") + f"""SELECT flow_id, label,
+ {sql6(f"CASE WHEN hit THEN greatest({_MIXED('orig_bytes')}, 40 * greatest(round_even({_MIXED('orig_pkts')}, 0), 1e0)) ELSE orig_bytes END")} AS orig_bytes,
+ CASE WHEN hit AND take < w THEN p_dst_port ELSE dst_port END AS dst_port FROM e""")
 def blend_opposite(spark, sf):
     labelled = inputs.connections(spark, sf).filter(F.col("label") >= 0)
-    return augment.blend_opposite(labelled, 0.05).select("flow_id", "label", "orig_bytes", "dst_port")
+    return augment.blend_opposite(labelled, 0.05).select("flow_id", "label", r6("orig_bytes").alias("orig_bytes"), "dst_port")
 
 
 @reg.query("blend_fixed_weight", duck_with("fx_connections") + f"""SELECT flow_id, {sql6('exp(0.75e0 * ln(greatest(duration, 1e-6)) + 0.25e0 * ln(10e0))')} AS duration,
@@ -265,16 +287,16 @@ def blend_fixed_weight(spark, sf):
                       r6("payload_entropy").alias("payload_entropy"), "protocol", "syn_count")
 
 
-@reg.query("class_mix", duck_with("fx_alerts") + """SELECT event_type AS class, least(count(*), CASE event_type WHEN 'click' THEN 500 WHEN 'view' THEN 300 WHEN 'error' THEN 200 ELSE 0 END) AS rows FROM fx_alerts
- GROUP BY 1 HAVING event_type IN ('click', 'view', 'error')""")
+@reg.query("class_mix", duck_with("fx_alerts") + """SELECT flow_id, event_type AS class FROM (SELECT flow_id, event_type, row_number() OVER (PARTITION BY event_type
+ ORDER BY substr(sha256('3:' || flow_id), 1, 16), flow_id) AS r FROM fx_alerts) WHERE r <= CASE event_type WHEN 'click' THEN 500 WHEN 'view' THEN 300 WHEN 'error' THEN 200 ELSE 0 END""")
 def class_mix(spark, sf):
     mix = augment.normalised_mix({"click": 5, "view": 3, "error": 2}, ("click", "view", "error", "signup"))
     out = augment.resample_mix(inputs.alerts(spark, sf), "event_type", mix, 1000)
-    return out.groupBy(F.col("event_type").alias("class")).agg(F.count(F.lit(1)).alias("rows"))
+    return out.select("flow_id", F.col("event_type").alias("class"))
 
 
-@reg.query("stratified_split", duck_with("fx_alerts") + """SELECT label, is_train, CASE WHEN is_train THEN CAST(floor(n * 0.75e0) AS BIGINT) ELSE n - CAST(floor(n * 0.75e0) AS BIGINT) END AS rows FROM (
- SELECT label, count(*) AS n FROM fx_alerts GROUP BY 1), (VALUES (TRUE), (FALSE)) t(is_train)""")
+@reg.query("stratified_split", duck_with("fx_alerts") + """SELECT flow_id, label, row_number() OVER (PARTITION BY label
+ ORDER BY substr(sha256('20240917:' || flow_id), 1, 16), flow_id) <= floor(count(*) OVER (PARTITION BY label) * 0.75e0) AS is_train FROM fx_alerts""")
 def stratified_split(spark, sf):
     out = augment.stratified_split(inputs.alerts(spark, sf))
-    return out.groupBy("label", "is_train").agg(F.count(F.lit(1)).alias("rows"))
+    return out.select("flow_id", "label", "is_train")
