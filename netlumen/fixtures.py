@@ -87,6 +87,13 @@ SELECT concat('g-', n_nationkey), n_name, concat('10.20.', CAST((n_nationkey % 8
  concat('00000c', lpad(CAST(n_nationkey AS STRING), 6, '0')),
  CASE n_regionkey WHEN 0 THEN 'router' WHEN 1 THEN 'switch' WHEN 2 THEN 'firewall' WHEN 3 THEN 'wireless_ap' ELSE 'switch' END,
  concat('10.20.', CAST((n_nationkey % 8) * 10 AS INT), '.0/24'), 3, 'infrastructure' FROM nation"""),
+    # A forest: one tree per region, its nations laid out as a heap.
+    "fx_forest": ("nation", """
+SELECT CAST(n_regionkey AS INT) AS tree, CAST(i AS INT) AS node, CASE WHEN 2 * i + 2 < k THEN CAST(n_nationkey % 5 AS INT) END AS feature,
+ CASE CAST(n_nationkey % 5 AS INT) WHEN 0 THEN 1.25e0 WHEN 1 THEN 30000e0 WHEN 2 THEN 443e0 WHEN 3 THEN 1e0 ELSE 25e0 END AS threshold,
+ CAST(2 * i + 1 AS INT) AS lo, CAST(2 * i + 2 AS INT) AS hi, n_nationkey / 25e0 AS p
+FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS k
+ FROM nation) numbered"""),
     # Link sightings: nations uplink to the leader of their region (leaders to
     # themselves, which is no link), server customers to their nation, some twice.
     "fx_links": ("customer nation", """

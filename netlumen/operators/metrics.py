@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netlumen.functions.features import extract_features
+from netlumen.operators import augment
 from netlumen.operators.scan import global_rank, histogram_quantiles, running
 from netlumen.session import materialize
 
@@ -202,8 +204,31 @@ def backlog(samples: DataFrame, value: str, order: Sequence[str],
 
 
 def sweep(df: DataFrame, cell: Sequence[str], threshold: Column) -> DataFrame:
-    """Detection metrics of every parameter cell of a swept, scored table."""
-    return confusion(df, threshold, cell).join(auc_ap(score_curve(df, cell), cell), list(cell))
+    """Detection metrics of every parameter cell of a swept, scored table, with the
+    detection rate at one false positive in a hundred."""
+    curve = materialize(score_curve(df, cell), "sweep-curve")
+    at_budget = curve.groupBy(*cell).agg(F.coalesce(
+        F.max(F.when(F.col("fpr") <= 0.01, F.col("tpr"))), F.lit(0.0)).alias("detection_at_fpr_1pct"))
+    return confusion(df, threshold, cell).join(auc_ap(curve, cell), list(cell)).join(at_budget, list(cell))
+
+
+def difficulty_grid(connections: DataFrame, hardness: Sequence[float], drifts: Sequence[float],
+                    scorer: Column) -> DataFrame:
+    """(hardness, drift, label, score): the labelled connections once per grid cell, blended
+    toward the opposite label, then drifted, then scored by ``scorer`` over their features.
+    Cells blend and drift alike wherever they run, so one cell of the grid stands alone."""
+    out = None
+    for h in hardness:
+        blended = materialize(augment.blend_opposite(connections, h), "sweep-blend")
+        for d in drifts:
+            moved = augment.drift(blended, d).withColumn("_y", F.col("label"))
+            scored = extract_features(moved, keep=("_y",)).select(
+                F.lit(float(h)).alias("hardness"), F.lit(float(d)).alias("drift"),
+                F.col("_y").alias("label"), scorer.alias("score"))
+            out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        raise ValueError("a sweep needs at least one hardness and one drift")
+    return out
 
 
 def select_model(candidates: DataFrame, cheap: str, costly: str, margin: float) -> DataFrame:

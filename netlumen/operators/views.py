@@ -105,6 +105,38 @@ def alert_queue(states: DataFrame, nodes: DataFrame, limit: int = 80) -> DataFra
         "severity", "score", "alert_count", "last_alert_at")
 
 
+def node_detail(nodes: DataFrame, states: DataFrame, links: DataFrame, alerts: DataFrame,
+                context: DataFrame | None = None, alert_limit: int = 25, node: str | None = None) -> DataFrame:
+    """One nested row per device, or of ``node`` alone: its inventory, its live state (NULL
+    without one), its neighbours in id order, its newest alerts and its telemetry.
+
+    ``alerts`` name their device in node_id; ``context`` may add top_peers and top_ports per
+    node_id. The filter on one device is applied to every input before anything is
+    gathered. A neighbour list is as long as a device has links."""
+    from netlumen.operators.topology import neighbours
+
+    near = neighbours(links, node)
+    if node is not None:
+        nodes, states = nodes.filter(F.col("id") == node), states.filter(F.col("node_id") == node)
+        alerts = alerts.filter(F.col("node_id") == node)
+        context = None if context is None else context.filter(F.col("node_id") == node)
+    whole = lambda df, name: df.select(F.col("node_id").alias("id"), F.struct("*").alias(name))
+    peers = near.groupBy("id").agg(F.array_sort(F.collect_list(
+        F.struct(F.col("peer").alias("id"), "kind"))).alias("neighbours"))
+    fields = [c for c in alerts.columns if c != "node_id"]
+    last = newest_per(alerts, "node_id", alert_limit, "detected_at").groupBy(F.col("node_id").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("rn", F.struct(*fields).alias("a")))).alias("_a"))
+    out = nodes.select("id", F.struct("*").alias("node"))
+    for part in (whole(states, "state"), peers, last, *([] if context is None else [whole(context, "_c")])):
+        out = out.join(part, "id", "left")
+    told = [] if context is None else [F.col("_c.top_peers"), F.col("_c.top_ports")]
+    listed = [F.col(f"node.{c}") for c in ("services", "discovered_by") if c in nodes.columns]
+    return out.select(
+        "id", "node", "state", F.coalesce("neighbours", F.array()).alias("neighbours"),
+        F.transform(F.coalesce("_a", F.array()), lambda x: x["a"]).alias("alerts"),
+        F.struct(F.coalesce("state.alert_count", F.lit(0)).alias("alert_count"), *told, *listed).alias("telemetry"))
+
+
 def ticket_rule(states: DataFrame, floor: str) -> DataFrame:
     """State rows severe enough to open a ticket."""
     from netlumen.functions.severity import SCALE

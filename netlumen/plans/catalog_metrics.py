@@ -181,19 +181,26 @@ def backlog_bounded(spark, sf):
 _CELL = "CASE event_type WHEN 'click' THEN 0e0 WHEN 'view' THEN 0.05e0 ELSE 0.1e0 END AS hardness, CASE WHEN dst_port < 1024 THEN 0e0 ELSE 0.4e0 END AS drift"
 
 
-@reg.query("difficulty_sweep", duck_with(
+AREAS_SQL = f"""CASE WHEN max(p) > 0 AND max(n) > 0 THEN {sql6('sum(fph * (tp - tph / 2e0)) / nullif(max(p), 0) / nullif(max(n), 0)')} END AS roc_auc,
+ CASE WHEN max(p) > 0 AND max(n) > 0 THEN {sql6('sum(tph * (CAST(tp AS DOUBLE) / (tp + fp))) / nullif(max(p), 0)')} END AS pr_auc"""
+
+
+def rounded_rates(df, *more):
+    return _rounded(df, (*_ROUND, *more))
+
+
+@reg.query("cell_metrics", duck_with(
     "fx_alerts", f"cells AS (SELECT *, {_CELL} FROM fx_alerts)", *curve_ctes("cells", "hardness, drift")) +
-    "SELECT c.*, a.roc_auc, a.pr_auc FROM (" + rates_sql(counts_sql("cells", "hardness, drift"), "hardness, drift") +
-    f""") c JOIN (SELECT hardness, drift, CASE WHEN max(p) > 0 AND max(n) > 0 THEN {sql6('sum(fph * (tp - tph / 2e0)) / nullif(max(p), 0) / nullif(max(n), 0)')} END AS roc_auc,
- CASE WHEN max(p) > 0 AND max(n) > 0 THEN {sql6('sum(tph * (CAST(tp AS DOUBLE) / (tp + fp))) / nullif(max(p), 0)')} END AS pr_auc
- FROM curve GROUP BY 1, 2) a ON a.hardness = c.hardness AND a.drift = c.drift""")
-def difficulty_sweep(spark, sf):
+    "SELECT c.*, a.roc_auc, a.pr_auc, a.detection_at_fpr_1pct FROM (" + rates_sql(counts_sql("cells", "hardness, drift"), "hardness, drift") +
+    f""") c JOIN (SELECT hardness, drift, {AREAS_SQL},
+ {sql6('coalesce(max(CASE WHEN fpr <= 0.01e0 THEN tpr END), 0e0)')} AS detection_at_fpr_1pct FROM curve GROUP BY 1, 2) a ON a.hardness = c.hardness AND a.drift = c.drift""")
+def cell_metrics(spark, sf):
     cells = inputs.alerts(spark, sf).withColumns({
         "hardness": F.when(F.col("event_type") == "click", 0.0)
         .when(F.col("event_type") == "view", 0.05).otherwise(0.1),
         "drift": F.when(F.col("dst_port") < 1024, 0.0).otherwise(0.4)})
     out = metrics.sweep(cells, ["hardness", "drift"], F.lit(THR))
-    return _rounded(out, (*_ROUND, "roc_auc", "pr_auc"))
+    return rounded_rates(out, "roc_auc", "pr_auc", "detection_at_fpr_1pct")
 
 
 @reg.query("model_select", duck_with("fx_alerts") + f"""SELECT {sql6('c')} AS cheap_f1, {sql6('k')} AS costly_f1, {sql6('k - c')} AS gain,

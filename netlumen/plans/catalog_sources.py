@@ -10,6 +10,7 @@ from netlumen.plans import discovery, inputs
 from netlumen.plans.catalog_views import MAC_SQL
 from netlumen.plans.registry import Registry, r6, sql6
 from netlumen.schemas import CONNECTION_FIELDS, as_connections
+from netlumen.session import scratch_path
 from netlumen.sources import alerts as codec
 from netlumen.sources import datasets, lldp, neighbours, snmp, topology_io
 
@@ -163,6 +164,17 @@ def connection_schema(spark, sf):
                          for c in CONNECTION_FIELDS])
 
 
+def _as_csv(spark, raw, label):
+    """``raw`` as a folder of CSV files under two spellings of its heading, every text as it is."""
+    folder = scratch_path(spark, label)
+    odd = F.pmod(F.xxhash64(*raw.columns), F.lit(2)) == 1
+    shouted = raw.filter(odd).toDF(*[f" {c.upper().replace('_', ' ')}" for c in raw.columns])
+    for part in (raw.filter(~odd), shouted):
+        part.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(folder)
+    return folder
+
+
 @reg.query("unsw_adapter", f"""SELECT class, CAST(dense_rank() OVER (ORDER BY class) - 1 AS INTEGER) AS class_id, count(*) AS flows, {sql6('sum(iat_mean)')} AS iat_mean, {sql6('sum(iat_min)')} AS iat_min,
  {sql6('sum(size_std)')} AS pkt_size_std, {sql6('sum(syn)')} AS syn_count, {sql6('sum(proto)')} AS protocol, {sql6('sum(lab)')} AS label FROM (
  SELECT CASE WHEN l_returnflag = 'R' THEN 'Recon' WHEN l_returnflag = 'A' THEN 'DoS' ELSE 'Normal' END AS class, CASE WHEN l_discount > 0 THEN (l_quantity + l_discount * 100) / 1000 / 2 ELSE l_quantity / 1000 END AS iat_mean,
@@ -177,7 +189,7 @@ def unsw_adapter(spark, sf):
         text(F.col("l_quantity")).alias("smean"), text(F.col("l_tax") * 100).alias("dmean"),
         F.when(F.col("l_linestatus") == "F", "fin").otherwise("ACC").alias("state"),
         F.when(F.col("l_returnflag") == "R", " Recon ").when(F.col("l_returnflag") == "A", "DoS").alias("attack_cat"))
-    out = datasets.unsw_connections(raw)
+    out = datasets.load_unsw(spark, _as_csv(spark, raw, "unsw"))
     sums = ("iat_mean", "iat_min", "pkt_size_std", "syn_count", "protocol", "label")
     return out.groupBy("class", "class_id").agg(
         F.count(F.lit(1)).alias("flows"), *[r6(F.sum(c)).alias(c) for c in sums])
@@ -192,7 +204,7 @@ def cic_adapter(spark, sf):
         F.when(F.col("l_linestatus") == "F", "Infinity").otherwise(F.col("l_extendedprice").cast("string")).alias("flow_duration"),
         F.col("l_quantity").cast("string").alias("total_length_of_fwd_packets"),
         F.when(F.col("l_returnflag") == "N", " benign").otherwise("DDoS ").alias("label"))
-    out = datasets.cic_connections(raw)
+    out = datasets.load_cic(spark, _as_csv(spark, raw, "cic"))
     return out.groupBy("class", "class_id").agg(
         F.count(F.lit(1)).alias("flows"), *[r6(F.sum(c)).alias(c) for c in ("duration", "orig_bytes", "label")],
         F.max("src_port").alias("src_port"))
@@ -231,14 +243,19 @@ def drift_identity(spark, sf):
     return augment.drift(inputs.connections(spark, sf), 0.0).select("flow_id", "orig_bytes", "iat_max")
 
 
-def _unit_sql(seed: int) -> str:
+def unit_sql(seed: int) -> str:
     return f"((CAST(CAST(concat('0x', substr(sha256('{seed}:' || flow_id), 1, 13)) AS BIGINT) AS DOUBLE) + 0.5e0) / 4503599627370496e0)"
 
 
-def _drifted_sql(column: str, amount: float = 0.4, seed: int = 7) -> str:
+def normal_sql(column: str, seed: int = 7) -> str:
+    """The column's normal draw, times its spread."""
     i = list(augment.DRIFT).index(column)
-    u, v = _unit_sql(seed + 10 * i), _unit_sql(seed + 10 * i + 1)
-    return f"({column} * exp(sqrt(-2e0 * ln({u})) * cos(2e0 * pi() * {v}) * {amount * augment.DRIFT[column]!r}))"
+    u, v = unit_sql(seed + 10 * i), unit_sql(seed + 10 * i + 1)
+    return f"(sqrt(-2e0 * ln({u})) * cos(2e0 * pi() * {v}) * {augment.DRIFT[column]!r}e0)"
+
+
+def _drifted_sql(column: str, amount: float = 0.4) -> str:
+    return f"({column} * exp({amount}e0 * {normal_sql(column)}))"
 
 
 @reg.query("drift_augmented", duck_with("fx_connections") + f"""SELECT flow_id, {sql6(_drifted_sql('orig_bytes'))} AS orig_bytes,
@@ -259,16 +276,17 @@ def invariants(spark, sf):
     return out.select("flow_id", "orig_pkts", "ack_count", *[r6(n).alias(n) for n in names])
 
 
-_MIXED = lambda c: f"exp((1 - w) * ln(greatest({c}, 1e-6)) + w * ln(greatest(p_{c}, 1e-6)))"
+def mixed_sql(column: str) -> str:
+    return f"exp((1 - w) * ln(greatest({column}, 1e-6)) + w * ln(greatest(p_{column}, 1e-6)))"
 
 
 @reg.query("blend_opposite", duck_with(
     "fx_connections", """c AS (SELECT *, CASE WHEN label > 0.5 THEN 1 ELSE 0 END AS y FROM fx_connections WHERE label >= 0)""",
     f"""d AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY substr(sha256('11:' || flow_id), 1, 16), flow_id, start_ts, orig_bytes, payload_entropy, duration) AS no,
- (SELECT count(*) FROM c) - count(*) OVER (PARTITION BY y) AS m, {_unit_sql(12)} AS pick, {_unit_sql(13)} AS ask, 0.2e0 + 0.5e0 * {_unit_sql(14)} AS w, {_unit_sql(15)} AS take FROM c)""",
+ (SELECT count(*) FROM c) - count(*) OVER (PARTITION BY y) AS m, {unit_sql(12)} AS pick, {unit_sql(13)} AS ask, 0.2e0 + 0.5e0 * {unit_sql(14)} AS w, {unit_sql(15)} AS take FROM c)""",
     """e AS (SELECT a.*, b.orig_bytes AS p_orig_bytes, b.orig_pkts AS p_orig_pkts, b.dst_port AS p_dst_port, b.flow_id IS NOT NULL AS hit
  FROM d a LEFT JOIN d b ON a.pick < 0.05e0 AND b.y = 1 - a.y AND b.no = floor(a.ask * a.m) + 1)""") + f"""SELECT flow_id, label,
- {sql6(f"CASE WHEN hit THEN greatest({_MIXED('orig_bytes')}, 40 * greatest(round_even({_MIXED('orig_pkts')}, 0), 1e0)) ELSE orig_bytes END")} AS orig_bytes,
+ {sql6(f"CASE WHEN hit THEN greatest({mixed_sql('orig_bytes')}, 40 * greatest(round_even({mixed_sql('orig_pkts')}, 0), 1e0)) ELSE orig_bytes END")} AS orig_bytes,
  CASE WHEN hit AND take < w THEN p_dst_port ELSE dst_port END AS dst_port FROM e""")
 def blend_opposite(spark, sf):
     labelled = inputs.connections(spark, sf).filter(F.col("label") >= 0)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netlumen.fixtures import duck_with
-from netlumen.operators import layout, topology
+from netlumen.operators import layout, state, topology, views
 from netlumen.plans import inputs
 from netlumen.plans.catalog_state import AS_OF, attr_sql
 from netlumen.plans.catalog_views import MAC_SQL, VENDOR_SQL, nodes, states
-from netlumen.plans.registry import Registry, decay_ctes, r6, sql6, state_ctes
+from netlumen.plans.registry import ATTRIBUTION_CTES, Registry, decay_ctes, r6, sql6, state_ctes
+from netlumen.session import materialize
 from netlumen.sources.oui import builtin
 
 reg = Registry()
@@ -144,6 +145,29 @@ def orphan_states(spark, sf):
     return topology.drop_orphans(states(spark, sf), kept).select("node_id")
 
 
+@reg.query("node_detail", duck_with(
+    "fx_nodes fx_links fx_alerts", *ATTRIBUTION_CTES, *decay_ctes(until=AS_OF), *state_ctes(AS_OF), *_ENDS, _BOTH,
+    "near AS (SELECT id, string_agg(peer || ' ' || kind, ',' ORDER BY peer, kind) AS neighbours FROM both_ GROUP BY id)",
+    """newest AS (SELECT node_id, string_agg(flow_id, ',' ORDER BY detected_at DESC, event_id DESC) AS alerts FROM (
+ SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY detected_at DESC, event_id DESC) AS k FROM ev) WHERE k <= 25 GROUP BY node_id)""",
+    """ports AS (SELECT node_id, string_agg(i, ',' ORDER BY o DESC) AS top_ports FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY o DESC) AS r
+ FROM (SELECT node_id, CAST(dst_port AS VARCHAR) AS i, max(event_id) AS o FROM ev GROUP BY 1, 2)) WHERE r <= 5 GROUP BY 1)""") +
+    f"""SELECT nd.id, name, vendor, l.severity, {sql6('l.score')} AS score, coalesce(l.alert_count, 0) AS alert_count, coalesce(neighbours, '') AS neighbours,
+ coalesce(alerts, '') AS alerts, coalesce(top_ports, '') AS top_ports FROM nd LEFT JOIN live l ON l.node_id = nd.id
+ LEFT JOIN near ON near.id = nd.id LEFT JOIN newest ON newest.node_id = nd.id LEFT JOIN ports ON ports.node_id = nd.id""")
+def node_detail(spark, sf):
+    """What is known of every device, its nested parts as text."""
+    events = materialize(inputs.state_events(spark, sf), "events")       # three readers
+    live = state.state_at(events, inputs.last_detection(spark, sf))
+    out = views.node_detail(nodes(spark, sf), live, links(spark, sf), events, state.recent_context(events))
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return out.select(
+        "id", "node.name", "node.vendor", "state.severity", r6("state.score").alias("score"),
+        "telemetry.alert_count", text("neighbours", lambda n: F.concat_ws(" ", n["id"], n["kind"])).alias("neighbours"),
+        text("alerts", lambda a: a["flow_id"]).alias("alerts"),
+        F.coalesce(F.array_join(F.col("telemetry.top_ports").cast("array<string>"), ","), F.lit("")).alias("top_ports"))
+
+
 @reg.query("removed_nodes", duck_with("fx_nodes") + "SELECT id FROM fx_nodes WHERE device_type = 'server'")
 def removed_nodes(spark, sf):
     before = nodes(spark, sf)

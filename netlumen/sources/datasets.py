@@ -55,14 +55,16 @@ def _clean(name: str) -> str:
 
 def read_csvs(spark: SparkSession, files: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
     """Union by cleaned column name; every cell stays text until it is mapped. Files with
-    the same heading line are one read, and all headings come from one pass."""
-    first = spark.read.option("encoding", encoding).text(list(files)).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    headings = first.groupBy("file").agg(F.min_by("value", "at").alias("heading"))
-    groups = headings.groupBy("heading").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("files")
+    the same heading line are one read; a heading is asked of a task that stops after it,
+    so that no file is read twice. A file without a line is left out."""
+    groups: dict[str, list[str]] = {}
+    for file in files:
+        first = spark.read.option("encoding", encoding).text(file).first()
+        if first is not None:
+            groups.setdefault(first["value"], []).append(file)
     out = None
-    for row in groups.collect():            # one row per distinct heading
-        df = spark.read.option("header", True).option("encoding", encoding).csv(row["files"])
+    for alike in sorted(sorted(g) for g in groups.values()):
+        df = spark.read.option("header", True).option("encoding", encoding).csv(alike)
         df = df.toDF(*[_clean(c) for c in df.columns])
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
