@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from netlumen.operators.scan import exact_quantiles, histogram_quantiles, values_at_ranks
+from netlumen.session import materialize
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -104,6 +105,7 @@ def grid_sensitivity(df: DataFrame, metric: Callable[[dict[str, Column]], tuple[
 
 
 def grid_summary(cells: DataFrame, target: float = 0.40) -> DataFrame:
+    cells = materialize(cells, "grid")          # one row per point, read several times
     med = exact_quantiles(cells, "improvement", (0.5,)).agg(F.max("value")).scalar()
     return cells.agg(
         F.min("improvement").alias("min"), F.max("improvement").alias("max"),

@@ -91,3 +91,15 @@ def test_quantiles_from_counts(spark):
     hot = pdf[pdf.k == "hot"].v
     assert np.allclose([got.a, got.b, got.c], [pdf.v.median(), hot.quantile(0.99), pdf.v.min()])
     assert stats.nearest_rank(spark.createDataFrame(pdf), "v", 0.95).first()["value"] == sorted(pdf.v)[int(len(pdf) * 0.95)]
+
+
+def test_quantile_joins_broadcast_ranks_only(spark):
+    """Exploded rows look small to Spark; the side that holds them must not be broadcast."""
+    rows = spark.range(2000).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(30)))).withColumn(
+        "v", (F.col("id") * (F.col("k") + 1)).cast("double"))
+    ranks = spark.createDataFrame([(k, 7) for k in range(31)], "k int, rank long")
+    for out in (scan.exact_quantiles(rows, "v", (0.5,), ["k"]), scan.values_at_ranks(rows, "v", ranks, ["k"])):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "LeftSemi, BuildRight" in plan and "BuildLeft" not in plan
+    got = scan.exact_quantiles(rows, "v", (0.5,), ["k"]).toPandas().set_index("k")["value"]
+    assert got.to_dict() == {k: 999.5 * (k + 1) for k in range(31)}
