@@ -88,9 +88,11 @@ def stream_node_states(spark, sf):
     f"SELECT flow_id, {sql6('orig_bytes')} AS orig_bytes, tls_sni_len, {sql6('duration')} AS duration FROM m")
 def stream_merge(spark, sf):
     """Partial records at most a day apart, all sessions of the table."""
+    # Chosen inside the job, so that shuffle, state and sink hold these columns only.
     merged = jobs.run_bounded(
         stream_view(spark, sf, "fx_connections"), "start_ts",
-        lambda records: jobs.merge_stream(records, MERGE_ORDER, "0 seconds", gap="86400 seconds"), "merged")
+        lambda records: jobs.merge_stream(records, MERGE_ORDER, "0 seconds", gap="86400 seconds").select(
+            "flow_id", "orig_bytes", "tls_sni_len", "duration"), "merged")
     return merged.select("flow_id", r6("orig_bytes").alias("orig_bytes"), "tls_sni_len", r6("duration").alias("duration"))
 
 

@@ -157,3 +157,18 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, sf, tmp_path):
     for path in (f"{sf}/events.parquet", folder, folder + "/"):
         out = jobs.run_to_table(jobs.file_stream(spark, path).select("event_id"), "as-stream")
         assert out.count() == out.distinct().count() == 1000, path
+
+
+def test_stream_merge_state_holds_asked_columns_only(spark, sf, monkeypatch):
+    """What the query does not return is neither aggregated, nor kept in state, nor written."""
+    from netlumen.plans import catalog_stream
+
+    seen = {}
+
+    def bounded(stream, ts, job, label):
+        seen["plan"] = str(job(inputs.connections(spark, sf))._jdf.queryExecution().sparkPlan())
+        return stream.sparkSession.createDataFrame([], "flow_id string, orig_bytes double, tls_sni_len double, duration double")
+
+    monkeypatch.setattr(catalog_stream.jobs, "run_bounded", bounded)
+    assert catalog_stream.stream_merge(spark, sf).columns == ["flow_id", "orig_bytes", "tls_sni_len", "duration"]
+    assert "sum(orig_bytes" in seen["plan"] and "resp_bytes" not in seen["plan"] and "pkt_size_mean" not in seen["plan"]
