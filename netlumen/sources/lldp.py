@@ -9,21 +9,20 @@ from netlumen.functions.devices import capability_type
 from netlumen.functions.net import bind, normalize_mac
 from netlumen.operators.topology import observations
 from netlumen.schemas import LINK_OBSERVATION
-from netlumen.sources.neighbours import line_order
+from netlumen.sources.neighbours import dealt, line_order
 
 SOURCE = "lldp"
 
 
 def _object(text: Column) -> Column:
     """JSON object as name -> raw JSON text; NULL for anything else."""
-    return F.when(F.startswith(F.ltrim(text), F.lit("{")), F.from_json(text, "map<string,string>"))
+    return bind(text, lambda t: F.when(F.startswith(F.ltrim(t), F.lit("{")), F.from_json(t, "map<string,string>")))
 
 
 def _items(text: Column) -> Column:
     """A JSON list as raw items; a single value as a list of one; NULL as empty."""
-    return F.when(text.isNull(), F.array().cast("array<string>")).when(
-        F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, "array<string>")
-    ).otherwise(F.array(text))
+    return bind(text, lambda t: F.when(t.isNull(), F.array().cast("array<string>")).when(
+        F.startswith(F.ltrim(t), F.lit("[")), F.from_json(t, "array<string>")).otherwise(F.array(t)))
 
 
 def _leaf(text: Column) -> Column:
@@ -59,7 +58,7 @@ def _observed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_json(dumps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reports as JSON: interfaces may be a list of named objects, a list of one-key
     objects, or an object keyed by interface. ``dumps`` has dump, text, local_name."""
-    top = dumps.select("dump", "local_name", _object(F.col("text")).alias("t"))
+    top = dealt(dumps).select("dump", "local_name", _object(F.col("text")).alias("t"))
     root = top.select("dump", "local_name", F.coalesce(
         _object(_field(F.col("t"), "lldp")), F.col("t")).alias("r"))
     faces = root.select("dump", "local_name", F.coalesce(
