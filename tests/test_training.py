@@ -89,3 +89,41 @@ def test_mix_errors_and_defaults():
     assert augment.normalised_mix({"a": 2}, ("a", "b")) == {"a": 1.0, "b": 0.0}
     with pytest.raises(ValueError):
         augment.normalised_mix({"a": 0}, ("a", "b"))
+
+
+def test_only_the_edge_of_a_split_is_ranked(spark, monkeypatch):
+    """Labels of few and many rows, equal keys at the cut, and shares that take all or none."""
+    ranked = []
+    running = augment.running
+    monkeypatch.setattr(augment, "running", lambda df, *a, **b: ranked.append(df.count()) or running(df, *a, **b))
+    rows = spark.range(9000).select(F.concat(F.lit("f"), F.floor(F.col("id") / 2).cast("string")).alias("flow_id"),
+                                    F.when(F.col("id") < 3, 1.0).otherwise(0.0).alias("label"), "id")
+    for share, want in ((0.75, {0.0: 6747, 1.0: 2}), (1.0, {0.0: 8997, 1.0: 3}), (0.0, {})):
+        got = augment.stratified_split(rows, train=share)
+        assert got.columns == ["flow_id", "label", "id", "is_train"] and got.count() == 9000
+        assert {r["label"]: r["count"] for r in got.filter("is_train").groupBy("label").count().collect()} == want
+        order = got.filter("label = 0").groupBy("is_train").agg(F.min(augment.shuffled(20240917, "flow_id")).alias("a"),
+                                                                F.max(augment.shuffled(20240917, "flow_id")).alias("b"))
+        ends = {r["is_train"]: r for r in order.collect()}
+        assert len(ends) < 2 or ends[True]["b"] <= ends[False]["a"]
+    assert max(ranked) < 100
+
+
+def test_least_hashed_rows(spark):
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("flow_id"), "id")
+    want = {r["id"] for r in rows.orderBy(F.xxhash64(F.lit(5), "flow_id"), "flow_id").limit(700).collect()}
+    assert {r["id"] for r in training.least_hashed(rows, 700, 5).collect()} == want
+    assert training.least_hashed(rows, 9000, 5).count() == 5000
+
+
+def test_a_sweep_numbers_its_pool_once(spark, conns, monkeypatch):
+    """The hardest cell's blends hold the others'; each cell is what it is alone."""
+    calls = []
+    running = augment.running
+    monkeypatch.setattr(augment, "running", lambda df, *a, **b: calls.append(len(df.columns)) or running(df, *a, **b))
+    grid = metrics.difficulty_grid(conns, (0.0, 0.3, 0.6), (0.0,), F.col("log_total_bytes"))
+    assert calls and len(calls) == 1 and calls[0] < len(conns.columns)
+    for h in (0.3, 0.6):
+        alone = extract_features(augment.blend_opposite(conns, h)).select(F.round("log_total_bytes", 9).alias("s"))
+        cell = grid.filter(F.col("hardness") == h).select(F.round("score", 9).alias("s"))
+        assert alone.exceptAll(cell).count() == 0 and cell.exceptAll(alone).count() == 0
