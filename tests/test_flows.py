@@ -7,6 +7,7 @@ from netlumen.functions.features import extract_features
 from netlumen.operators import flows
 from netlumen.plans import inputs
 from netlumen.plans.catalog_flows import MERGE_ORDER
+from netlumen.plans.registry import r6, r6_plain
 from netlumen.schemas import PACKET
 
 BASE = 1_700_000_000.0
@@ -107,3 +108,31 @@ def test_merge_is_weighted_and_associative(spark, sf):
 def test_merged_records_make_features(spark, sf):
     merged = flows.merge_partials(inputs.connections(spark, sf), MERGE_ORDER)
     assert extract_features(merged).count() == merged.count()
+
+
+def test_merge_sorts_records_once(spark, sf):
+    """Input splits are not sorted before the shuffle."""
+    executed = flows.merge_partials(inputs.connections(spark, sf), MERGE_ORDER)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Sort [flow_id") == 1 and executed.count("Exchange") == 1
+
+
+def test_crowded_and_nameless_flows_merge_alike(spark, sf):
+    conns = inputs.connections(spark, sf).filter("orig_bytes % 5 = 0")
+    hot, nameless = (conns.withColumn("flow_id", F.lit(x).cast("string")).limit(40) for x in ("hot", None))
+    rows = conns.unionByName(hot).unionByName(nameless)
+    cols = ["flow_id", "src_ip", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("orig_bytes", "iat_mean", "start_ts", "label")]]
+    pick = lambda crowd: sorted(map(str, flows.merge_partials(rows, MERGE_ORDER, crowd=crowd).select(*cols).collect()))
+    found = flows._crowded(rows, 30)
+    assert {r.flow_id for r in rows.filter(found).select("flow_id").distinct().collect()} == {"hot", None}
+    assert flows._crowded(conns, 30) is None
+    assert pick(30) == pick(10**6) and len(pick(30)) == conns.select("flow_id").distinct().count() + 2
+
+
+def test_plain_rounding_gives_the_same_doubles(spark):
+    rng = random.Random(4)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 5e-324, -1e-7, 0.5e-6, 1.5e-6, 2.5e-6 - 1e-9, 1e15, -1e300, 2.0 ** 50 / 1e6]
+    some = [f() for _ in range(3000) for f in (
+        lambda: rng.uniform(-1, 1) * 10 ** rng.randint(-9, 12), lambda: (rng.randint(-10**9, 10**9) + 0.5) / 1e6 - 1e-9,
+        lambda: rng.randint(0, 10**16) / 1e6)]
+    rows = spark.createDataFrame([(x,) for x in odd + some], "x double").select(r6("x").alias("a"), r6_plain("x").alias("b")).collect()
+    assert [repr(r.a) for r in rows] == [repr(r.b) for r in rows]
