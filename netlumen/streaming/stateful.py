@@ -28,6 +28,10 @@ from netlumen.schemas import CONNECTION_FIELDS, CONNECTION_STRINGS, LABEL_UNKNOW
 FLOW_OUTPUT = T.StructType(
     [T.StructField(n, T.StringType() if n in CONNECTION_STRINGS else T.DoubleType())
      for n in CONNECTION_FIELDS] + [T.StructField("reason", T.StringType())])
+# The same on its way from Python: every column of a frame has its price, once per key.
+_FLOW_TEXTS, _FLOW_NUMBERS = (*CONNECTION_STRINGS, "reason"), [f.name for f in FLOW_OUTPUT if isinstance(f.dataType, T.DoubleType)]
+_FLOW_PACKED = T.StructType([T.StructField(n, T.StringType()) for n in _FLOW_TEXTS]
+                            + [T.StructField("numbers", T.ArrayType(T.DoubleType()))])
 # One JSON text per key: the accumulators of the open segment.
 _TEXT_STATE = T.StructType([T.StructField("body", T.StringType())])
 _FLAGS = (("syn", 2), ("ack", 16), ("fin", 1), ("rst", 4), ("psh", 8), ("urg", 32))
@@ -44,7 +48,8 @@ _LOWS, _HIGHS = {"gap_min": math.inf, "size_min": math.inf}, {"gap_max": 0.0, "s
 
 
 def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    batch = pd.concat(list(rows))
+    frames = list(rows)
+    batch = frames[0] if len(frames) == 1 else pd.concat(frames)
     # A closing event has a time and nothing else.
     return batch[batch["event_id"].notna()].sort_values(["ts", "event_id"], ignore_index=True)
 
@@ -103,13 +108,16 @@ def _accumulated(b: pd.DataFrame, starts: np.ndarray, s: dict | None) -> list[di
     cell, counts = np.unique(which * 65536 + bins, return_counts=True)
     ends = np.append(starts[1:], n) - 1
     out = []
-    opener = b.iloc[starts][["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "event_id"]].to_dict("records")
-    where = np.searchsorted(cell, np.arange(len(starts) + 1) * 65536)
+    ends_of = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "event_id")
+    opener = [dict(zip(ends_of, x)) for x in zip(*(b[c].to_numpy()[starts].tolist() for c in ends_of))]
+    sides = {c: v.tolist() for part in (sums, lows, highs) for c, v in part.items()}
+    started, ended, came_low, fins = ts[starts].tolist(), ts[ends].tolist(), first_low.tolist(), fins.tolist()
+    places, counts = (cell % 65536).astype(str).tolist(), counts.tolist()
+    where = np.searchsorted(cell, np.arange(len(starts) + 1) * 65536).tolist()
     for i, head in enumerate(opener):
         i0, i1 = where[i], where[i + 1]
-        out.append({**head, "start": float(ts[starts[i]]), "last": float(ts[ends[i]]), "low": bool(first_low[i]),
-                    "fins": int(fins[i]), "bins": dict(zip((cell[i0:i1] % 65536).astype(str).tolist(), counts[i0:i1].tolist())),
-                    **{c: float(v[i]) for part in (sums, lows, highs) for c, v in part.items()}})
+        out.append({**head, "start": started[i], "last": ended[i], "low": came_low[i], "fins": fins[i],
+                    "bins": dict(zip(places[i0:i1], counts[i0:i1])), **{c: v[i] for c, v in sides.items()}})
     if s:
         now = out[0]
         out[0] = {**s, "last": now["last"], "fins": s["fins"] | now["fins"],
@@ -146,12 +154,24 @@ def _record(s: dict, hashed: str, reason: str) -> dict:
 
 
 def _frame(rows: list[dict], schema: T.StructType) -> Iterator[pd.DataFrame]:
+    # Typed column by column before the frame is made: casting columns of a frame costs far more than a key's rows.
     if rows:
-        df = pd.DataFrame(rows, columns=schema.names)
-        for f in schema:
-            if isinstance(f.dataType, T.DoubleType):
-                df[f.name] = df[f.name].astype("float64")
-        yield df
+        yield pd.DataFrame({f.name: np.array([r[f.name] for r in rows], "float64" if isinstance(f.dataType, T.DoubleType) else None)
+                            if not isinstance(f.dataType, T.StringType) else np.array([r[f.name] for r in rows], object)
+                            for f in schema}, copy=False)
+
+
+def _packed(rows: list[dict]) -> Iterator[pd.DataFrame]:
+    if rows:
+        numbers = np.empty(len(rows), object)
+        numbers[:] = [np.array([r[n] for n in _FLOW_NUMBERS], "float64") for r in rows]
+        yield pd.DataFrame({**{n: np.array([r[n] for r in rows], object) for n in _FLOW_TEXTS}, "numbers": numbers}, copy=False)
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    # What is no number in a frame is NULL in a table.
+    number = {n: F.col("numbers")[i] for i, n in enumerate(_FLOW_NUMBERS)}
+    return packed.select(*[F.when(~F.isnan(number[n]), number[n]).alias(n) if n in number else n for n in FLOW_OUTPUT.names])
 
 
 class FlowAssembler(StatefulProcessor):
@@ -185,7 +205,7 @@ class FlowAssembler(StatefulProcessor):
             self.state.update((json.dumps({**states[-1], "hash": hashed}),))
             # One timer per update; those that were overtaken are recognised when they fire.
             self.handle.registerTimer(self._due(states[-1]))
-        yield from _frame(out, FLOW_OUTPUT)
+        yield from _packed(out)
 
     def _due(self, s: dict) -> int:
         return int(math.ceil((s["last"] + self.t.idle) * 1000))
@@ -194,7 +214,7 @@ class FlowAssembler(StatefulProcessor):
         s = self._load()
         if s and self._due(s) <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
-            yield from _frame([_record(s, s["hash"], "idle")], FLOW_OUTPUT)
+            yield from _packed([_record(s, s["hash"], "idle")])
 
     def close(self) -> None:
         pass
@@ -205,8 +225,8 @@ def assemble_flows(packets: DataFrame, lateness: str, timeouts: Timeouts = TIMEO
     ``lateness`` behind are dropped: part them off first with ``jobs.late_rows``."""
     rows = event_time(keyed(packets)).withColumn(
         "key_hash", F.substring(F.sha2("flow_key", 256), 1, 12))
-    return (rows.withWatermark("event_time", lateness).groupBy("flow_key")
-            .transformWithStateInPandas(FlowAssembler(timeouts), FLOW_OUTPUT, "append", "EventTime"))
+    return _unpacked(rows.withWatermark("event_time", lateness).groupBy("flow_key").transformWithStateInPandas(
+        FlowAssembler(timeouts), _FLOW_PACKED, "append", "EventTime"))
 
 
 STATE_OUTPUT = T.StructType([

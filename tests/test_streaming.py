@@ -172,3 +172,29 @@ def test_stream_merge_state_holds_asked_columns_only(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog_stream.jobs, "run_bounded", bounded)
     assert catalog_stream.stream_merge(spark, sf).columns == ["flow_id", "orig_bytes", "tls_sni_len", "duration"]
     assert "sum(orig_bytes" in seen["plan"] and "resp_bytes" not in seen["plan"] and "pkt_size_mean" not in seen["plan"]
+
+
+def test_flows_leave_python_in_few_columns(spark):
+    """A column of a frame costs the same for one flow as for thousands, and each conversation has its own frame."""
+    import pandas as pd
+
+    class Handle:
+        body = None
+        exists = lambda self: self.body is not None
+        get, clear = lambda self: self.body, lambda self: setattr(self, "body", None)
+        update, registerTimer = lambda self, v: setattr(self, "body", v), lambda self, at: None
+        getValueState = lambda self, *a: self
+
+    rows = pd.DataFrame([(1, 10.0, "a", "b", None, 2, 6, 60, 2, 0, False, True, "h"), (2, 11.0, "b", "a", 2, None, 6, 70, 4, 0, True, False, "h"),
+                         (3, 12.0, "a", "b", 1, 2, 6, 80, 16, 0, False, True, "h")],
+                        columns=["event_id", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "tcp_flags",
+                                 "tls_sni_len", "is_http_request", "from_low", "key_hash"])
+    keeper = stateful.FlowAssembler()
+    keeper.init(Handle())
+    frames = list(keeper.handleInputRows(("k",), iter([rows]), None))
+    assert [list(f.columns) for f in frames] == [["flow_id", "src_ip", "dst_ip", "reason", "numbers"]]
+    packed = spark.createDataFrame([(*f[:4], [float(x) for x in f[4]]) for f in frames[0].itertuples(index=False)], stateful._FLOW_PACKED)
+    out = stateful._unpacked(packed)
+    assert out.schema == stateful.FLOW_OUTPUT
+    r = out.first()
+    assert (r.flow_id, r.reason, r.src_port, r.dst_port, r.orig_bytes, r.resp_bytes, r.rst_count) == ("c-h-1", "closed", None, 2.0, 60.0, 70.0, 1.0)
