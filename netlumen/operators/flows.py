@@ -258,7 +258,7 @@ def evicted(open_flows: DataFrame, max_flows: int, last_seen: str = "t1") -> Dat
 
 def _crowded(records: DataFrame, rows: int) -> Column | None:
     """Whether a record is of a flow with ``rows`` records or more; None if there is no such flow.
-    One pass over the ids with a sketch of the commonest, which misses none above a 3,000th of all."""
+    One pass over the ids with a sketch of the commonest, which misses none above a 2,000th of all."""
     found = records.agg(F.expr("approx_top_k(flow_id, 1000, 10000)").alias("top"),
                         F.count_if(F.col("flow_id").isNull()).alias("nameless")).first()
     ids = [t["item"] for t in found["top"] if t["item"] is not None and t["count"] >= rows]
