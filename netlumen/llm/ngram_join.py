@@ -3,12 +3,19 @@
 A text is its set of distinct n-gram hashes; equal sets are one vertex, named by a digest
 of the set. Two different sets x and y link when den * |x & y| >= num * |x | y|.
 
-Candidates. All n-grams have one order, from those of few sets to those of many; a set
-gives its first |x| - ceil(num |x| / den) + 1 in that order, and two linking sets share one
-of those. So a passage or line of many texts makes no candidates: its n-grams come last.
+Candidates. A set of n-grams is cut into bins by hash, about two n-grams a bin, as many bins
+for all sets of a band of sizes. An n-gram that one of two linking sets has alone spoils one
+bin, and there are at most (|x| + |y|) (den - num) / (den + num) of these, so if a set has d
+of them with any partner, two linking sets agree in the whole of one of the first d + 1 bins of
+each, in any one order of bins. A set gives those, for its own band and the one before: bins
+of several n-grams before bins of one, rare n-grams before common ones. So neither a passage or
+line of many texts makes a candidate (its n-grams come last) nor one n-gram that long texts
+happen to share, of which there are more the larger the corpus. Sets of few n-grams, and sets with
+fewer bins than that, give single n-grams: the first |x| - ceil(num |x| / den) + 1 from rare to
+common, of which two linking sets share one as well.
 How common an n-gram is comes from hashed counts over all texts, a byte for each of 2^22
 counters, broadcast at that fixed size; a shared counter only moves an n-gram in the order,
-which may be any as long as it is the same everywhere. Sets of one n-gram whose sizes allow
+which may be any as long as it is the same everywhere. Sets of one key whose sizes allow
 a link are tied to the least of them (``shingles.candidates``).
 
 Clusters of tied sets hold every link between their sets. They are compared in size-banded
@@ -35,19 +42,65 @@ from netlumen.llm import tiles
 from netlumen.llm.common import components, materialize, release
 from netlumen.llm.shingles import (
     buckets_for, candidates, classes, commonness, grams_of, keep_rows, name_sets, one_row_each, rows_of)
+from netlumen.llm.textscan import mix
 
+SMALL, BINS = 16, 0.5            # sets of fewer n-grams have no bins; bins per n-gram of a band's least set
 _U = np.uint64
+_SALT = _U(0x9E3779B97F4A7C15)
 
 
 def rare_keys(gram: np.ndarray, at: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, n-gram) of the n-grams that each set must give."""
-    size = np.diff(at)
-    owner = np.repeat(np.arange(len(size)), size)
-    rank = (common[(gram & _U(len(common) - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (gram >> _U(8))
-    order = np.lexsort((rank, owner))
-    most = size - -(-size * num // den) + 1
-    first = order[(np.arange(len(gram)) - at[owner]) < most[owner]]
-    return owner[first], gram[first]
+    """(set, key) of the keys that each set must give: two linking sets share one."""
+    size, held = np.diff(at), common[(gram & _U(len(common) - 1)).astype(np.int64)]
+    owner, key, covered = _bin_keys(gram, at, held, num, den)
+    # The others, and those that may link with one of the small ones.
+    lone = np.flatnonzero(~covered | (size * num < SMALL * den))
+    spot, lone_at = _of(at, lone)
+    of = np.repeat(np.arange(len(lone)), size[lone])
+    rank = (held[spot].astype(np.uint64) << _U(56)) | (gram[spot] >> _U(8))
+    order = np.lexsort((rank, of))
+    most = size[lone] - -(-size[lone] * num // den) + 1
+    first = order[(np.arange(len(spot)) - lone_at[of]) < most[of]]
+    return np.concatenate([owner, lone[of[first]]]), np.concatenate([key, gram[spot[first]]])
+
+
+def _of(at: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the n-grams of ``some`` sets, and bounds among these."""
+    size = np.diff(at)[some]
+    bounds = np.append(0, np.cumsum(size))
+    return np.arange(bounds[-1]) + np.repeat(at[some] - bounds[:-1], size), bounds
+
+
+def _bin_keys(gram: np.ndarray, at: np.ndarray, held: np.ndarray, num: int, den: int
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key) of whole bins, and which sets these cover: all but the small ones and those
+    with no more bins than a partner may spoil."""
+    covered = np.diff(at) >= SMALL if num < den else np.zeros(len(at) - 1, bool)
+    some = np.flatnonzero(covered)
+    spot, at = _of(at, some)
+    gram, held, size, ratio = gram[spot], held[spot], np.diff(at), den / num
+    value, of = mix(gram ^ _SALT), np.repeat(np.arange(len(some)), size)
+    band = np.floor(np.log(size) / np.log(ratio) + 1e-9) if num < den else size
+    owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    # With sets of its own band and the next, and of the one before.
+    for low, largest in ((band, size * den // num), (band - 1, np.minimum(size, ratio ** band + 1).astype(np.int64))):
+        if not len(some):
+            break
+        spoilt = (size + largest) * (den - num) // (den + num)
+        bins = np.maximum(BINS * ratio ** low, 1).astype(np.uint64)
+        # N-grams ascend in a set, so those of a bin are neighbours.
+        place = ((gram >> _U(32)) * bins[of]) >> _U(32)
+        first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (of[1:] != of[:-1])))
+        mine, one = of[first], np.diff(np.append(first, len(gram))) == 1
+        with np.errstate(over="ignore"):
+            key = mix(np.add.reduceat(value, first) + mix(low.astype(np.int64).astype(np.uint64) + _SALT)[mine])
+        rank = (one.astype(np.uint64) << _U(63)) | (np.minimum.reduceat(held, first).astype(np.uint64) << _U(55)) | (key >> _U(9))
+        order, n = np.lexsort((rank, mine)), np.bincount(mine, minlength=len(some))
+        given = order[(np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)) <= spoilt[mine]]
+        covered[some[n <= spoilt]] = False
+        owners.append(some[mine[given]])
+        keys.append(key[given])
+    return np.concatenate(owners), np.concatenate(keys), covered
 
 
 def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text"
@@ -82,7 +135,7 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str,
     common = spark.sparkContext.broadcast(commonness(named))
     names = named.filter("block IS NULL").select("doc_id", "key", "n", "name")
     total, count = names.agg(F.sum("n"), F.count(F.lit(1))).first()
-    keys = (total or 0) * (den - num) / den + count
+    keys = (total or 0) * (3 + den / num) * (den - num) / (den + num) + 2 * count
     pairs = candidates(rows, n, num, den, buckets_for(keys), lambda g, at: rare_keys(g, at, common.value, num, den))
     pairs = materialize(pairs, "ngram-pairs")
     common.destroy()
