@@ -28,3 +28,9 @@ def fitted_on(monkeypatch, many):
 def test_train_detector_fits_on_all_training_rows(spark, sf, many, fitted_on):
     out = catalog_ml.reg.queries["train_detector"](spark, sf).collect()
     assert len(out) == 2 and fitted_on[0] > 20_000 and abs(fitted_on[0] - 0.75 * many.count()) <= 2
+
+
+def test_detect_connections_fits_on_all_training_rows(spark, sf, many, fitted_on):
+    out = catalog_ml.reg.queries["detect_connections"](spark, sf)
+    assert fitted_on[0] > 20_000 and abs(fitted_on[0] - 0.75 * many.count()) <= 2
+    assert out.columns == ["flow_id", "src_ip", "dst_ip", "score", "threshold", "label"]
